@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from idsift.functions.tables import explode_rows
 from idsift.policy import RiskPolicy
 
 SIGNAL = "struct<value:double,complete:boolean,explanation:string,source:string,experimental:boolean>"
@@ -168,7 +169,9 @@ def to_long(wide: DataFrame, names: list[str]) -> DataFrame:
             ]
         )
     )
-    return wide.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.name", "r.s.*")
+    return explode_rows(wide.select("doc_id", rows.alias("r")), ["doc_id"], "r").select(
+        "doc_id", "name", "s.*"
+    )
 
 
 def constraints(signals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -304,4 +307,4 @@ def score(signals: DataFrame, policy: RiskPolicy | None = None) -> DataFrame:
 
 
 def contributions(scored: DataFrame) -> DataFrame:
-    return scored.select("doc_id", F.explode("contributions").alias("c")).select("doc_id", "c.*")
+    return explode_rows(scored, ["doc_id"], "contributions")

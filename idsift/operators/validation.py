@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from idsift import policy
 from idsift.functions import dates as D
+from idsift.functions.tables import explode_rows
 from idsift.operators import lists
 
 COMPARED = ("dob", "expiry", "name", "number")
@@ -336,7 +337,7 @@ def run(
 
 def findings(validated: DataFrame) -> DataFrame:
     """Long form: one row per finding."""
-    return validated.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+    return explode_rows(validated, ["doc_id"], "findings")
 
 
 def comparisons(validated: DataFrame) -> DataFrame:
@@ -350,4 +351,4 @@ def comparisons(validated: DataFrame) -> DataFrame:
             for n in COMPARED
         ]
     )
-    return validated.select("doc_id", F.explode(rows).alias("c")).select("doc_id", "c.*")
+    return explode_rows(validated.select("doc_id", rows.alias("c")), ["doc_id"], "c")

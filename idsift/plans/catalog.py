@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from idsift.plans import records
+from idsift.plans import records, scoring
 
 FLAGSHIP = "pipeline_score"
-MODULES = (records,)
+MODULES = (records, scoring)
 
 
 def queries() -> dict:

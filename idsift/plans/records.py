@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from idsift.functions import dates as D, mrz as M
+from idsift.functions.tables import explode_rows
 from idsift.operators import lists, mrz, ocr, validation, viz
 from idsift.plans import oracle as O, views
 
@@ -96,7 +97,7 @@ def t5(spark, sf):
 
 @query("t6_checks", O.query("SELECT doc_id, field, input, observed, expected, valid FROM parsed_zone_checks"))
 def t6(spark, sf):
-    return good_zones(spark, sf).select("doc_id", F.explode("checks").alias("c")).select("doc_id", "c.*")
+    return explode_rows(good_zones(spark, sf), ["doc_id"], "checks")
 
 
 @query("t7_abstain", O.query("SELECT p.doc_id, p.extended, p.number_value AS number, c.expected, c.valid FROM parsed_zone p JOIN parsed_zone_checks c ON c.doc_id = p.doc_id AND c.ord = 0"))
