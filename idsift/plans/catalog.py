@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from idsift.plans import records, scoring
+from idsift.plans import measures, records, scoring
 
 FLAGSHIP = "pipeline_score"
-MODULES = (records, scoring)
+MODULES = (records, scoring, measures)
 
 
 def queries() -> dict:
