@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from idsift.plans import measures, records, scoring
+from idsift.plans import measures, records, scoring, signals
 
 FLAGSHIP = "pipeline_score"
-MODULES = (records, scoring, measures)
+MODULES = (records, scoring, measures, signals)
 
 
 def queries() -> dict:
