@@ -148,19 +148,18 @@ def _tile_components(tile: int):
                 break
         root = parent[grid[ys, xs]]
         edge = (xs == 1) | (xs == tile) | (ys == 1) | (ys == tile)
-        out = []
-        frame = pd.DataFrame({"root": root, "x": pdf.x.to_numpy(), "y": pdf.y.to_numpy(), "edge": edge})
-        for r, part in frame.groupby("root"):
-            rim = part[part.edge]
-            out.append(
-                (
-                    pdf.image_id.iloc[0], f"{x0}_{y0}_{r}", len(part), part.x.min(), part.y.min(),
-                    part.x.max(), part.y.max(), rim.x.tolist(), rim.y.tolist(),
-                )
-            )
-        return pd.DataFrame(
-            out, columns=["image_id", "comp", "area", "min_x", "min_y", "max_x", "max_y", "rim_x", "rim_y"]
+        frame = pd.DataFrame({"root": root, "x": pdf.x.to_numpy(), "y": pdf.y.to_numpy()})
+        boxes = frame.groupby("root").agg(
+            area=("x", "size"), min_x=("x", "min"), min_y=("y", "min"), max_x=("x", "max"), max_y=("y", "max")
         )
+        rims = frame[edge].groupby("root").agg(rim_x=("x", list), rim_y=("y", list))
+        out = boxes.join(rims).reset_index()
+        for c in ("rim_x", "rim_y"):
+            out[c] = [v if isinstance(v, list) else [] for v in out[c]]
+        out["comp"] = f"{x0}_{y0}_" + out.root.astype(str)
+        return out.assign(image_id=pdf.image_id.iloc[0])[
+            ["image_id", "comp", "area", "min_x", "min_y", "max_x", "max_y", "rim_x", "rim_y"]
+        ]
 
     return label
 

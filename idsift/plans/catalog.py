@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from idsift.plans import measures, records, scoring, signals
+from idsift.plans import log, measures, records, scoring, signals
 
 FLAGSHIP = "pipeline_score"
-MODULES = (records, scoring, measures, signals)
+MODULES = (records, scoring, measures, signals, log)
 
 
 def queries() -> dict:

@@ -27,13 +27,14 @@ def query(final: str, **local: str) -> str:
     """``final`` preceded by every expression it needs, in dependency order."""
     pool = {**CTES, **local}
     ordered: list[str] = []
+    entered: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)", text, flags=re.I):
-            if name in pool and name not in ordered:
+            if name in pool and name not in entered:
+                entered.add(name)
                 visit(pool[name])
-                if name not in ordered:
-                    ordered.append(name)
+                ordered.append(name)
 
     visit(final)
     if not ordered:
