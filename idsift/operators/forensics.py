@@ -200,16 +200,21 @@ def regions(
         "image_id bigint, comp string, area bigint, min_x bigint, min_y bigint, max_x bigint, max_y bigint, "
         "rim_x array<bigint>, rim_y array<bigint>",
     )
-    rim = parts.select("image_id", "comp", F.explode(F.arrays_zip("rim_x", "rim_y")).alias("c")).select(
-        "image_id", "comp", F.col("c.rim_x").alias("x"), F.col("c.rim_y").alias("y")
-    )
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
-    reach = rim.select("image_id", F.col("comp").alias("a"), "x", "y", F.explode(steps).alias("s")).select(
-        "image_id", "a", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")
+    rim = parts.select("image_id", "comp", F.explode(F.arrays_zip("rim_x", "rim_y")).alias("c"))
+    # A rim cell announces its component at its own place and at half of its
+    # neighbours'; at most five components meet at a place.
+    steps = F.array(
+        *[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))]
+    )
+    places = rim.select("image_id", "comp", "c", F.explode(steps).alias("s")).groupBy(
+        "image_id", (F.col("c.rim_x") + F.col("s.dx")).alias("x"), (F.col("c.rim_y") + F.col("s.dy")).alias("y")
+    ).agg(
+        F.max(F.when((F.col("s.dx") == 0) & (F.col("s.dy") == 0), F.col("comp"))).alias("a"),
+        F.collect_set("comp").alias("met"),
     )
     touching = (
-        reach.join(rim.withColumnRenamed("comp", "b"), ["image_id", "x", "y"])
-        .filter(F.col("a") != F.col("b")).select("image_id", "a", "b").distinct()
+        places.filter(F.col("a").isNotNull()).select("image_id", "a", F.explode("met").alias("b"))
+        .filter(F.col("a") != F.col("b")).distinct()
     )
     roots = touching.groupBy("image_id").applyInPandas(
         _merge_components, "image_id bigint, comp string, root string"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from idsift.plans import log, measures, records, scoring, signals
+from idsift.plans import log, measures, records, scoring, signals, streams
 
 FLAGSHIP = "pipeline_score"
-MODULES = (records, scoring, measures, signals, log)
+MODULES = (records, scoring, measures, signals, log, streams)
 
 
 def queries() -> dict:

@@ -113,7 +113,7 @@ def k3(spark, sf):
     return forensics.regions(cells, 64, 64, tile=16)
 
 
-_word = "xor(xor(((l_partkey % 40 + 1) * {a} * 133704161697) >> 3, ((l_partkey % 40 + 7) * {b} * 2654435761) << 17), CASE WHEN l_suppkey % 4 = {k} THEN l_linenumber::BIGINT ELSE 0::BIGINT END)"
+_word = "xor(((l_partkey % 40 + 1) * {a} * 2654435761 % 2147483648) << 32 | ((l_partkey % 40 + 7) * {b} * 2246822519 % 4294967296), CASE WHEN l_suppkey % 4 = {k} THEN l_linenumber::BIGINT ELSE 0::BIGINT END)"
 O.define("keypoints", "SELECT l_orderkey % 100 AS image_id, row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS idx, "
          "(l_partkey * 7 % 900)::DOUBLE AS px, (l_suppkey * 13 % 600)::DOUBLE AS py, "
          + ", ".join(_word.format(a=k + 3, b=k + 11, k=k) + f" AS w{k}" for k in range(4)) + " FROM lineitem")

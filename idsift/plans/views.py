@@ -142,11 +142,25 @@ def features(spark, sf_dir):
     return _sql(spark, sf_dir, FEATURES_SQL, "part")
 
 
+FRAME_SCHEMA = (
+    "seq_id bigint, idx int, timestamp_ms double, face_count int, eyes_visible int, quality_ok boolean, "
+    "same_face_as_first boolean, texture_contrast double, periodic_energy_ratio double, digest string"
+)
+
+
+def frames_of(events: DataFrame) -> DataFrame:
+    return events.sparkSession.sql(FRAMES_SQL, events=events)
+
+
 def frames(spark, sf_dir):
-    return _sql(spark, sf_dir, FRAMES_SQL, "events")
+    return frames_of(table(spark, sf_dir, "events"))
 
 
 def signals(spark, sf_dir):
+    return signals_of(table(spark, sf_dir, "customer"))
+
+
+def signals_of(customers: DataFrame) -> DataFrame:
     """Ten rows per customer with NULL and incomplete cases."""
     c = F.col("c_custkey")
     rows = []
@@ -159,7 +173,7 @@ def signals(spark, sf_dir):
         if k == 8:
             complete = complete & (c % 2 != 0)
         rows.append(F.struct(F.lit(name).alias("name"), value.alias("value"), complete.alias("complete")))
-    return table(spark, sf_dir, "customer").select(
+    return customers.select(
         c.alias("doc_id"), F.explode(F.array(*rows)).alias("s")
     ).select("doc_id", "s.*")
 
@@ -322,11 +336,10 @@ def keypoints(spark, sf_dir):
     base = F.col("l_partkey") % 40
     words = []
     for k in range(4):
-        word = F.shiftright((base + 1) * (k + 3) * 0x1F3D5B79A1, 3).bitwiseXOR(
-            F.shiftleft((base + 7) * (k + 11) * 0x9E3779B1, 17)
-        )
+        high = (base + 1) * (k + 3) * 2654435761 % 2147483648
+        low = (base + 7) * (k + 11) * 2246822519 % 4294967296
         flip = F.when(F.col("l_suppkey") % 4 == k, F.col("l_linenumber").cast("bigint")).otherwise(F.lit(0))
-        words.append(word.bitwiseXOR(flip).alias(f"w{k}"))
+        words.append(F.shiftleft(high, 32).bitwiseOR(low).bitwiseXOR(flip).alias(f"w{k}"))
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") % 100).alias("image_id"),
         # A total order inside the image; ties cannot occur.
