@@ -240,18 +240,28 @@ def regions(
 
 WORDS = ("w0", "w1", "w2", "w3")
 # Two 256-bit descriptors that differ in at most 24 bits agree on at least one of
-# any 25 or more disjoint parts. Seven parts per 64-bit word make 28.
-_PARTS = tuple(
-    (word, start, 10 if start == 54 else 9) for word in WORDS for start in range(0, 63, 9)
-)
+# any 25 or more disjoint parts. Seven parts of nine bits per word make 28.
+PART_BITS, PARTS_PER_WORD = 9, 7
+_LOW = sum(1 << (PART_BITS * i) for i in range(PARTS_PER_WORD))
+_HIGH = _LOW << (PART_BITS - 1)
+_ALL = (1 << (PART_BITS * PARTS_PER_WORD)) - 1
 MAX_BITS, NEAREST, MIN_SHIFT, CELL, MIN_PAIRS = 24, 5, 30.0, 12, 4
 
 
-def _distance(left: str, right: str) -> Column:
-    return reduce(
-        lambda a, b: a + b,
-        [F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in WORDS],
-    )
+def _first_equal_part(differences: list[Column]) -> Column:
+    """Number of the first part in which no bit differs.
+
+    Subtracting one from every part at once borrows into the part's top bit only
+    where the part is zero; the lowest such mark is exact.
+    """
+    out = None
+    for k, x in enumerate(differences):
+        x = x.bitwiseAND(F.lit(_ALL))
+        marks = (x - F.lit(_LOW)).bitwiseAND(F.bitwise_not(x)).bitwiseAND(F.lit(_HIGH))
+        lowest = F.bit_count(marks.bitwiseAND(-marks) - 1)
+        part = F.floor(lowest / PART_BITS) + k * PARTS_PER_WORD
+        out = F.when(marks != 0, part) if out is None else out.when(marks != 0, part)
+    return out
 
 
 def copy_move(keypoints: DataFrame) -> DataFrame:
@@ -272,33 +282,23 @@ def copy_move(keypoints: DataFrame) -> DataFrame:
     part_rows = F.array(
         *[
             F.struct(
-                F.lit(i).alias("part"),
-                F.shiftrightunsigned(F.col(w), start).bitwiseAND(F.lit((1 << width) - 1)).alias("bits"),
-            )
-            for i, (w, start, width) in enumerate(_PARTS)
-        ]
-    )
-    parted = targets.select("image_id", F.struct(*WORDS).alias("d"), F.explode(part_rows).alias("p")).select(
-        "image_id", "d", "p.part", "p.bits"
-    )
-    left = parted.select("image_id", "part", "bits", F.col("d").alias("a"))
-    right = parted.select("image_id", "part", "bits", F.col("d").alias("b"))
-    # Keep a pair only at the first part it agrees on, so that no later
-    # de-duplication is needed.
-    first_part = F.coalesce(
-        *[
-            F.when(
-                F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}")).bitwiseAND(F.shiftleft(F.lit((1 << width) - 1).cast("bigint"), start)) == 0,
-                F.lit(i),
+                F.lit(k * PARTS_PER_WORD + i).alias("part"),
+                F.shiftrightunsigned(F.col(w), i * PART_BITS).bitwiseAND(F.lit((1 << PART_BITS) - 1)).alias("bits"),
             )
-            for i, (w, start, width) in enumerate(_PARTS)
+            for k, w in enumerate(WORDS)
+            for i in range(PARTS_PER_WORD)
         ]
     )
+    parted = targets.select(*desc, F.explode(part_rows).alias("p")).select(*desc, "p.part", "p.bits")
+    left = parted.select("image_id", "part", "bits", *[F.col(w).alias(f"a_{w}") for w in WORDS])
+    differences = [F.col(f"a_{w}").bitwiseXOR(F.col(w)) for w in WORDS]
+    distance = reduce(lambda a, b: a + b, [F.bit_count(x) for x in differences])
     near = (
-        left.join(right, ["image_id", "part", "bits"])
-        .withColumn("distance", _distance("a", "b"))
-        .filter((F.col("distance") <= MAX_BITS) & (F.col("part") == first_part))
-        .select("image_id", "a", F.col("b.*"), "distance")
+        left.join(parted, ["image_id", "part", "bits"])
+        # Keep a pair only at the first part it agrees on, so that no later
+        # de-duplication is needed.
+        .filter((distance <= MAX_BITS) & (F.col("part") == _first_equal_part(differences)))
+        .select("image_id", F.struct(*[F.col(f"a_{w}").alias(w) for w in WORDS]).alias("a"), *WORDS, distance.alias("distance"))
     )
     ranked = near.join(targets, desc).select(
         "image_id", "a", "distance", F.explode("points").alias("t")
