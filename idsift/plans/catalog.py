@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from idsift.plans import log, measures, records, scoring, signals, streams
+from idsift.plans import files, log, measures, records, scoring, signals, streams
 
 FLAGSHIP = "pipeline_score"
-MODULES = (records, scoring, measures, signals, log, streams)
+MODULES = (records, scoring, measures, signals, log, streams, files)
 
 
 def queries() -> dict:
