@@ -334,9 +334,10 @@ def with_next_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
         F.lead("text", 2).over(inside).alias("n2"),
         F.row_number().over(inside).alias("_rn"),
     )
-    # First two lines of every later block, then of the blocks after it.
+    # First two lines of every later block, then of the blocks after it. The plain
+    # comparison lets file statistics skip nearly everything.
     heads = (
-        kept.filter(F.col("_block") > 0)
+        kept.filter(F.col("line_no") >= BLOCK)
         .withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_rn") <= 2)
     )
@@ -359,37 +360,39 @@ def with_next_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def candidates(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Every line that opens a parseable zone, one row per fitting format."""
-    led = with_next_lines(lines, keys)
-    # Only lines of a zone's length can open one; drop the rest before any regex work.
-    sized = led.select(
-        *keys, "line_no", F.col("text").alias("r1"), "n1", "n2",
-        M.clean(F.col("text")).alias("_c1"), M.clean(F.col("n1")).alias("_c2"),
-        M.clean(F.col("n2")).alias("_c3"),
-    ).filter(
-        F.length("_c1").isin([lay.width for lay in LAYOUTS.values()])
-        & F.substring("_c1", 1, 1).isin(*DOCUMENT_LETTERS)
-        & F.contains(F.col("_c1"), F.lit("<"))
-        & F.col("_c1").rlike(M.LEGAL)
-        & F.col("_c2").rlike(M.LEGAL)
+def zone_pattern(layout: Layout) -> str:
+    """The layout's lines joined by bars; anything may follow a two-line zone."""
+    line = f"[A-Z0-9<]{{{layout.width}}}"
+    head = rf"^(?=[{''.join(DOCUMENT_LETTERS)}])(?=[^|]*<)"
+    return head + r"\|".join([line] * layout.lines) + (r"(\||$)" if layout.lines == 2 else "$")
+
+
+def zone_at(text: Column, n1: Column, n2: Column) -> Column:
+    """``struct(rank, r1, r2, r3)`` if a parseable zone opens with this line.
+
+    A test of the first line alone comes first; nearly all lines end there.
+    """
+    widths = "|".join(str(lay.width) for lay in LAYOUTS.values())
+    c1 = M.clean(text)
+    opens = F.contains(text, F.lit("<")) & c1.rlike(
+        "|".join(f"^[A-Z0-9<]{{{w}}}$" for w in widths.split("|"))
     )
-    fits = []
+    joined = F.concat_ws("|", c1, M.clean(n1), M.clean(n2))
+    out = None
     for rank, name in enumerate(SEARCH_ORDER):
         layout = LAYOUTS[name]
-        ok = (F.length("_c1") == layout.width) & (F.length("_c2") == layout.width)
-        if layout.lines == 3:
-            ok = ok & (F.length("_c3") == layout.width) & F.col("_c3").rlike(M.LEGAL)
-        third = F.col("n2") if layout.lines == 3 else F.lit(None).cast("string")
-        fits.append(F.when(ok, F.struct(F.lit(rank).alias("rank"), third.alias("r3"))))
-    return (
-        sized.withColumn("_fit", F.array_compact(F.array(*fits)))
-        .filter(F.size("_fit") > 0)
-        .select(
-            *keys, "line_no", F.col("_fit")[0]["rank"].alias("rank"), "r1",
-            F.col("n1").alias("r2"), F.col("_fit")[0]["r3"].alias("r3"),
-        )
-    )
+        third = n2 if layout.lines == 3 else F.lit(None).cast("string")
+        zone = F.struct(F.lit(rank).alias("rank"), text.alias("r1"), n1.alias("r2"), third.alias("r3"))
+        test = joined.rlike(zone_pattern(layout))
+        out = F.when(test, zone) if out is None else out.when(test, zone)
+    return F.when(opens, out)
+
+
+def candidates(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Every line that opens a parseable zone."""
+    led = with_next_lines(lines, keys)
+    zoned = led.select(*keys, "line_no", zone_at(F.col("text"), F.col("n1"), F.col("n2")).alias("zone"))
+    return zoned.filter(F.col("zone").isNotNull())
 
 
 def find(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -398,11 +401,9 @@ def find(lines: DataFrame, keys: list[str]) -> DataFrame:
     Picking the first one is an aggregate, combined before the shuffle.
     """
     best = candidates(lines, keys).groupBy(*keys).agg(
-        F.min_by(
-            F.struct("line_no", "r1", "r2", "r3"), F.struct("line_no", "rank")
-        ).alias("best")
+        F.min_by(F.struct("line_no", "zone"), "line_no").alias("best")
     )
-    return best.select(*keys, "best.*")
+    return best.select(*keys, "best.line_no", "best.zone.r1", "best.zone.r2", "best.zone.r3")
 
 
 # --------------------------------------------------------------------- encode

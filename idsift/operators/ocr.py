@@ -8,8 +8,6 @@ from idsift.functions import mrz as M
 from idsift.operators import mrz, viz
 
 LINE_KEYS = ["page", "block", "par", "line"]
-# Reading sources in the order in which they are trusted.
-SOURCES = ("rows", "rows_by_length", "combined_td3", "combined_td2", "combined_td1", "full", "crop")
 
 
 def lines(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,123 +35,118 @@ def confidences(ocr_lines: DataFrame) -> DataFrame:
     )
 
 
-def _combined(ocr_lines: DataFrame) -> DataFrame:
-    """First full-page header line plus the last body lines of the row pass."""
+WIDTHS = (44, 36, 30)
+
+
+def _row_pass(ocr_lines: DataFrame) -> DataFrame:
+    """Per document, from the zone-wide lines of the row pass only: the zone among
+    them, and the last lines of each width. These lines are few."""
     width = F.length(M.clean(F.col("text")))
-    sized = ocr_lines.withColumn("_w", width).filter(F.col("_w").isin(30, 36, 44))
-    headers = (
-        sized.filter(
-            (F.col("pass") == "full") & F.substring("text", 1, 1).isin(*mrz.DOCUMENT_LETTERS)
-        )
-        .groupBy("doc_id", "_w")
-        .agg(F.min_by("text", "line_no").alias("r1"))
+    sized = ocr_lines.filter((F.col("pass") == "rows") & width.isin(*WIDTHS)).select(
+        "doc_id", "line_no", "text", width.alias("_w")
     )
+    both = F.struct("text", M.clean(F.col("text")).alias("c"))
     latest = Window.partitionBy("doc_id", "_w").orderBy(F.desc("line_no"))
+    at = lambda w, rn: F.max(F.when((F.col("_w") == w) & (F.col("_rn") == rn), both))
     body = (
-        sized.filter(F.col("pass") == "rows")
-        .withColumn("_rn", F.row_number().over(latest))
-        .filter(F.col("_rn") <= 2)
-        .groupBy("doc_id", "_w")
+        sized.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= 2).groupBy("doc_id")
         .agg(
-            F.max(F.when(F.col("_rn") == 1, F.col("text"))).alias("_last"),
-            F.max(F.when(F.col("_rn") == 2, F.col("text"))).alias("_second_last"),
-        )
-    )
-    three = F.col("_w") == 30
-    joined = headers.join(body, ["doc_id", "_w"]).filter(~three | F.col("_second_last").isNotNull())
-    whole = F.concat("_c1", "_c2", F.coalesce("_c3", F.lit("")))
-    return (
-        joined.select(
-            "doc_id",
-            F.when(F.col("_w") == 44, "combined_td3").when(F.col("_w") == 36, "combined_td2")
-            .otherwise("combined_td1").alias("source"),
-            F.lit(0).cast("bigint").alias("line_no"),
-            "r1",
-            F.when(three, F.col("_second_last")).otherwise(F.col("_last")).alias("r2"),
-            F.when(three, F.col("_last")).alias("r3"),
-        )
-        .select("*", *[M.clean(F.col(f"r{i}")).alias(f"_c{i}") for i in (1, 2, 3)])
-        .filter(
-            F.contains("_c1", F.lit("<")) & whole.rlike(M.LEGAL)
-            & F.substring("_c1", 1, 1).isin(*mrz.DOCUMENT_LETTERS)
+            *[at(w, 1).alias(f"_last_{w}") for w in WIDTHS], at(30, 2).alias("_before_last_30")
         )
-        .drop("_c1", "_c2", "_c3")
     )
+    zones = mrz.candidates(sized, ["doc_id"]).groupBy("doc_id").agg(F.min_by("zone", "line_no").alias("_z_rows_by_length"))
+    return body.join(zones, "doc_id", "left")
 
 
-def find_any(ocr_lines: DataFrame) -> DataFrame:
-    """One zone per document from the most trusted source that yields one.
+def read(ocr_lines: DataFrame) -> DataFrame:
+    """Everything the lines say about a document, one row each.
 
-    All sources go through one search: the length-filtered row pass is the same
-    rows tagged a second time.
+    One window pass gives each line its followers, one aggregate with map-side
+    combine makes the row; columns nobody asks for are pruned from both.
     """
-    is_rows = F.col("pass") == "rows"
-    sized = F.length(M.clean(F.col("text"))).isin(30, 36, 44)
-    tags = F.array_compact(
-        F.array(
-            F.col("pass"), F.when(is_rows & sized, F.lit("rows_by_length"))
-        )
-    )
-    tagged = ocr_lines.select("doc_id", "line_no", "text", F.explode(tags).alias("source"))
-    scanned = mrz.candidates(tagged, ["doc_id", "source"]).select(
-        "doc_id", "source", F.col("line_no").cast("bigint").alias("line_no"), "rank", "r1", "r2", "r3"
-    )
-    combined = _combined(ocr_lines).withColumn("rank", F.lit(0))
-    every = scanned.unionByName(combined)
-    trust = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
-    return (
-        every.groupBy("doc_id")
-        .agg(
-            F.min_by(
-                F.struct("source", "line_no", "r1", "r2", "r3"),
-                F.struct(trust, F.col("line_no"), F.col("rank")),
-            ).alias("b")
-        )
-        .select("doc_id", "b.*")
-    )
-
-
-def resolve(ocr_lines: DataFrame, hints: DataFrame | None = None) -> DataFrame:
-    """One row per document: zone, printed fields, type, confidence, outcome.
-
-    Per-document facts of the lines are one aggregate with map-side combine.
-    """
-    conf = F.col("confidence")
-    text = F.upper(F.col("text"))
-    full = F.col("pass") == "full"
+    conf, which = F.col("confidence"), F.col("pass")
+    full = which == "full"
     led = mrz.with_next_lines(ocr_lines, ["doc_id", "pass"]).select(
-        "doc_id", "pass", "line_no", "text", "confidence", "n1",
+        "doc_id", "pass", "line_no", "confidence", F.upper("text").alias("_up"), F.upper("n1").alias("_up1"),
+        F.contains("text", F.lit("<")).alias("_filler"),
+        mrz.zone_at(F.col("text"), F.col("n1"), F.col("n2")).alias("zone"),
+        F.when(full & F.substring("text", 1, 1).isin(*mrz.DOCUMENT_LETTERS), F.struct("text", M.clean(F.col("text")).alias("c"))).alias("_head"),
         F.when(full, viz.label_of(F.col("text"))).alias("field"),
         F.when(full, viz.tidy(viz.value_of(F.col("text")))).alias("value"),
     )
     # "NATIONAL ID" may be split over two consecutive lines.
-    split_id = text.rlike(r"(?U)\bNATIONAL\s*$") & F.upper("n1").rlike(r"(?U)^\s*ID\b")
+    split_id = F.col("_up").rlike(r"(?U)\bNATIONAL\s*$") & F.col("_up1").rlike(r"(?U)^\s*ID\b")
     flags = []
     for kind, pattern in viz.KEYWORDS:
-        hit = text.rlike("(?U)" + pattern)
+        hit = F.col("_up").rlike("(?U)" + pattern)
         if kind == "id":
             hit = hit | F.coalesce(split_id, F.lit(False))
         flags.append(F.max(hit).alias(f"_is_{kind}"))
+    has_zone = F.col("zone").isNotNull()
     facts = led.groupBy("doc_id").agg(
-        F.min(F.when(F.col("pass") == "rows", conf)).alias("_rows_conf"),
-        F.min(F.when(F.col("pass") == "crop", conf)).alias("_crop_conf"),
-        F.min(F.when(full & F.contains("text", F.lit("<")), conf)).alias("_filler_conf"),
+        F.min(F.when(which == "rows", conf)).alias("_rows_conf"),
+        F.min(F.when(which == "crop", conf)).alias("_crop_conf"),
+        F.min(F.when(full & F.col("_filler"), conf)).alias("_filler_conf"),
         *flags,
         *[
-            F.max_by(
-                F.when(F.col("field") == name, F.col("value")),
-                F.when(F.col("field") == name, viz.preference()),
-            ).alias(f"v_{name}")
+            F.min_by("zone", F.when(has_zone & (which == p), F.col("line_no"))).alias(f"_z_{p}")
+            for p in ("rows", "full", "crop")
+        ],
+        *[
+            F.min_by("_head", F.when(F.length("_head.c") == w, F.col("line_no"))).alias(f"_head_{w}")
+            for w in WIDTHS
+        ],
+        *[
+            F.max_by("value", F.when(F.col("field") == name, viz.preference())).alias(f"v_{name}")
             for name in viz.FIELDS
         ],
     )
-    zones = mrz.parse(find_any(ocr_lines)).drop("c1", "c2", "c3")
-    both = facts.join(zones, "doc_id", "left")
+    return facts.join(_row_pass(ocr_lines), "doc_id", "left")
+
+
+def choose(read_rows: DataFrame) -> DataFrame:
+    """The zone of the most trusted source that yields one: ``source, r1, r2, r3``."""
+    chosen = [("rows", F.col("_z_rows")), ("rows_by_length", F.col("_z_rows_by_length"))]
+    for w, name in zip(WIDTHS, ("combined_td3", "combined_td2", "combined_td1"), strict=True):
+        # The first header of the full pass with the last body lines of the row pass.
+        parts = [f"_head_{w}", "_before_last_30", "_last_30"] if w == 30 else [f"_head_{w}", f"_last_{w}"]
+        layout = next(lay for lay in mrz.LAYOUTS.values() if lay.width == w)
+        joined = F.concat_ws("|", *[F.col(f"{p}.c") for p in parts])
+        texts = [F.col(f"{p}.text") for p in parts] + [F.lit(None).cast("string")]
+        zone = F.struct(F.lit(0).alias("rank"), *[t.alias(f"r{i + 1}") for i, t in enumerate(texts[:3])])
+        chosen.append((name, F.when(joined.rlike(mrz.zone_pattern(layout)), zone)))
+    chosen += [("full", F.col("_z_full")), ("crop", F.col("_z_crop"))]
+    best = F.coalesce(
+        *[
+            F.when(zone.isNotNull(), F.struct(F.lit(name).alias("source"), zone.alias("zone")))
+            for name, zone in chosen
+        ]
+    )
+    used = ("_z_", "_head_", "_last_", "_before_last")
+    rest = [c for c in read_rows.columns if not c.startswith(used)]
+    return read_rows.select("*", best.alias("_best")).select(
+        *rest, "_best.source", "_best.zone.r1", "_best.zone.r2", "_best.zone.r3"
+    )
+
+
+def find_any(ocr_lines: DataFrame) -> DataFrame:
+    """One zone per document that has any."""
+    found = choose(read(ocr_lines)).select("doc_id", "source", "r1", "r2", "r3")
+    return found.filter(F.col("source").isNotNull())
+
+
+def resolve(ocr_lines: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """One row per document: zone, printed fields, type, confidence, outcome.
+
+    Two shuffles of the lines (followers, document); the row-pass branch only
+    moves zone-wide lines.
+    """
+    parsed = mrz.parse(choose(read(ocr_lines))).drop("c1", "c2", "c3", "reason")
     if hints is not None:
-        both = both.join(hints.select("doc_id", "hint"), "doc_id", "left")
+        parsed = parsed.join(hints.select("doc_id", "hint"), "doc_id", "left")
     else:
-        both = both.withColumn("hint", F.lit("unknown"))
-    return outcome(both)
+        parsed = parsed.withColumn("hint", F.lit("unknown"))
+    return outcome(parsed)
 
 
 def outcome(df: DataFrame) -> DataFrame:
