@@ -64,10 +64,9 @@ def metadata_score(exif: DataFrame, documents: DataFrame) -> DataFrame:
         F.coalesce(software.rlike("|".join(EDITING_WORDS)), F.lit(False)).alias("editing_software"),
         F.coalesce(stamp(MODIFIED) < stamp(CAPTURED), F.lit(False)).alias("reversed_timestamps"),
     )
-    score = F.least(
-        F.lit(1.0),
-        F.lit(0.35) * F.col("editing_software").cast("int") + F.lit(0.65) * F.col("reversed_timestamps").cast("int"),
-    )
+    total = F.lit(0.35) * F.col("editing_software").cast("int") + F.lit(0.65) * F.col("reversed_timestamps").cast("int")
+    # The smaller of two values would skip a NULL; no attributes must stay NULL.
+    score = F.when(total.isNotNull(), F.least(F.lit(1.0), total))
     return documents.select("doc_id").join(wide, "doc_id", "left").select(
         "doc_id",
         F.when(F.col("editing_software").isNotNull(), "ok").otherwise("insufficient_evidence").alias("status"),

@@ -95,7 +95,7 @@ O.define("exif", _EXIF.format(part="part"))
 
 
 @query("g8_metadata_score", O.query("""
-SELECT p.p_partkey AS doc_id, CASE WHEN e.doc_id IS NULL THEN 'insufficient_evidence' ELSE 'ok' END AS status, round(least(1.0, 0.35 * e.editing::INT + 0.65 * e.reversed::INT), 6)::DOUBLE AS score,
+SELECT p.p_partkey AS doc_id, CASE WHEN e.doc_id IS NULL THEN 'insufficient_evidence' ELSE 'ok' END AS status, CASE WHEN e.doc_id IS NOT NULL THEN round(least(1.0, 0.35 * e.editing::INT + 0.65 * e.reversed::INT), 6)::DOUBLE END AS score,
   e.editing AS editing_software, e.reversed AS reversed_timestamps FROM part p LEFT JOIN (
 SELECT doc_id, regexp_matches(lower(max(value) FILTER (tag = 305)), 'photoshop|gimp|affinity|paint|lightroom') AS editing,
   coalesce(try_strptime(max(value) FILTER (tag = 306), '%Y:%m:%d %H:%M:%S') < try_strptime(max(value) FILTER (tag = 36867), '%Y:%m:%d %H:%M:%S'), false) AS reversed FROM exif GROUP BY doc_id) e ON e.doc_id = p.p_partkey"""))
