@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from idsift.operators import audit
 from idsift.plans import oracle as O, views
+from idsift.session import materialize
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -54,6 +55,11 @@ def log(spark, sf) -> DataFrame:
     return audit.append(empty_head(spark), new_scans(spark, sf), ["scan_no"])
 
 
+def stored(spark, sf) -> DataFrame:
+    """The log as the stored table it is; readers must not hash it again."""
+    return materialize(log(spark, sf), "log")
+
+
 O.define("new_scans", f"""
 SELECT s.chain_id, s.scan_no, 'evt-' || s.scan_no AS event_id, s.request_id, sha256('fp-' || s.scan_no) AS fingerprint, s.scan_id, 'scan' AS kind,
   strftime(o_orderdate, '{_TS}') AS timestamp, s.actor, sha256('doc-' || s.scan_no) AS document_hash,
@@ -99,9 +105,8 @@ def a3h(spark, sf):
     return audit.new_head(empty_head(spark), log(spark, sf))
 
 
-def damaged(spark, sf) -> DataFrame:
-    """The log with edits, deletions and unreadable payloads."""
-    rows = log(spark, sf)
+def damaged(rows: DataFrame) -> DataFrame:
+    """The log with edits, deletions and broken links."""
     c, s = F.col("chain_id"), F.col("seq")
     return rows.filter(~((c % 11 == 3) & (s == 2)) & ~((c % 13 == 4) & (s == 1))).withColumn(
         "actor", F.when((c % 7 == 1) & (s == 3), "intruder").otherwise(F.col("actor"))
@@ -125,13 +130,13 @@ SELECT h.chain_id, CASE WHEN bad IS NOT NULL THEN 'EVENT_CHAIN_MISMATCH' WHEN h.
   CASE WHEN bad IS NOT NULL THEN bad WHEN h.seq <> coalesce(n, 0) OR h.event_hash <> coalesce(last, '{ZERO}') THEN coalesce(n, 0) + 1 WHEN h.chain_id % 5 = 2 THEN 1 END AS failed_seq, coalesce(n, 0) AS event_count
 FROM heads h LEFT JOIN (SELECT chain_id, count(*) AS n, min(pos) FILTER (NOT ok) AS bad, arg_max(event_hash, seq) AS last FROM judged_rows GROUP BY chain_id) j ON j.chain_id = h.chain_id"""))
 def a2(spark, sf):
-    whole = log(spark, sf)
+    whole = stored(spark, sf)
     c = F.col("chain_id")
     head = audit.new_head(empty_head(spark), whole).withColumn(
         "seq", F.when(c % 19 == 6, F.col("seq") - 1).otherwise(F.col("seq"))
     )
     anchors = head.filter(c % 5 == 2).select("chain_id", F.lit(1).cast("bigint").alias("seq"), F.lit("f" * 64).alias("event_hash"))
-    out = audit.verify(damaged(spark, sf), head, anchors)
+    out = audit.verify(damaged(whole), head, anchors)
     return out.select("chain_id", "error", "failed_seq", "event_count")
 
 
@@ -139,7 +144,7 @@ def a2(spark, sf):
 SELECT d.chain_id, d.seq, CASE WHEN d.seq = 1 THEN d.previous_hash = '{ZERO}' ELSE p.event_hash = d.previous_hash END AS link_ok
 FROM damaged d LEFT JOIN damaged p ON p.chain_id = d.chain_id AND p.seq = d.seq - 1"""))
 def w9(spark, sf):
-    return audit.linked(damaged(spark, sf)).select("chain_id", "seq", "link_ok")
+    return audit.linked(damaged(stored(spark, sf))).select("chain_id", "seq", "link_ok")
 
 
 # -------------------------------------------------------------- replays
@@ -190,13 +195,13 @@ def decisions(spark, sf, events) -> DataFrame:
 
 @query("a5_accept_decisions", O.query("SELECT scan_no, ord, status FROM decided"))
 def a5(spark, sf):
-    events = log(spark, sf)
+    events = stored(spark, sf)
     return audit.accept(events, decisions(spark, sf, events)).select("scan_no", "ord", "status")
 
 
 @query("a6_incomplete_gate", O.query("SELECT status, decision, ack AS acknowledge_incomplete, count(*) AS n FROM decided GROUP BY ALL"))
 def a6(spark, sf):
-    events = log(spark, sf)
+    events = stored(spark, sf)
     judged = audit.accept(events, decisions(spark, sf, events))
     return judged.groupBy("status", "decision", "acknowledge_incomplete").agg(F.count("*").alias("n"))
 
@@ -226,7 +231,7 @@ def a8(spark, sf):
 
 def full_log(spark, sf) -> DataFrame:
     """Scans plus their accepted decisions, appended as a second batch."""
-    first = log(spark, sf)
+    first = stored(spark, sf)
     judged = audit.accept(first, decisions(spark, sf, first)).filter(F.col("status") == "accepted")
     chain = first.select("scan_id", "chain_id", F.col("document_hash").alias("_doc"))
     payload = audit.canonical([F.col("acknowledge_incomplete"), F.col("decision"), F.col("note")])
@@ -236,7 +241,7 @@ def full_log(spark, sf) -> DataFrame:
         "actor", F.col("_doc").alias("document_hash"), payload.alias("payload_json"),
     )
     appended = audit.append(audit.new_head(empty_head(spark), first), second, ["scan_no"])
-    return first.unionByName(appended)
+    return first.unionByName(materialize(appended, "log"))
 
 
 O.define("states", """

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from idsift.functions.tables import explode_rows
-from idsift.operators import imaging, pipeline, quality, risk, validation
-from idsift.plans import oracle as O, records, views
+from idsift.operators import faces, forensics, imaging, pipeline, quality, risk, sequences, validation
+from idsift.plans import oracle as O, records, signals, views
 from idsift.policy import RiskPolicy
 
 QUERIES: dict = {}
@@ -206,3 +205,31 @@ def x2(spark, sf):
         "doc_id", "processing_status", "document_type", "score", "category", joined("missing_required"),
         "capture", "ocr", "validation", joined("mismatch_fields"), joined("failed_check_fields"),
     )
+
+
+# ------------------------------------------------------ all layers in one score
+def all_layers(spark, sf) -> dict[str, DataFrame]:
+    """Signal columns of the layers outside text, one row per document each."""
+    detectors = risk.forensic_signals(forensics.rollup(views.detectors(spark, sf)))
+    pairs = risk.face_signal(faces.verify(*signals.face_sides(spark, sf), 0.1))
+    frames = sequences.outcome(views.frames(spark, sf)).filter(F.col("reason").isNull())
+    liveness = risk.liveness_signal(frames.withColumnRenamed("seq_id", "doc_id"))
+    duplicates = risk.duplicate_signal(signals.j6(spark, sf).withColumnRenamed("query_id", "doc_id"))
+    return {"tampering": detectors, "face": pairs, "liveness": liveness, "duplicate": duplicates}
+
+
+_ALL = """SELECT doc_id, name, value, complete FROM val_signals
+UNION ALL SELECT doc_id, 'tampering', spatial, spatial_complete FROM rolled UNION ALL SELECT doc_id, 'metadata', metadata, metadata_complete FROM rolled
+UNION ALL SELECT doc_id, 'face', (cosine < 0.1)::DOUBLE, true FROM verified WHERE cosine IS NOT NULL
+UNION ALL SELECT seq_id, 'liveness', CASE WHEN spoof_score > 0 THEN spoof_score END::DOUBLE, false FROM seq_out WHERE reason IS NULL
+UNION ALL SELECT query_id, 'duplicate_identity', duplicate_hit::DOUBLE, true FROM duplicates"""
+
+
+@query("j3_layer_assembly", O.query(
+    f"SELECT {SCORE_COLUMNS}, missing FROM scored_docs", **O.scoring("all_signals", "val"), all_signals=_ALL,
+    duplicates=signals.DUPLICATES_SQL,
+))
+def j3(spark, sf):
+    return screened(spark, sf, all_layers(spark, sf)).select(
+        *SCORE_COLUMNS.split(", "), F.array_join("missing_signals", ",").alias("missing")
+    )

@@ -234,10 +234,13 @@ def j5(spark, sf):
 _names = "split_part('ADA,ROBIN,SAM,ALEX,KAI', ',', CAST({x} % 5 AS INT) + 1)"
 
 
-@query("j6_alias_hits", O.query(f"""
+DUPLICATES_SQL = f"""
 SELECT e.vec_id AS query_id, n.match_id, concat_ws(',', CASE WHEN {_names.format(x='e.vec_id')} <> {_names.format(x='n.match_id')} THEN 'different_name' END, CASE WHEN e.vec_id % 3 <> n.match_id % 3 THEN 'different_number' END) AS reasons,
   coalesce({_names.format(x='e.vec_id')} <> {_names.format(x='n.match_id')} OR e.vec_id % 3 <> n.match_id % 3, false) AS duplicate_hit
-FROM embeddings e LEFT JOIN nearest n ON n.query_id = e.vec_id WHERE e.vec_id % 2 = 1"""))
+FROM embeddings e LEFT JOIN nearest n ON n.query_id = e.vec_id WHERE e.vec_id % 2 = 1"""
+
+
+@query("j6_alias_hits", O.query(DUPLICATES_SQL))
 def j6(spark, sf):
     name = lambda c: F.expr(_names.format(x=c))
     number = lambda c: (F.col(c) % 3).cast("string")

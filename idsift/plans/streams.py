@@ -50,7 +50,7 @@ def st1(spark, sf):
 def st2(spark, sf):
     """Scan rows first, then each scan's decisions in order, through state."""
     folder = shared_dir(spark, "decisions")
-    events = log.log(spark, sf)
+    events = log.stored(spark, sf)
     scans = events.select(
         "scan_id", "kind", F.lit(-1).cast("bigint").alias("ord"), "request_id", "fingerprint", "event_hash",
         audit.incomplete(F.col("payload_json")).alias("incomplete"), F.lit(None).cast("string").alias("decision"),
@@ -80,23 +80,18 @@ def st3(spark, sf):
 @query("st4_sequences", O.query("SELECT * FROM seq_outcome"))
 def st4(spark, sf):
     """Frames stamped by sequence, so that sequences never overlap in time."""
-    frames = views.frames_of(source(spark, sf, "events"))
-    start = F.col("seq_id") * 60000
-    stamped = frames.withColumn("ts", F.timestamp_millis((start + F.col("timestamp_ms")).cast("bigint")))
-    # One row far in the future closes the last open session and stays open itself.
-    closing = spark.createDataFrame(
-        [(-1, 0, 0.0, 1, 2, True, True, 9.0, 0.1, "end")], views.FRAME_SCHEMA
-    ).withColumn("ts", F.lit("2999-01-01").cast("timestamp"))
     folder = shared_dir(spark, "sequences")
-    # The closing row has to come in a later batch than the frames, hence the two
-    # runs over one state folder.
     path = f"{folder}/in"
-    batch = views.frames(spark, sf).withColumn(
-        "ts", F.timestamp_millis((start + F.col("timestamp_ms")).cast("bigint"))
-    )
-    batch.write.parquet(path)
-    stream = spark.readStream.schema(stamped.schema).parquet(path)
+    at = (F.col("seq_id") * 60000 + F.col("timestamp_ms")).cast("bigint")
+    frames = views.frames(spark, sf).withColumn("ts", F.timestamp_millis(at))
+    frames.write.parquet(path)
+    stream = spark.readStream.schema(frames.schema).parquet(path)
     jobs.run_to_table(jobs.gather_sequences(stream), folder)
+    # One row far in the future, in a later batch, closes the last open sessions
+    # and stays open itself.
+    closing = frames.limit(1).withColumn("seq_id", F.lit(-1).cast("bigint")).withColumn(
+        "ts", F.lit("2999-01-01").cast("timestamp")
+    )
     closing.write.mode("append").parquet(path)
     jobs.run_to_table(jobs.gather_sequences(stream), folder)
     gathered = spark.read.parquet(f"{folder}/out").filter(F.col("seq_id") >= 0)

@@ -40,6 +40,11 @@ def intake_conflicts(intaken: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- decisions
 
 DECISION_OUTPUT = "scan_id string, request_id string, ord long, status string, latest_event_hash string"
+_DECISION_NAMES = [c.split()[0] for c in DECISION_OUTPUT.split(", ")]
+_DECISION_INPUT = [
+    "ord", "kind", "request_id", "fingerprint", "event_hash", "incomplete", "decision", "expected_event_hash",
+    "acknowledge_incomplete",
+]
 DECISION_STATE = "latest string, incomplete boolean, requests array<string>, prints array<string>"
 
 
@@ -47,27 +52,31 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     """Apply one scan's events in arrival order against its latest hash."""
     latest, incomplete, requests, prints = state.get if state.exists else (None, None, [], [])
     known = dict(zip(requests, prints, strict=True))
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("ord")
+    # Plain lists: a scan has few events, and a frame operation costs more than they do.
+    rows = sorted(
+        (row for b in batches for row in zip(*(b[c].tolist() for c in _DECISION_INPUT), strict=True)),
+        key=lambda r: r[0],
+    )
     out = []
-    for r in rows.itertuples(index=False):
-        if r.kind == "scan":
+    for at, kind, request, own_print, new_hash, gate, decision, expected, acknowledged in rows:
+        if kind == "scan":
             if latest is None:
-                latest, incomplete = r.event_hash, bool(r.incomplete)
+                latest, incomplete = new_hash, bool(gate)
             continue
-        if r.request_id in known:
-            status = "replay" if known[r.request_id] == r.fingerprint else "conflict"
+        if request in known:
+            status = "replay" if known[request] == own_print else "conflict"
         elif latest is None:
             status = "not_found"
-        elif r.expected_event_hash != latest:
+        elif expected != latest:
             status = "stale"
-        elif r.decision == "approve" and incomplete and not r.acknowledge_incomplete:
+        elif decision == "approve" and incomplete and not acknowledged:
             status = "incomplete"
         else:
-            status, latest = "accepted", r.event_hash
-            known[r.request_id] = r.fingerprint
-        out.append((key[0], r.request_id, int(r.ord), status, latest))
+            status, latest = "accepted", new_hash
+            known[request] = own_print
+        out.append((key[0], request, int(at), status, latest))
     state.update((latest, incomplete, list(known), list(known.values())))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISION_OUTPUT.split(", ")])
+    yield pd.DataFrame(out, columns=_DECISION_NAMES)
 
 
 def decisions(stream: DataFrame) -> DataFrame:
