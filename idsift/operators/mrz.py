@@ -324,7 +324,7 @@ def with_next_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     sorted by one task. Only blocks after a document's first one contribute
     rows to the small table that carries lines over a block edge.
     """
-    kept = lines.filter(F.length(M.clean(F.col("text"))) > 0).withColumn(
+    kept = lines.filter(F.col("text").rlike(r"(?U)\S")).withColumn(
         "_block", F.floor(F.col("line_no") / BLOCK)
     )
     inside = Window.partitionBy(*keys, "_block").orderBy("line_no")
@@ -377,15 +377,21 @@ def zone_at(text: Column, n1: Column, n2: Column) -> Column:
     opens = F.contains(text, F.lit("<")) & c1.rlike(
         "|".join(f"^[A-Z0-9<]{{{w}}}$" for w in widths.split("|"))
     )
-    joined = F.concat_ws("|", c1, M.clean(n1), M.clean(n2))
-    out = None
-    for rank, name in enumerate(SEARCH_ORDER):
-        layout = LAYOUTS[name]
-        third = n2 if layout.lines == 3 else F.lit(None).cast("string")
-        zone = F.struct(F.lit(rank).alias("rank"), text.alias("r1"), n1.alias("r2"), third.alias("r3"))
-        test = joined.rlike(zone_pattern(layout))
-        out = F.when(test, zone) if out is None else out.when(test, zone)
-    return F.when(opens, out)
+
+    def fitting(joined: Column) -> Column:
+        out = None
+        for rank, name in enumerate(SEARCH_ORDER):
+            layout = LAYOUTS[name]
+            third = n2 if layout.lines == 3 else F.lit(None).cast("string")
+            zone = F.struct(F.lit(rank).alias("rank"), text.alias("r1"), n1.alias("r2"), third.alias("r3"))
+            test = joined.rlike(zone_pattern(layout))
+            out = F.when(test, zone) if out is None else out.when(test, zone)
+        return out
+
+    # The one-element array binds the joined text once; generated code for three
+    # copies of it would be too long for the JVM to compile.
+    joined = F.array(F.concat_ws("|", c1, M.clean(n1), M.clean(n2)))
+    return F.when(opens, F.get(F.transform(joined, fitting), F.lit(0)))
 
 
 def candidates(lines: DataFrame, keys: list[str]) -> DataFrame:

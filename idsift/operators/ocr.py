@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from idsift.functions import mrz as M
 from idsift.operators import mrz, viz
@@ -66,47 +66,52 @@ def read(ocr_lines: DataFrame) -> DataFrame:
     """
     conf, which = F.col("confidence"), F.col("pass")
     full = which == "full"
-    led = mrz.with_next_lines(ocr_lines, ["doc_id", "pass"]).select(
-        "doc_id", "pass", "line_no", "confidence", F.upper("text").alias("_up"), F.upper("n1").alias("_up1"),
-        F.contains("text", F.lit("<")).alias("_filler"),
-        mrz.zone_at(F.col("text"), F.col("n1"), F.col("n2")).alias("zone"),
-        F.when(full & F.substring("text", 1, 1).isin(*mrz.DOCUMENT_LETTERS), F.struct("text", M.clean(F.col("text")).alias("c"))).alias("_head"),
-        F.when(full, viz.label_of(F.col("text"))).alias("field"),
-        F.when(full, viz.tidy(viz.value_of(F.col("text")))).alias("value"),
-    )
+    up = F.upper("text")
     # "NATIONAL ID" may be split over two consecutive lines.
-    split_id = F.col("_up").rlike(r"(?U)\bNATIONAL\s*$") & F.col("_up1").rlike(r"(?U)^\s*ID\b")
-    flags = []
+    split_id = up.rlike(r"(?U)\bNATIONAL\s*$") & F.upper("n1").rlike(r"(?U)^\s*ID\b")
+    hits = []
     for kind, pattern in viz.KEYWORDS:
-        hit = F.col("_up").rlike("(?U)" + pattern)
+        hit = up.rlike("(?U)" + pattern)
         if kind == "id":
             hit = hit | F.coalesce(split_id, F.lit(False))
-        flags.append(F.max(hit).alias(f"_is_{kind}"))
-    has_zone = F.col("zone").isNotNull()
-    facts = led.groupBy("doc_id").agg(
+        hits.append(hit.alias(kind))
+    # Most lines hold no keyword, label or zone; each costs them one test.
+    led = mrz.with_next_lines(ocr_lines, ["doc_id", "pass"]).select(
+        "doc_id", "pass", "line_no", "confidence", F.contains("text", F.lit("<")).alias("_filler"),
+        F.when(up.rlike(viz.ANY_KEYWORD), F.struct(*hits)).alias("_kinds"),
+        mrz.zone_at(F.col("text"), F.col("n1"), F.col("n2")).alias("zone"),
+        F.when(
+            full & F.contains("text", F.lit("<")) & F.substring("text", 1, 1).isin(*mrz.DOCUMENT_LETTERS),
+            F.struct("text", M.clean(F.col("text")).alias("c")),
+        ).alias("_head"),
+        F.when(full, viz.groups_of(F.col("text"))).alias("_g"),
+    ).withColumn("field", viz.label_from(F.col("_g"))).withColumn("value", viz.tidy(viz.value_from(F.col("_g"))))
+    flags = [F.coalesce(F.max(f"_kinds.{kind}"), F.lit(False)).alias(f"_is_{kind}") for kind, _ in viz.KEYWORDS]
+    # One comparable struct per candidate: its order first, then what it carries.
+    ranked = led.select(
+        "*",
+        F.when(F.col("field").isNotNull(), F.struct(F.coalesce("confidence", F.lit(0.0)).alias("c"), (-F.col("line_no")).alias("n"), "value")).alias("_printed"),
+        F.when(F.col("zone").isNotNull(), F.struct("line_no", "zone")).alias("_zone"),
+        F.when(F.col("_head").isNotNull(), F.struct("line_no", "_head", F.length("_head.c").alias("w"))).alias("_headed"),
+    )
+    facts = ranked.groupBy("doc_id").agg(
         F.min(F.when(which == "rows", conf)).alias("_rows_conf"),
         F.min(F.when(which == "crop", conf)).alias("_crop_conf"),
         F.min(F.when(full & F.col("_filler"), conf)).alias("_filler_conf"),
         *flags,
-        *[
-            F.min_by("zone", F.when(has_zone & (which == p), F.col("line_no"))).alias(f"_z_{p}")
-            for p in ("rows", "full", "crop")
-        ],
-        *[
-            F.min_by("_head", F.when(F.length("_head.c") == w, F.col("line_no"))).alias(f"_head_{w}")
-            for w in WIDTHS
-        ],
-        *[
-            F.max_by("value", F.when(F.col("field") == name, viz.preference())).alias(f"v_{name}")
-            for name in viz.FIELDS
-        ],
+        *[F.min(F.when(which == p, F.col("_zone")))["zone"].alias(f"_z_{p}") for p in ("rows", "full", "crop")],
+        *[F.min(F.when(F.col("_headed.w") == w, F.col("_headed")))["_head"].alias(f"_head_{w}") for w in WIDTHS],
+        *[F.max(F.when(F.col("field") == name, F.col("_printed")))["value"].alias(f"v_{name}") for name in viz.FIELDS],
     )
     return facts.join(_row_pass(ocr_lines), "doc_id", "left")
 
 
 def choose(read_rows: DataFrame) -> DataFrame:
     """The zone of the most trusted source that yields one: ``source, r1, r2, r3``."""
-    chosen = [("rows", F.col("_z_rows")), ("rows_by_length", F.col("_z_rows_by_length"))]
+    def found(column: str) -> tuple[Column, Column]:
+        return F.col(column).isNotNull(), F.col(column)
+
+    chosen = [("rows", *found("_z_rows")), ("rows_by_length", *found("_z_rows_by_length"))]
     for w, name in zip(WIDTHS, ("combined_td3", "combined_td2", "combined_td1"), strict=True):
         # The first header of the full pass with the last body lines of the row pass.
         parts = [f"_head_{w}", "_before_last_30", "_last_30"] if w == 30 else [f"_head_{w}", f"_last_{w}"]
@@ -114,14 +119,12 @@ def choose(read_rows: DataFrame) -> DataFrame:
         joined = F.concat_ws("|", *[F.col(f"{p}.c") for p in parts])
         texts = [F.col(f"{p}.text") for p in parts] + [F.lit(None).cast("string")]
         zone = F.struct(F.lit(0).alias("rank"), *[t.alias(f"r{i + 1}") for i, t in enumerate(texts[:3])])
-        chosen.append((name, F.when(joined.rlike(mrz.zone_pattern(layout)), zone)))
-    chosen += [("full", F.col("_z_full")), ("crop", F.col("_z_crop"))]
-    best = F.coalesce(
-        *[
-            F.when(zone.isNotNull(), F.struct(F.lit(name).alias("source"), zone.alias("zone")))
-            for name, zone in chosen
-        ]
-    )
+        chosen.append((name, joined.rlike(mrz.zone_pattern(layout)), zone))
+    chosen += [("full", *found("_z_full")), ("crop", *found("_z_crop"))]
+    best = None
+    for name, test, zone in chosen:
+        value = F.struct(F.lit(name).alias("source"), zone.alias("zone"))
+        best = F.when(test, value) if best is None else best.when(test, value)
     used = ("_z_", "_head_", "_last_", "_before_last")
     rest = [c for c in read_rows.columns if not c.startswith(used)]
     return read_rows.select("*", best.alias("_best")).select(

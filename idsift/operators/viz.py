@@ -38,24 +38,34 @@ def tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(text), r"(?U)\s+", " "))
 
 
-def label_of(text: Column) -> Column:
-    """Field name of a labelled line, else NULL."""
-    out = None
-    for position, name in enumerate(FIELDS, 1):
-        hit = F.regexp_extract(text, _ANY, position) != ""
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return F.when(text.rlike(_ANY), out)
+_MARK = "\u0001"
+_GROUPS = _MARK.join(f"${i + 1}" for i in range(len(FIELDS) + 1))
+
+
+def groups_of(text: Column) -> Column:
+    """All groups of a labelled line in one evaluation, separated by marks; other
+    lines come back without a mark.
+
+    Exactly one label group is filled, so the number of leading marks names the
+    label, and the value follows the last mark.
+    """
+    return F.regexp_replace(F.translate(text, _MARK, " "), _ANY, _GROUPS)
+
 
+def label_from(groups: Column) -> Column:
+    index = F.length(groups) - F.length(F.ltrim(groups, F.lit(_MARK)))
+    names = F.array(*[F.lit(n) for n in FIELDS])
+    return F.when(F.contains(groups, F.lit(_MARK)), F.get(names, index))
 
-def value_of(text: Column) -> Column:
-    return F.regexp_extract(text, _ANY, len(FIELDS) + 1)
+
+def value_from(groups: Column) -> Column:
+    return F.substring_index(groups, _MARK, -1)
 
 
 def extract(lines: DataFrame) -> DataFrame:
     """Labelled lines only, as ``field, raw, value, corrections``; no shuffle."""
-    hit = lines.filter(F.col("text").rlike(_ANY)).select(
-        "*", label_of(F.col("text")).alias("field"), value_of(F.col("text")).alias("raw")
-    )
+    marked = lines.withColumn("_g", groups_of(F.col("text"))).filter(F.contains("_g", F.lit(_MARK)))
+    hit = marked.select(*lines.columns, label_from(F.col("_g")).alias("field"), value_from(F.col("_g")).alias("raw"))
     valued = hit.withColumn("value", tidy(F.col("raw")))
     return valued.withColumn(
         "corrections",
@@ -78,6 +88,10 @@ def best(fields: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+# One cheap test that no line without a keyword passes.
+ANY_KEYWORD = "VISA|DRIV|PERMIT|PASSPORT|IDENTITY|NATIONAL"
+
+
 def classify(text: Column, hint: Column | None = None) -> Column:
     """Document type by keyword; a known hint wins."""
     upper = F.upper(text)
