@@ -14,3 +14,9 @@ def explode_rows(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """
     rows = df.select(*keys, F.explode_outer(column).alias("_row")).filter(F.col("_row").isNotNull())
     return rows.select(*keys, "_row.*")
+
+
+def explode_texts(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row per text of an array column with its position ``ord``."""
+    rows = df.select("doc_id", F.posexplode_outer(column).alias("ord", name))
+    return rows.filter(F.col(name).isNotNull())

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from idsift.functions import mrz as M
-from idsift.functions.tables import explode_rows
+from idsift.functions.tables import explode_rows, explode_texts
 
 # Lines of one document are ordered in blocks of this many line numbers, so that
 # a single huge document is spread over many tasks.
@@ -305,7 +305,7 @@ def parse_corpus(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     good = parsed.filter(F.col("reason").isNull())
     records = good.drop("checks", "corrections", "reason")
     check_rows = explode_rows(good, ["doc_id"], "checks")
-    correction_rows = good.select("doc_id", F.posexplode("corrections").alias("ord", "note"))
+    correction_rows = explode_texts(good, "corrections", "note")
     found = parsed.select("doc_id").distinct()
     quarantine = (
         lines.select("doc_id").distinct().join(found, "doc_id", "left_anti")

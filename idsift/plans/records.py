@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from idsift.functions import dates as D, mrz as M
-from idsift.functions.tables import explode_rows
+from idsift.functions.tables import explode_rows, explode_texts
 from idsift.operators import lists, mrz, ocr, validation, viz
 from idsift.plans import oracle as O, views
 
@@ -76,9 +76,9 @@ def t3(spark, sf):
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY slot, pos) - 1 AS ord, note FROM parsed_zone_notes"""))
 def t4(spark, sf):
     fixed = mrz.correct(mrz.detect(views.zones(spark, sf).drop("fmt", "encode_reason")))
-    return fixed.filter(F.col("reason").isNull()).select(
-        "doc_id", F.posexplode("corrections").alias("ord", "note")
-    ).withColumn("ord", F.col("ord").cast("bigint"))
+    return explode_texts(fixed.filter(F.col("reason").isNull()), "corrections", "note").withColumn(
+        "ord", F.col("ord").cast("bigint")
+    )
 
 
 @query("t5_fields", O.query("\nUNION ALL ".join(
@@ -111,7 +111,7 @@ def t7(spark, sf):
 
 @query("t8_limitations", O.query("SELECT doc_id, text FROM parsed_zone_limits"))
 def t8(spark, sf):
-    return good_zones(spark, sf).select("doc_id", F.explode("limitations").alias("text"))
+    return explode_texts(good_zones(spark, sf), "limitations", "text").drop("ord")
 
 
 @query("t9_encode", O.query("SELECT doc_id, fmt, r1, r2, r3 FROM encoded"))
