@@ -334,21 +334,24 @@ def font_outliers(glyphs: DataFrame) -> DataFrame:
     kept = glyphs.filter(
         F.col("h").between(4, 36) & F.col("w").between(2, 30) & ((F.col("area") >= 6) if has_area else F.lit(True))
     )
-    cells = kept.groupBy("image_id", "cx", "cy", "h").agg(F.count("*").alias("n"))
-    bx, by = F.floor(F.col("cx") / REACH_X), F.floor(F.col("cy") / REACH_Y)
+    tile = ["image_id", "bx", "by"]
+    cells = (
+        kept.groupBy("image_id", "cx", "cy", "h").agg(F.count("*").alias("n"))
+        .withColumn("bx", F.floor(F.col("cx") / REACH_X)).withColumn("by", F.floor(F.col("cy") / REACH_Y))
+    )
     near = F.sequence(F.lit(-1), F.lit(1))
+    # Neighbours announce themselves to the buckets around their own. All later
+    # keys contain the spot's bucket, so its partitioning serves them too.
     neighbours = (
-        cells.select("image_id", F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("h").alias("nh"), "n", bx.alias("bx"), by.alias("by"))
+        cells.select("image_id", F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("h").alias("nh"), "n", "bx", "by", F.explode(near).alias("sx"))
+        .select("image_id", "nx", "ny", "nh", "n", (F.col("bx") + F.col("sx")).alias("bx"), "by", F.explode(near).alias("sy"))
+        .select("image_id", "nx", "ny", "nh", "n", "bx", (F.col("by") + F.col("sy")).alias("by"))
     )
-    spots = cells.select("image_id", "cx", "cy").distinct().select(
-        "image_id", "cx", "cy", F.explode(near).alias("sx"), bx.alias("gx"), by.alias("gy")
-    ).select(
-        "image_id", "cx", "cy", (F.col("gx") + F.col("sx")).alias("bx"), F.explode(near).alias("sy"), "gy"
-    ).select("image_id", "cx", "cy", "bx", (F.col("gy") + F.col("sy")).alias("by"))
-    close = spots.join(neighbours, ["image_id", "bx", "by"]).filter(
+    spot = [*tile, "cx", "cy"]
+    spots = cells.select(*spot).distinct()
+    close = spots.join(neighbours, tile).filter(
         (F.abs(F.col("ny") - F.col("cy")) < REACH_Y) & (F.abs(F.col("nx") - F.col("cx")) < REACH_X)
     )
-    spot = ["image_id", "cx", "cy"]
     heights = close.groupBy(*spot, "nh").agg(F.sum("n").alias("n"))
     # At most 33 heights per position.
     upto = Window.partitionBy(*spot).orderBy("nh").rowsBetween(Window.unboundedPreceding, 0)
@@ -364,5 +367,5 @@ def font_outliers(glyphs: DataFrame) -> DataFrame:
     deviation = F.abs(F.col("h") - F.col("typical")) / F.greatest(F.col("typical"), F.lit(1.0))
     judged = cells.join(typical, spot).withColumn("deviation", deviation).filter(F.col("deviation") > MAX_DEVIATION)
     return judged.select(
-        *spot, "h", F.col("n").alias("glyphs"), "neighbours", "typical", F.least(F.lit(1.0), "deviation").alias("heat")
+        "image_id", "cx", "cy", "h", F.col("n").alias("glyphs"), "neighbours", "typical", F.least(F.lit(1.0), "deviation").alias("heat")
     )
