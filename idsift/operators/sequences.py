@@ -30,12 +30,19 @@ def frame_struct() -> Column:
     ).cast(_FRAME)
 
 
+def first_frames() -> Column:
+    """Aggregate: the frames at the twelve allowed positions, in order.
+
+    One value per position, so that neither long sequences nor repeated positions
+    make the result grow; the frame count tells both apart from a valid sequence.
+    """
+    at = lambda i: F.min(F.when(F.col("idx") == i, frame_struct()))
+    return F.array_compact(F.array(*[at(i) for i in range(L["max_frames"])]))
+
+
 def gather(frames: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per sequence: ``n`` and ``frames``, sorted, at most twelve."""
-    return frames.groupBy(*(keys or ["seq_id"])).agg(
-        F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.when(F.col("idx") < L["max_frames"], frame_struct()))).alias("frames"),
-    )
+    return frames.groupBy(*(keys or ["seq_id"])).agg(F.count("*").alias("n"), first_frames().alias("frames"))
 
 
 def validate(sequences: DataFrame) -> DataFrame:

@@ -116,14 +116,9 @@ def gather_sequences(stream: DataFrame, time: str = "ts") -> DataFrame:
     gathered = (
         stream.withWatermark(time, gap)
         .groupBy("seq_id", F.session_window(time, gap).alias("session"))
-        .agg(
-            F.count("*").alias("n"),
-            F.collect_list(
-                F.when(F.col("idx") < SEQUENCE_LIMITS["max_frames"], sequences.frame_struct())
-            ).alias("frames"),
-        )
+        .agg(F.count("*").alias("n"), sequences.first_frames().alias("frames"))
     )
-    return gathered.select("seq_id", "n", F.array_sort("frames").alias("frames"))
+    return gathered.select("seq_id", "n", "frames")
 
 
 # ---------------------------------------------------------------------- append
