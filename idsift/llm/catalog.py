@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from idsift.llm import mixing, urls
+from idsift.llm import decontamination, language, merkle, mixing, tokens, urls
 
-MODULES = (mixing, urls)
+MODULES = (tokens, mixing, urls, merkle, decontamination, language)
 
 
 def queries() -> dict:
