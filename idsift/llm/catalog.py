@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from idsift.llm import decontamination, language, merkle, mixing, tokens, urls
+import corpus_pipeline
+from idsift.llm import decontamination, language, lines, merkle, mixing, ngrams, privacy, simhash, tokens, urls
 
-MODULES = (tokens, mixing, urls, merkle, decontamination, language)
+MODULES = (tokens, ngrams, mixing, urls, lines, merkle, simhash, decontamination, language, privacy)
 
 
 def queries() -> dict:
-    return {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
+    return {name: fn for module in MODULES for name, fn in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

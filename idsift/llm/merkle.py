@@ -172,12 +172,14 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         found = ids.agg(F.percentile_approx("doc_id", steps, 10_000).alias("b")).first()["b"]
         bounds = sorted(set(found or []))
     links = neighbours(ids.distinct(), bounds)
-    # The id is null-safe as text; rows of one id and text meet in one group.
+    # The id is null-safe as text; rows of one id and text meet in one group. Both sides
+    # of the join read the same three columns, so that texts are shuffled once.
+    as_text = lambda c: F.coalesce(F.concat(F.lit("#"), F.col(c).cast("string")), F.lit(""))
     copies = Window.partitionBy("_id", "_key").orderBy("_id")
-    placed = texts.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn(
-        "_copy", F.row_number().over(copies)
+    placed = (
+        texts.select(as_text("doc_id").alias("_id"), "_key", "text").repartition("_id", "_key")
+        .withColumn("_copy", F.row_number().over(copies))
     )
-    as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     sent = (
         placed.filter("_copy = 1").select("_id", "_key", "text")
         .join(
@@ -193,7 +195,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         )
     )
     joined = placed.join(sent, F.expr("_id = _to and _key = _to_key")).select(
-        "doc_id", "text", "_start", "_next", F.length("text").alias("_n")
+        F.when(F.col("_id") != "", F.expr("substring(_id, 2)")).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"),
+        "text", "_start", "_next", F.length("text").alias("_n"),
     )
     cut = joined.withColumn(
         "_edited", F.concat(F.expr("substring(text, 1, _n - cast(floor(_n / 3) as int))"), F.col("_start"))
