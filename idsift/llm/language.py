@@ -33,7 +33,9 @@ SMOOTHING = 0.1
 EVIDENCE_WORDS = 8
 UNKNOWN = "und"
 #: Unseen words that a task remembers before it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
+#: Longer words are neither learned from letter by letter nor remembered.
+LONGEST_WORD = 64
 
 _word = re.compile(r"[^\W\d_]+")
 
@@ -60,7 +62,7 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, entries
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return {"langs": [], "tables": {}, "totals": {}}
+        return {"langs": [], "tables": {}}
     share = F.lit(0.0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, min(1.0, docs_per_language / sizes[lang])).otherwise(share)
@@ -69,11 +71,14 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, entries
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: Counter = Counter()
+            words: dict[str, Counter] = {}
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                for word, c in Counter(words_of(text)).items():
-                    found[lang, 0, word] += c
-                    if len(word) < 64:
+                words.setdefault(lang, Counter()).update(words_of(text))
+            found: Counter = Counter()
+            for lang, counts in words.items():
+                for word, c in counts.items():
+                    found[lang, 0, word] = c
+                    if len(word) <= LONGEST_WORD:
                         for n in range(1, LONGEST + 1):
                             for g in grams(word, n):
                                 found[lang, n, g] += c
@@ -91,45 +96,55 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, entries
         counted.withColumn("total", F.sum("c").over(by_kind)).withColumn("rank", rank)
         .filter(F.col("rank") <= each).drop("rank").toPandas()
     )
-    tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
     place_of = {lang: i for i, lang in enumerate(langs)}
-    totals = {n: np.ones(len(langs)) for n in tables}
+    tables: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
+    totals = np.ones((LONGEST + 1, len(langs)))
+    for n, gram in sorted(set(zip(rows["n"], rows["gram"], strict=True))):
+        tables[n][gram] = sum(map(len, tables.values()))
+    counts = np.zeros((sum(map(len, tables.values())), len(langs)))
+    kind = np.zeros(len(counts), dtype=np.int64)
     for lang, n, gram, c, total in rows.itertuples(index=False):
-        totals[n][place_of[lang]] = total
-        tables[n].setdefault(gram, np.zeros(len(langs)))[place_of[lang]] = c
-    for n, table in tables.items():
-        below = np.log(totals[n] + SMOOTHING * max(1, len(table)))
-        for gram, c in table.items():
-            table[gram] = np.log(c + SMOOTHING) - below
-    return {"langs": langs, "tables": tables}
+        at = tables[n][gram]
+        counts[at, place_of[lang]], kind[at] = c, n
+        totals[n, place_of[lang]] = total
+    sizes_of = np.array([max(1, len(tables[n])) for n in range(LONGEST + 1)])
+    below = np.log(totals + SMOOTHING * sizes_of[:, None])
+    return {"langs": langs, "tables": tables, "logs": np.log(counts + SMOOTHING) - below[kind]}
 
 
-def backoff(word: str, tables: dict[int, dict[str, np.ndarray]], size: int) -> np.ndarray:
-    """Score of an unseen word: the longest n of which an n-gram is known."""
+def backoff(word: str, tables: dict[int, dict[str, int]]) -> list[int]:
+    """Rows of an unseen word's known n-grams, of the longest n that has any."""
     for n in range(min(LONGEST, len(word) + 2), 0, -1):
-        found = [v for g in grams(word, n) if (v := tables[n].get(g)) is not None]
+        table = tables[n]
+        found = [i for g in grams(word, n) if (i := table.get(g)) is not None]
         if found:
-            return np.mean(found, axis=0)
-    return np.zeros(size)
+            return found
+    return []
 
 
-def score(words: list[str], model: dict, memory: dict[str, np.ndarray]) -> tuple[str, float]:
+def score(words: list[str], model: dict, memory: dict[str, list[int]]) -> tuple[str, float]:
     """Best language and a confidence between 0 and 1; ties go to the lower name."""
     langs, tables = model["langs"], model["tables"]
     if not langs or not has_letter(words):
         return UNKNOWN, 0.0
-    total, known = np.zeros(len(langs)), tables[0]
+    known, at, weights = tables[0], [], []
     for word, c in Counter(words).items():
-        v = known.get(word)
-        if v is None:
-            v = memory.get(word)
-            if v is None:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                v = backoff(word, tables, len(langs))
-                if len(word) < 64:
-                    memory[word] = v
-        total += c * v
+        i = known.get(word)
+        if i is not None:
+            at.append(i)
+            weights.append(c)
+            continue
+        found = memory.get(word)
+        if found is None:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            found = backoff(word, tables)
+            if len(word) <= LONGEST_WORD:
+                memory[word] = found
+        if found:
+            at += found
+            weights += [c / len(found)] * len(found)
+    total = np.array(weights) @ model["logs"][at] if at else np.zeros(len(langs))
     best = int(total.argmax())
     evidence = (total - total[best]) * min(1.0, EVIDENCE_WORDS / len(words))
     return langs[best], float(1 / np.exp(evidence).sum())
@@ -146,7 +161,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, np.ndarray] = {}
+        memory: dict[str, list[int]] = {}
         for texts in batches:
             found = [score(words_of(t), model, memory) if t else (UNKNOWN, 0.0) for t in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])

@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idsift.llm import common, linking
 
@@ -84,7 +85,7 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([jaccard(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)

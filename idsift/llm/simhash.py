@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idsift.llm import common, linking
 
@@ -64,7 +65,7 @@ def text_bits(text: str | None, k: int = SHINGLE) -> int:
     return hash_bits([xxhash.xxh64_intdigest(s, 42) for s in shingles(words_of(text), k)])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprint_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([text_bits(t) for t in texts], dtype="int64")
@@ -183,7 +184,7 @@ def search(fps: DataFrame, most: int, count: int | None = None, dense: float = D
     near = [max(n / 2.0**w, 0.25 * squares.get(i, 0) / max(1, n)) for i, w in enumerate(widths)]
     cap = float(dense)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def allocated(found: pd.Series) -> pd.Series:
         if not len(found):
             return pd.Series([], dtype=object)
@@ -292,7 +293,7 @@ def jaccard(a: str, b: str, k: int = NEAR_SHINGLE) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-@F.pandas_udf("node binary, sig long")
+@F.pandas_udf(T.StructType().add("node", T.BinaryType()).add("sig", T.LongType()))
 def _identity(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         split = [words_of(t) for t in texts]
@@ -301,7 +302,7 @@ def _identity(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([jaccard(x, y) >= NEAR_SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)

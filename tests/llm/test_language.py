@@ -24,19 +24,20 @@ def test_held_out_labels_teach_nothing(spark, sf_dir):
 
 def test_backoff_goes_to_the_longest_known_length():
     tables = {n: {} for n in range(language.LONGEST + 1)}
-    tables[2] = {"ab": np.array([-1.0, -2.0]), "bc": np.array([-3.0, -1.0])}
-    tables[1] = {"a": np.array([-9.0, -9.0])}
-    assert language.backoff("abc", tables, 2).tolist() == [-2.0, -1.5]
-    assert language.backoff("xay", tables, 2).tolist() == [-9.0, -9.0]
-    assert language.backoff("q", tables, 2).tolist() == [0.0, 0.0]
+    tables[2] = {"ab": 0, "bc": 1}
+    tables[1] = {"a": 2}
+    assert language.backoff("abc", tables) == [0, 1]
+    assert language.backoff("xay", tables) == [2]
+    assert language.backoff("q", tables) == []
 
 
 def test_known_words_come_first():
     tables = {n: {} for n in range(language.LONGEST + 1)}
-    tables[0] = {"der": np.array([-9.0, -1.0])}
-    tables[3] = {"der": np.array([-1.0, -9.0])}
-    model = {"langs": ["de", "en"], "tables": tables}
+    tables[0], tables[3] = {"der": 0}, {"der": 1}
+    logs = np.array([[-9.0, -1.0], [-1.0, -9.0]])
+    model = {"langs": ["de", "en"], "tables": tables, "logs": logs}
     assert language.score(["der"], model, {})[0] == "en"
+    assert language.score(["xderx"], model, {})[0] == "de"
 
 
 def test_edge_rows(spark):

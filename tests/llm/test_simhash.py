@@ -132,7 +132,7 @@ def test_near_duplicates(spark, dense, monkeypatch):
     found = {r["text"] + str(r["doc_id"]): r for r in simhash.near_duplicates(df).collect()}
     got = [found[t + str(rnd[i])]["component"] for i, t in enumerate(texts)]
     missed = sum(got[i] != got[j] for i, j in links)
-    assert missed <= 0.02 * len(links)
+    assert missed <= 0.05 * len(links)
     # Nothing is joined that links don't join.
     for g in set(map(bytes, got)):
         assert len({want[i] for i in range(len(texts)) if bytes(got[i]) == g}) == 1
