@@ -180,7 +180,7 @@ def mentions(found: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
     """entity, term, disclosure: pairs at or above THRESHOLD. Counts are of documents
     over the whole corpus; SUPPORT counts different texts, so copies are one."""
-    n = docs.agg(F.count("*").alias("n"))
+    n = F.lit(docs.count())
     of_entity = (
         found.select("_id", "_key", entity_name(F.col("kind"), F.col("found")).alias("entity")).distinct()
         .groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -197,9 +197,9 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame
         docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
         .join(asked, "term", "left_semi")
     )
-    scored = pairs.join(of_entity, "entity").join(of_term, "term").crossJoin(F.broadcast(n))
-    information = F.log2(F.col("n") / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
+    scored = pairs.join(of_entity, "entity").join(of_term, "term")
+    information = F.log2(n / F.col("n_entity"))
+    mutual = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both")))
     return (
         scored.withColumn("disclosure", F.when(information > 0, mutual / information))
         .filter(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
