@@ -33,7 +33,7 @@ from idsift.llm import common
 from idsift.llm.eliasfano import Trie, probability
 
 #: Bytes of text in a block, about.
-BLOCK = 16_000_000
+BLOCK = 12_000_000
 #: Words or pairs of all blocks that a shard takes, about.
 SHARD = 1_000_000
 #: Pairs of all blocks from which a context is spread over shards. At most SPREAD
@@ -146,7 +146,10 @@ class Block:
         before[1:] = self.tokens[:-1]
         before[self.starts] = 1
         n = len(self.hashes)
-        pairs, self.pair_of = np.unique(before * n + self.tokens, return_inverse=True)
+        keys = before * n
+        keys += self.tokens
+        pairs, self.pair_of = np.unique(keys, return_inverse=True)
+        del keys
         self.first, self.second = pairs // n, pairs % n
         self.pair_train = np.bincount(self.pair_of[self.train], minlength=len(pairs))
         self.context_train = np.bincount(before[self.train], minlength=n)
@@ -196,24 +199,24 @@ def _cut(shard: np.ndarray, values: np.ndarray):
             yield s, part
 
 
-def ask(blocks: DataFrame, word_shards: int, pair_shards: int, spread: dict[int, int]) -> DataFrame:
-    """shard, block, body: what each block asks of each shard. Pair shards come after
-    the word shards; with pair_shards = 0 only words are asked."""
+def ask(blocks: DataFrame, shards: int, spread: dict[int, int] | None) -> DataFrame:
+    """shard, block, body: what each block asks of each shard. Word shards have numbers
+    from 0; with `spread`, pairs are asked, and their shards have numbers below 0."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, held, body in zip(batch["block"], batch["held"], batch["body"], strict=True):
                 b, out = Block(body, held), []
-                for shard, words in b.word_parts(word_shards):
-                    out.append((shard, block, _pack(b.hashes[words], b.word_train[words].astype(np.uint32))))
-                if pair_shards:
+                if spread is None:
+                    for shard, words in b.word_parts(shards):
+                        out.append((shard, block, _pack(b.hashes[words], b.word_train[words].astype(np.uint32))))
+                else:
                     b.with_pairs()
-                    for shard, contexts, pairs in b.pair_parts(pair_shards, spread):
-                        followers = np.searchsorted(b.first[pairs], contexts, side="right") - np.searchsorted(
-                            b.first[pairs], contexts
-                        )
+                    for shard, contexts, pairs in b.pair_parts(shards, spread):
+                        firsts = b.first[pairs]
+                        followers = np.searchsorted(firsts, contexts, side="right") - np.searchsorted(firsts, contexts)
                         second = b.hashes[b.second[pairs]] >> np.uint64(16)
-                        out.append((word_shards + shard, block, _pack(
+                        out.append((-1 - shard, block, _pack(
                             b.hashes[contexts], b.context_train[contexts].astype(np.uint32), followers.astype(np.uint32),
                             (second >> np.uint64(16)).astype(np.uint32), (second & np.uint64(0xFFFF)).astype(np.uint16),
                             b.pair_train[pairs].astype(np.uint32),
@@ -278,13 +281,13 @@ def pair_answers(rows: list[tuple]) -> list[bytes]:
     return out
 
 
-def answer(asked: DataFrame, word_shards: int) -> DataFrame:
+def answer(asked: DataFrame) -> DataFrame:
     """block, shard, body, n_distinct: the answers to what the blocks asked."""
 
     def serve(rows: pd.DataFrame) -> pd.DataFrame:
         shard, n = int(rows["shard"].iloc[0]), 0
         each = list(zip(rows["block"], rows["body"], strict=True))
-        if shard < word_shards:
+        if shard >= 0:
             bodies, n = word_answers(each)
         else:
             bodies = pair_answers(each)
@@ -302,7 +305,7 @@ def score_block(ids, held, body, answers: dict[int, bytes], facts: dict) -> pd.D
     seen = np.zeros(len(b.first))
     mass = np.zeros(len(b.hashes))
     for shard, contexts, pairs in b.pair_parts(facts["pair_shards"], facts["spread"]):
-        codes, left = _unpack(answers[facts["word_shards"] + shard])
+        codes, left = _unpack(answers[-1 - shard])
         seen[pairs] = probability(codes)
         mass[contexts] += left.view(np.float32)
     mass[count == 0] = 1.0
@@ -338,15 +341,16 @@ def score(docs: DataFrame, held_out: Column, block: int | None = None) -> DataFr
         .filter(F.col("n") >= hot).collect()
     )
     spread = {r["context"]: min(pair_shards, int(-(-2 * r["n"] // HOT))) for r in heavy}
+    # The unigram level first: each block's words with their counts, and their number.
+    words = common.stored(answer(ask(blocks, word_shards, None)), "words")
     distinct = (
-        answer(ask(blocks, word_shards, 0, {}), word_shards).groupBy("shard").agg(F.max("n_distinct").alias("n"))
-        .agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        words.groupBy("shard").agg(F.max("n_distinct").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     )
     facts = {
         "word_shards": word_shards, "pair_shards": pair_shards, "spread": spread, "distinct": int(distinct),
         "train_tokens": int(sums["n_train"]), "train_docs": int(sums["n_train_docs"]),
     }
-    answers = answer(ask(blocks, word_shards, pair_shards, spread), word_shards).drop("n_distinct")
+    answers = words.union(answer(ask(blocks, pair_shards, spread))).drop("n_distinct")
 
     def finish(of_block: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         row = of_block.iloc[0]

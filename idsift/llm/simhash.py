@@ -346,15 +346,22 @@ def near_duplicates(docs: DataFrame, most: int = NEAR_BITS) -> DataFrame:
         probes.join(crowd.select("part", "value").distinct(), ["part", "value"], "left_semi")
         .select(bucket, "node", F.col("fp").alias("sig"), F.lit(False).alias("indexed"))
     )
-    texts = docs.select(_identity(F.col("text"))["node"].alias("node"), "text")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        one = texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        one = common.stored(one, "texts")
-        with_a = pairs.join(one.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_a.join(one.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.filter(_similar(F.col("text_a"), F.col("text_b")))
+    # One text of every node that may be compared, found by its row and moved once.
+    asked = (
+        pairs.select("node").union(pairs.select("pivot")).union(members.select("node")).distinct()
+        .join(own.groupBy("node").agg(F.min(F.struct("_key", "_text")).alias("row")), "node")
+        .select("node", "row._key", "row._text")
+    )
+    texts = common.stored(
+        docs.select(_id_key("doc_id"), F.xxhash64("text").alias("_text"), "text").join(asked, ["_key", "_text"])
+        .groupBy("node").agg(F.first("text").alias("text")),
+        "texts",
+    )
+
+    def verify(asked_pairs: DataFrame) -> DataFrame:
+        with_a = asked_pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return both.filter(_similar(F.coalesce("text_a", F.lit("")), F.coalesce("text_b", F.lit(""))))
 
     links = linking.linked(members, verify, close, pairs)
     found = common.stored(linking.components(links), "components")
