@@ -29,13 +29,14 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 #: Shorter lines, normalised, are left alone.
 LEAST_CHARS = 20
+#: Characters whose shingle sets a task remembers.
+REMEMBERED = 500_000
 #: Characters that are hashed at a time.
 CHUNK = 1 << 17
 OUT = "line_no int, key long, bands array<long>"
 
 _random = np.random.default_rng(5)
-_A = _random.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _random.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
+_A = _random.integers(1 << 29, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,26 +70,52 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def signatures(lines: list[str]) -> np.ndarray:
     """A row of BANDS values per line."""
     hashes, starts = shingle_hashes(lines)
+    hashes = (hashes >> np.uint64(32)).astype(np.uint32)
     bands = np.empty((len(lines), BANDS), dtype=np.uint64)
     for band in range(BANDS):
         value = np.full(len(lines), band + 1, dtype=np.uint64)
         for i in range(band * ROWS, band * ROWS + ROWS):
-            low = np.minimum.reduceat((hashes * _A[i] + _B[i]) >> np.uint64(16), starts)
-            value = (value ^ low) * _MIX
+            low = np.minimum.reduceat(hashes * _A[i], starts)
+            value = (value ^ low.astype(np.uint64)) * _MIX
             value ^= value >> np.uint64(31)
         bands[:, band] = value
     return bands.view(np.int64)
 
 
+def shingle_set(s: str) -> set[str]:
+    return {s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))}
+
+
+def are_similar(x: set, y: set) -> bool:
+    """Jaccard similarity of at least SIMILARITY; the sizes alone rule most pairs out."""
+    few, many = sorted((len(x), len(y)))
+    if few < SIMILARITY * many:
+        return False
+    both = len(x & y)
+    return both >= SIMILARITY * (few + many - both)
+
+
 def jaccard(a: str, b: str) -> float:
-    x, y = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
+    x, y = shingle_set(a), shingle_set(b)
     return len(x & y) / len(x | y)
 
 
 @F.pandas_udf(T.BooleanType())
 def _similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    sets: dict[str, set] = {}
+    size = 0
     for a, b in batches:
-        yield pd.Series([jaccard(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
+        out = []
+        for pair in zip(a, b, strict=True):
+            for line in pair:
+                if line not in sets:
+                    if size > REMEMBERED:
+                        sets, size = {}, 0
+                    sets[line] = shingle_set(line)
+                    size += len(line)
+            x, y = (sets.get(line) or shingle_set(line) for line in pair)
+            out.append(are_similar(x, y))
+        yield pd.Series(out, dtype=bool)
 
 
 def occurrences(docs: DataFrame, kind: str) -> DataFrame:
@@ -164,10 +191,11 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_doc"))
     rows = common.stored(occurrences(docs, dict(docs.dtypes)["doc_id"]), "lines")
-    banded = rows.filter("bands is not null").select("key", F.explode("bands").alias("bucket")).repartition("bucket")
+    once = rows.filter("bands is not null").select("key", "bands").dropDuplicates(["key"])
+    banded = once.select("key", F.explode("bands").alias("bucket")).repartition("bucket")
     alone = banded.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
     members = (
-        banded.distinct().join(alone.select("bucket"), "bucket", "left_semi")
+        banded.join(alone.select("bucket"), "bucket", "left_semi")
         .select("bucket", F.col("key").alias("node"), F.lit(0).alias("sig"), F.lit(True).alias("indexed"))
     )
     members = common.stored(members, "members")
