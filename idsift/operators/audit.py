@@ -130,8 +130,12 @@ def new_head(head: DataFrame, appended: DataFrame) -> DataFrame:
 
 
 def linked(events: DataFrame) -> DataFrame:
-    """Add ``link_ok``: NULL where the predecessor row is missing."""
-    before = events.select("chain_id", (F.col("seq") + 1).alias("seq"), F.col("event_hash").alias("_before"))
+    """Add ``link_ok``: NULL where the predecessor row is missing.
+
+    A position that is stored more than once has one predecessor hash here, so rows
+    are never multiplied; ``verify`` reports the repetition.
+    """
+    before = events.groupBy("chain_id", (F.col("seq") + 1).alias("seq")).agg(F.min("event_hash").alias("_before"))
     joined = events.join(before, ["chain_id", "seq"], "left")
     expected = F.when(F.col("seq") == 1, F.lit(ZERO_HASH)).otherwise(F.col("_before"))
     return joined.withColumn("link_ok", expected == F.col("previous_hash")).drop("_before")
@@ -146,6 +150,10 @@ def verify(events: DataFrame, head: DataFrame, anchors: DataFrame | None = None)
     checked = linked(events).withColumn("_hash_ok", row_hash() == F.col("event_hash"))
     broken = ~F.coalesce("link_ok", F.lit(True)) | ~F.col("_hash_ok")
     unreadable = F.try_parse_json("payload_json").isNull()
+    # A position that is stored again breaks the count at the next one.
+    again = events.groupBy("chain_id", "seq").agg(F.count("*").alias("_times")).filter("_times > 1").groupBy(
+        "chain_id"
+    ).agg(F.struct((F.min("seq") + 1).alias("seq"), F.lit(0).alias("kind")).alias("_again"))
     problem = F.when(broken, F.struct("seq", F.lit(0).alias("kind"))).when(
         unreadable, F.struct("seq", F.lit(1).alias("kind"))
     )
@@ -160,7 +168,7 @@ def verify(events: DataFrame, head: DataFrame, anchors: DataFrame | None = None)
             F.count("*").alias("_n"), F.min("seq").alias("_first"), F.min(problem).alias("_problem"),
             F.max_by("event_hash", "seq").alias("_last"),
         )
-        .join(open_ends, "chain_id")
+        .join(open_ends, "chain_id").join(again, "chain_id", "left")
     )
     heads = head.select("chain_id", F.col("seq").alias("_head_seq"), F.col("event_hash").alias("_head_hash"))
     every = per_chain.join(heads, "chain_id", "full")
@@ -168,7 +176,7 @@ def verify(events: DataFrame, head: DataFrame, anchors: DataFrame | None = None)
     # First position without its number; a failure only if rows follow it.
     missing = F.when(F.col("_first") != 1, F.lit(1)).otherwise(F.col("_end") + 1)
     gap = F.when(missing <= n, F.struct(missing.cast("bigint").alias("seq"), F.lit(0).alias("kind")))
-    first = F.least(F.col("_problem"), gap)
+    first = F.least(F.col("_problem"), gap, F.col("_again"))
     last = F.when(n == 0, ZERO_HASH).otherwise(F.col("_last"))
     staged = every.select(
         "chain_id", n.alias("event_count"), last.alias("head_hash"), first.alias("_failure"),
@@ -204,6 +212,32 @@ def verify(events: DataFrame, head: DataFrame, anchors: DataFrame | None = None)
     )
 
 
+INTEGRITY = "AUDIT_INTEGRITY"
+
+
+def guard(verified: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of chains that ``verify`` found valid or doesn't know yet, and the others with
+    a reason: nothing is appended to, or read from, a chain that fails its check."""
+    bad = verified.filter(~F.col("valid")).select("chain_id")
+    refused = rows.join(bad, "chain_id", "left_semi").withColumn("reason", F.lit(INTEGRITY))
+    return rows.join(bad, "chain_id", "left_anti"), refused
+
+
+def decision_events(accepted: DataFrame, state: DataFrame) -> DataFrame:
+    """Accepted decisions as rows to append: each names the event that it supersedes, and
+    that its actor is not verified. ``state``: ``scan_id, chain_id, document_hash``."""
+    payload = canonical([
+        F.col("acknowledge_incomplete"), F.lit(False).alias("actor_verified"), F.col("decision"), F.col("note"),
+        F.col("expected_event_hash").alias("supersedes_event_hash"),
+    ])
+    chain = state.select("scan_id", "chain_id", F.col("document_hash").alias("_doc"))
+    rest = [c for c in accepted.columns if c not in ("scan_id", "chain_id", "document_hash", "payload_json", "kind", "event_id")]
+    return accepted.filter(F.col("status") == "accepted").join(chain, "scan_id").select(
+        "chain_id", "scan_id", F.concat(F.lit("evt-"), "request_id").alias("event_id"), F.lit("decision").alias("kind"),
+        F.col("_doc").alias("document_hash"), payload.alias("payload_json"), *rest,
+    )
+
+
 # ------------------------------------------------------------ replay, decisions
 
 
@@ -244,7 +278,7 @@ def latest(events: DataFrame) -> DataFrame:
     return (
         events.groupBy("scan_id")
         .agg(
-            F.max(F.when(scan, F.struct("seq", "chain_id", "event_id", "actor", "document_hash", "payload_json"))).alias("s"),
+            F.max(F.when(scan, F.struct("seq", "chain_id", "event_id", "actor", "document_hash", "payload_json", "timestamp"))).alias("s"),
             F.max_by(F.struct(body["decision"].alias("decision"), "actor"), F.when(decision, F.col("seq"))).alias("d"),
             F.max_by("event_hash", "seq").alias("latest_event_hash"),
             F.min_by("kind", "seq").alias("first_kind"),
@@ -253,6 +287,7 @@ def latest(events: DataFrame) -> DataFrame:
             "scan_id", F.col("s.seq").alias("seq"), F.col("s.chain_id").alias("chain_id"),
             F.col("s.event_id").alias("event_id"), F.col("s.actor").alias("actor"),
             F.col("s.document_hash").alias("document_hash"), F.col("s.payload_json").alias("payload_json"),
+            F.col("s.timestamp").alias("timestamp"),
             F.coalesce("d.decision", F.lit("pending")).alias("state"), F.col("d.actor").alias("latest_actor"),
             "latest_event_hash", "first_kind",
         )
@@ -299,9 +334,29 @@ def accept(events: DataFrame, decisions: DataFrame, order: str = "ord") -> DataF
         .when(blocked, "incomplete")
     )
     judged = joined.withColumn("_early", early)
-    winners = judged.filter(F.col("_early").isNull()).groupBy("scan_id").agg(
-        F.min_by(F.struct(F.col(order).alias("at"), "request_id", "fingerprint"), F.col(order)).alias("_won")
-    )
+    lost = None
+    while True:
+        free = judged.filter(F.col("_early").isNull())
+        if lost is not None:
+            free = free.join(lost, ["request_id", "scan_id"], "left_anti")
+        winners = free.groupBy("scan_id").agg(
+            F.min_by(F.struct(F.col(order).alias("at"), "request_id", "fingerprint"), F.col(order)).alias("_won")
+        )
+        # One request may win for one scan: the earliest, then the lowest scan.
+        by_request = winners.groupBy(F.col("_won.request_id").alias("request_id")).agg(
+            F.min(F.struct(F.col("_won.at").alias("at"), "scan_id")).alias("_kept"), F.count("*").alias("_scans")
+        ).filter("_scans > 1")
+        more = winners.select("scan_id", F.col("_won.request_id").alias("request_id")).join(by_request, "request_id").filter(
+            F.col("scan_id") != F.col("_kept.scan_id")
+        ).select("request_id", "scan_id")
+        if more.isEmpty():
+            break
+        lost = more if lost is None else lost.union(more)
+    if lost is not None:
+        marks = lost.distinct().withColumn("_lost", F.lit(True))
+        judged = judged.join(marks, ["request_id", "scan_id"], "left").withColumn(
+            "_early", F.coalesce("_early", F.when(F.col("_lost"), "conflict"))
+        ).drop("_lost")
     decided = judged.join(winners, "scan_id", "left")
     won = F.col("_won.at")
     same_request = F.col("_won.request_id") == F.col("request_id")
@@ -333,7 +388,7 @@ def history(
     matching = latest(events).filter(F.col("seq").isNotNull() & F.contains(text, F.lit(query.lower())))
     if decision is not None:
         matching = matching.filter(F.col("state") == decision)
-    page = matching.orderBy(F.desc("seq"), "chain_id", "scan_id").offset(offset).limit(limit)
+    page = matching.orderBy(F.desc("timestamp"), "chain_id", "seq", "scan_id").offset(offset).limit(limit)
     return page.drop("payload_json", "first_kind"), matching.agg(F.count("*").alias("total"))
 
 

@@ -43,8 +43,13 @@ def content_leakage(df: DataFrame, content: str = "content") -> DataFrame:
 def check_labels(df: DataFrame) -> DataFrame:
     """Add ``problems``: label, mask, group and split inconsistencies.
 
-    ``mask_nonempty`` is NULL when no mask was supplied.
+    ``mask_nonempty`` is NULL when no mask was supplied. With the sizes of image and mask
+    (``width, height, mask_width, mask_height``) a mask must be as large as its image.
     """
+    sizes = ("width", "height", "mask_width", "mask_height")
+    other = F.lit(False)
+    if set(sizes) <= set(df.columns):
+        other = ~(F.col("width").eqNullSafe(F.col("mask_width")) & F.col("height").eqNullSafe(F.col("mask_height")))
     clean = F.coalesce(F.col("attack") == "clean", F.lit(False))
     no_mask = F.col("mask_nonempty").isNull()
     verified = F.coalesce("verified_clean", F.lit(False)) if "verified_clean" in df.columns else F.lit(False)
@@ -56,6 +61,7 @@ def check_labels(df: DataFrame) -> DataFrame:
                 F.when(~F.col("split").isin(*SPLITS), "unknown_split"),
                 F.when(no_mask & ~(clean & verified), "unknown_is_not_clean"),
                 F.when(~no_mask & (clean == F.col("mask_nonempty")), "label_disagrees_with_mask"),
+                F.when(~no_mask & other, "mask_size_differs"),
             )
         ),
     )

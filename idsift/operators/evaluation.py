@@ -90,37 +90,52 @@ def image_flag(cells: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def roc(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """One point per distinct score plus the origin; nothing for a single class."""
+    """One point per distinct score plus the origin; nothing for a single class.
+
+    A null group is a group. Rows without a usable score or truth give no point and
+    don't count; ``unscored`` has them.
+    """
     keys = list(by or [])
-    # A constant key lets the ungrouped curve use the same code.
-    base = df.select(*keys, F.lit("all").alias("_all"), F.col(truth).alias("_t"), F.col(score).cast("double").alias("threshold"))
-    keyed = [*keys, "_all"]
-    merged = base.groupBy(*keyed, "threshold").agg(
+    base = df.filter(_scored(truth, score)).select(*keys, F.col(truth).alias("_t"), F.col(score).cast("double").alias("threshold"))
+    merged = base.groupBy(*keys, "threshold").agg(
         F.count_if("_t").alias("pos"), F.count_if(~F.col("_t")).alias("neg")
     )
-    totals = merged.groupBy(*keyed).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).filter(
-        (F.col("_p") > 0) & (F.col("_n") > 0)
-    )
-    curve = ranks.running_sums(merged, keyed, "threshold", ["pos", "neg"]).join(totals, keyed)
+    curve = ranks.running_sums(merged, keys, "threshold", ["pos", "neg"]).filter("all_pos > 0 and all_neg > 0")
     points = curve.select(
-        *keys, "threshold", (F.col("cum_neg") / F.col("_n")).alias("fpr"), (F.col("cum_pos") / F.col("_p")).alias("tpr")
-    )
-    origin = totals.select(
-        *keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
+        *keys, "threshold", (F.col("cum_neg") / F.col("all_neg")).alias("fpr"), (F.col("cum_pos") / F.col("all_pos")).alias("tpr")
     )
+    zero = F.lit(0.0)
+    totals = merged.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).filter("_p > 0 and _n > 0")
+    origin = totals.select(*keys, F.lit(None).cast("double").alias("threshold"), zero.alias("fpr"), zero.alias("tpr"))
     return origin.unionByName(points)
 
 
-def latency(df: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Summary per group, and the rejected rows (NULL, negative, not finite)."""
+def _scored(truth: str, score: str) -> Column:
+    s = F.col(score).cast("double")
+    return F.col(truth).isNotNull() & s.isNotNull() & ~F.isnan(s)
+
+
+def unscored(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """Rows that ``roc`` leaves out: no truth, no score, or a score that is no number."""
+    return df.filter(~F.coalesce(_scored(truth, score), F.lit(False)))
+
+
+def latency(df: DataFrame, value: str, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Summary per group, over all rows without ``by``, and the rejected rows (NULL,
+    negative, not finite). A null group is a group."""
+    by = list(by or [])
     v = F.col(value)
     good = v.isNotNull() & ~F.isnan(v) & (v < float("inf")) & (v >= 0)
     kept = df.filter(good)
-    simple = kept.groupBy(*by).agg(
+    simple = kept.groupBy(ranks.group_of(by)).agg(
         F.count("*").alias("n"), F.avg(value).alias("mean_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms")
     )
     ranked = ranks.quantiles(kept, by, value, {"median_ms": 0.5, "p95_ms": 0.95})
-    return simple.join(ranked, by), df.filter(~F.coalesce(good, F.lit(False)))
+    ranked = ranked.select(ranks.group_of(by), "median_ms", "p95_ms")
+    both = simple.join(ranked, "_g").select(
+        *[F.col(f"_g.{k}").alias(k) for k in by], "n", "mean_ms", "min_ms", "max_ms", "median_ms", "p95_ms"
+    )
+    return both, df.filter(~F.coalesce(good, F.lit(False)))
 
 
 def unpivot_layers(df: DataFrame, keys: list[str], layers: list[str]) -> DataFrame:

@@ -1,12 +1,14 @@
 """Face-vector jobs: quality, pair checks, exact search, alias rule, error rates.
 
 Exact search over a large gallery must look at every close enough vector but not
-at every pair. Gallery vectors are grouped around a few pivot vectors. On the unit
-sphere the angle obeys the triangle inequality, so a query skips every group that
-is farther away than the threshold angle plus the group's radius. What remains is
-compared block by block with matrix products; blocks are bounded in size on both
-sides however many rows share a group, and a block emits results per query or
-counts, never pairs.
+at every pair. Gallery vectors are grouped around pivot vectors, about as many as the
+root of their number. On the unit sphere the angle obeys the triangle inequality, so
+a query skips every group that is farther away than the threshold angle plus the
+group's radius; a group's blocks go only to the chunks of queries that ask for it.
+Inside a block, the product over a few principal axes plus the product of what is
+left of both lengths bounds a pair's similarity, and only pairs whose bound reaches
+the threshold are compared. Blocks are bounded in size on both sides however many
+rows share a group, and emit results per query or counts, never pairs.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from idsift.functions import vectors
 from idsift.policy import FACE_THRESHOLDS
 
 GALLERY_BLOCK, QUERY_BLOCK, SLICE = 4096, 16384, 1024
-PIVOTS = 32
+#: The most pivots; they come to the driver.
+PIVOTS = 1024
 # Wider than any rounding error of the angles.
 SLACK = 1e-4
+DIGITS = 9
 
 
 def quality(observations: DataFrame) -> DataFrame:
@@ -100,13 +104,40 @@ def _unit(column: pd.Series) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _usable(df: DataFrame) -> DataFrame:
-    return df.filter(vectors.invalid_reason(F.col("embedding")).isNull())
+def _usable(df: DataFrame, size: int | None = None) -> DataFrame:
+    """Rows with a vector, of ``size`` numbers if given; others can't be compared."""
+    usable = df.filter(vectors.invalid_reason(F.col("embedding")).isNull())
+    return usable if size is None else usable.filter(F.size("embedding") == size)
+
+
+def _axes(sample: np.ndarray) -> np.ndarray:
+    """Orthogonal axes, those along which the sample varies most first."""
+    return np.linalg.svd(sample, full_matrices=True)[2].T
+
+
+def similarities(left: np.ndarray, right: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """Similarities of unit vectors, -2 for pairs that are surely below the threshold,
+    and the number of pairs that were compared in full. Rounded, so that equal vectors
+    tie in whichever block they are."""
+    few = max(1, axes.shape[1] // 4)
+    a, b = left @ axes, right @ axes
+    rest = np.sqrt(np.maximum(0, 1 - (a[:, :few] ** 2).sum(1)))[:, None] * np.sqrt(np.maximum(0, 1 - (b[:, :few] ** 2).sum(1)))
+    bound = a[:, :few] @ b[:, :few].T
+    near = bound + rest >= threshold - SLACK
+    count = int(near.sum())
+    if count * 2 > near.size:
+        return np.round(np.clip(left @ right.T, -1, 1), DIGITS), near.size
+    out = np.full(near.shape, -2.0)
+    rows, columns = np.nonzero(near)
+    for at in range(0, count, 1 << 16):
+        i, j = rows[at : at + (1 << 16)], columns[at : at + (1 << 16)]
+        out[i, j] = np.round(np.clip((left[i] * right[j]).sum(1), -1, 1), DIGITS)
+    return out, count
 
 
 def _blocks(
     queries: DataFrame, gallery: DataFrame, threshold: float, extra: list[str],
-    kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
+    kernel: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str,
 ) -> DataFrame:
     """Run ``kernel(queries, gallery)`` on all blocks that may hold a close pair.
 
@@ -115,11 +146,14 @@ def _blocks(
     theta = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
     cols = ["vec_id", "embedding", *extra]
     gallery, queries = _usable(gallery).select(*cols), _usable(queries).select(*cols)
-    # A fixed number of vectors comes to the driver.
-    picked = gallery.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("embedding").collect()
-    if not picked:
+    size = gallery.select(F.size("embedding").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
+    if size is None:
         return queries.limit(0).mapInPandas(lambda it: iter(()), schema)
+    gallery, queries = _usable(gallery, size["n"]), _usable(queries, size["n"])
+    wanted = min(PIVOTS, math.isqrt(size["count"]) + 1)
+    picked = gallery.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("embedding").collect()
     pivots = _unit(pd.Series([r[0] for r in picked]))
+    axes = _axes(pivots)
     fields = ", ".join(f"{n} {t}" for n, t in gallery.dtypes)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,9 +174,8 @@ def _blocks(
     radius = np.array([stats[c][1] for c in cells])
     chunks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     split_of = F.create_map(*[F.lit(v) for c in cells for v in (int(c), int(stats[c][0]))])
-    spread = placed.select(
-        *cols, "cell", F.pmod(F.xxhash64("vec_id"), F.element_at(split_of, F.col("cell"))).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+    parted = placed.select(
+        *cols, "cell", F.pmod(F.xxhash64("vec_id"), F.element_at(split_of, F.col("cell"))).cast("int").alias("part")
     )
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,9 +194,11 @@ def _blocks(
     chunked = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
     routed = chunked.mapInPandas(route, f"{fields}, chunk int, cell int, part int")
     keys = ["cell", "part", "chunk"]
+    asked = routed.select(*[(F.col(k) + 0).alias(k) for k in keys]).distinct()
+    spread = parted.join(asked, ["cell", "part"])
 
     def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        return kernel(q, g)
+        return kernel(q, g, axes)
 
     return routed.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(run, schema)
 
@@ -174,16 +209,16 @@ def nearest(queries: DataFrame, gallery: DataFrame, threshold: float) -> DataFra
     Ties go to the lowest gallery id. Queries without a hit get no row.
     """
 
-    def best(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+    def best(q: pd.DataFrame, g: pd.DataFrame, axes: np.ndarray) -> pd.DataFrame:
         out = {"query_id": [], "match_id": [], "similarity": []}
         if len(q) and len(g):
             g = g.sort_values("vec_id")
-            right, ids = _unit(g.embedding).T, g.vec_id.to_numpy()
+            right, ids = _unit(g.embedding), g.vec_id.to_numpy()
             left, names = _unit(q.embedding), q.vec_id.to_numpy()
             for at in range(0, len(q), SLICE):
-                scores = left[at : at + SLICE] @ right
+                scores, _ = similarities(left[at : at + SLICE], right, axes, threshold)
                 top = scores.argmax(axis=1)
-                value = np.clip(scores[np.arange(len(top)), top], -1, 1)
+                value = scores[np.arange(len(top)), top]
                 keep = value >= threshold
                 out["query_id"].append(names[at : at + SLICE][keep])
                 out["match_id"].append(ids[top][keep])
@@ -224,13 +259,13 @@ def grid_error_rates(refs: DataFrame, probes: DataFrame, thresholds: list[float]
     """
     levels = sorted(float(t) for t in thresholds)
 
-    def count(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+    def count(q: pd.DataFrame, g: pd.DataFrame, axes: np.ndarray) -> pd.DataFrame:
         totals = np.zeros((len(levels), 2), np.int64)
         if len(q) and len(g):
-            right, theirs = _unit(g.embedding).T, g.label.to_numpy()
+            right, theirs = _unit(g.embedding), g.label.to_numpy()
             left, mine = _unit(q.embedding), q.label.to_numpy()
             for at in range(0, len(q), SLICE):
-                scores = np.clip(left[at : at + SLICE] @ right, -1, 1)
+                scores, _ = similarities(left[at : at + SLICE], right, axes, levels[0])
                 same = mine[at : at + SLICE, None] == theirs[None, :]
                 for i, level in enumerate(levels):
                     hit = scores >= level

@@ -89,10 +89,10 @@ FIELDS = ("number", "issuing_country", "nationality", "dob", "expiry", "gender",
 SEARCH_ORDER = ("TD1", "TD3", "TD2")
 DOCUMENT_LETTERS = ("P", "A", "C", "I")
 
-EXTENDED_NUMBER = "Extended document number detected; number reconstruction is unsupported."
-BAD_DOCUMENT_CODE = "Document code is malformed."
-BAD_SEX_MARKER = "Sex marker is not M, F or filler; inspect the OCR."
-CLEANED_NOTE = "Whitespace removed and characters uppercased for parsing."
+EXTENDED_NUMBER = "The number goes on in the optional field; it is not put together."
+BAD_DOCUMENT_CODE = "The document code has an unknown form."
+BAD_SEX_MARKER = "Sex marker is none of M, F and <; look at the reading."
+CLEANED_NOTE = "Read without white space and in capitals."
 
 _TEXTS = "array<string>"
 
@@ -208,7 +208,7 @@ def fields(df: DataFrame) -> DataFrame:
         if name == "gender":
             value = F.when(after == "<", "X").otherwise(value)
         note = F.concat(
-            F.lit("Position-constrained OCR correction: "), before, F.lit(" -> "), after
+            F.lit("Read anew by its place: "), before, F.lit(" -> "), after
         )
         out.append(
             F.struct(
@@ -306,10 +306,11 @@ def parse_corpus(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     records = good.drop("checks", "corrections", "reason")
     check_rows = explode_rows(good, ["doc_id"], "checks")
     correction_rows = explode_texts(good, "corrections", "note")
-    found = parsed.select("doc_id").distinct()
+    refused = parsed.filter(F.col("reason").isNotNull()).select("doc_id", F.col("reason").alias("_reason"))
     quarantine = (
-        lines.select("doc_id").distinct().join(found, "doc_id", "left_anti")
-        .withColumn("reason", F.lit("no_supported_zone"))
+        lines.select("doc_id").distinct().join(good.select("doc_id"), "doc_id", "left_anti")
+        .join(refused, "doc_id", "left")
+        .select("doc_id", F.coalesce("_reason", F.lit("no_supported_zone")).alias("reason"))
     )
     return records, check_rows, correction_rows, quarantine
 
@@ -361,10 +362,11 @@ def with_next_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def zone_pattern(layout: Layout) -> str:
-    """The layout's lines joined by bars; anything may follow a two-line zone."""
+    """The layout's lines, each on a line of its own; more lines may follow a two-line
+    zone. Cleaned text has no white space, so a line break separates and nothing else."""
     line = f"[A-Z0-9<]{{{layout.width}}}"
-    head = rf"^(?=[{''.join(DOCUMENT_LETTERS)}])(?=[^|]*<)"
-    return head + r"\|".join([line] * layout.lines) + (r"(\||$)" if layout.lines == 2 else "$")
+    head = rf"\A(?=[{''.join(DOCUMENT_LETTERS)}])(?=[^\n]*<)"
+    return head + r"\n".join([line] * layout.lines) + (r"(?:\n|\z)" if layout.lines == 2 else r"\z")
 
 
 def zone_at(text: Column, n1: Column, n2: Column) -> Column:
@@ -390,7 +392,7 @@ def zone_at(text: Column, n1: Column, n2: Column) -> Column:
 
     # The one-element array binds the joined text once; generated code for three
     # copies of it would be too long for the JVM to compile.
-    joined = F.array(F.concat_ws("|", c1, M.clean(n1), M.clean(n2)))
+    joined = F.array(F.concat_ws("\n", c1, M.clean(n1), M.clean(n2)))
     return F.when(opens, F.get(F.transform(joined, fitting), F.lit(0)))
 
 

@@ -81,7 +81,8 @@ def read(ocr_lines: DataFrame) -> DataFrame:
         F.when(up.rlike(viz.ANY_KEYWORD), F.struct(*hits)).alias("_kinds"),
         mrz.zone_at(F.col("text"), F.col("n1"), F.col("n2")).alias("zone"),
         F.when(
-            full & F.contains("text", F.lit("<")) & F.substring("text", 1, 1).isin(*mrz.DOCUMENT_LETTERS),
+            # The first line of a zone's width is the header, and is tested afterwards.
+            full & F.substring("text", 1, 1).isin(*mrz.DOCUMENT_LETTERS),
             F.struct("text", M.clean(F.col("text")).alias("c")),
         ).alias("_head"),
         F.when(full, viz.groups_of(F.col("text"))).alias("_g"),
@@ -103,7 +104,9 @@ def read(ocr_lines: DataFrame) -> DataFrame:
         *[F.min(F.when(F.col("_headed.w") == w, F.col("_headed")))["_head"].alias(f"_head_{w}") for w in WIDTHS],
         *[F.max(F.when(F.col("field") == name, F.col("_printed")))["value"].alias(f"v_{name}") for name in viz.FIELDS],
     )
-    return facts.join(_row_pass(ocr_lines), "doc_id", "left")
+    # A document without any readable line has a row too, of nothing.
+    every = ocr_lines.select("doc_id").distinct()
+    return every.join(facts, "doc_id", "left").join(_row_pass(ocr_lines), "doc_id", "left")
 
 
 def choose(read_rows: DataFrame) -> DataFrame:
@@ -116,7 +119,7 @@ def choose(read_rows: DataFrame) -> DataFrame:
         # The first header of the full pass with the last body lines of the row pass.
         parts = [f"_head_{w}", "_before_last_30", "_last_30"] if w == 30 else [f"_head_{w}", f"_last_{w}"]
         layout = next(lay for lay in mrz.LAYOUTS.values() if lay.width == w)
-        joined = F.concat_ws("|", *[F.col(f"{p}.c") for p in parts])
+        joined = F.concat_ws("\n", *[F.col(f"{p}.c") for p in parts])
         texts = [F.col(f"{p}.text") for p in parts] + [F.lit(None).cast("string")]
         zone = F.struct(F.lit(0).alias("rank"), *[t.alias(f"r{i + 1}") for i, t in enumerate(texts[:3])])
         chosen.append((name, joined.rlike(mrz.zone_pattern(layout)), zone))
@@ -158,7 +161,7 @@ def outcome(df: DataFrame) -> DataFrame:
     has_viz = F.coalesce(*[F.col(f"v_{n}") for n in viz.FIELDS]).isNotNull()
     kind = F.when(F.col("hint") != "unknown", F.col("hint"))
     for name, _ in viz.KEYWORDS:
-        kind = kind.when(F.col(f"_is_{name}"), name)
+        kind = kind.when(F.coalesce(f"_is_{name}", F.lit(False)), name)
     kind = (
         kind.when(F.col("fmt") == "TD3", "passport").when(has_zone, "id").otherwise("unknown")
     )

@@ -53,10 +53,13 @@ def summary(df: DataFrame) -> DataFrame:
     )
     failed = F.transform(F.filter("checks", lambda c: ~c["valid"]), lambda c: c["field"])
     none = F.array().cast("array<string>")
-    layer = lambda c: F.coalesce(F.col(c), F.lit("not_run"))
+    # A layer that wasn't joined has not run.
+    own = lambda c, t="string": F.col(c) if c in df.columns else F.lit(None).cast(t)
+    layer = lambda c: F.coalesce(own(c), F.lit("not_run"))
+    stages = F.transform("failures", lambda f: f["stage"]) if "failures" in df.columns else none
     return df.select(
         "doc_id",
-        F.lit(None).cast("string").alias("reference_date") if "reference_date" not in df.columns else F.col("reference_date"),
+        own("reference_date").alias("reference_date"),
         F.col("screening_status").alias("processing_status"),
         "document_type",
         "score",
@@ -65,6 +68,17 @@ def summary(df: DataFrame) -> DataFrame:
         layer("capture_status").alias("capture"),
         layer("ocr_status").alias("ocr"),
         layer("validation_status").alias("validation"),
+        layer("tampering_status").alias("tampering"),
+        layer("face_status").alias("face"),
+        layer("liveness_status").alias("liveness"),
+        own("cosine_similarity", "double").alias("face_similarity"),
+        own("decision").alias("face_decision"),
+        stages.alias("failure_stages"),
+        own("duration_ms", "double").alias("duration_ms"),
+        F.struct(
+            "score", "score_lo", "score_hi", "coverage", "category", "missing_required", "risk_status",
+            F.transform("contributions", lambda c: F.struct(c["name"], c["points"], c["complete"])).alias("points"),
+        ).alias("risk"),
         F.coalesce(mismatched, none).alias("mismatch_fields"),
         F.coalesce(failed, none).alias("failed_check_fields"),
         F.lit(False).alias("actor_verified"),

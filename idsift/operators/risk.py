@@ -19,8 +19,8 @@ DATE_FLAGS = [
 ]
 DATE_UNKNOWN = ["DATE_UNREADABLE", "DOB_CENTURY_AMBIGUOUS", "EXPIRY_CENTURY_INFERRED"]
 FORMAT_FLAGS = ["COUNTRY_CODE_UNKNOWN", "NUMBER_FORMAT", "COUNTRY_NUMBER_FORMAT"]
-NO_POSITIVE = "No positive signals in supplied evidence; human review still required."
-MISSING_SUFFIX = ". Missing evidence is not a clean result."
+NO_POSITIVE = "Nothing in the evidence counts against the document; a person must still look."
+MISSING_SUFFIX = ". What is missing may still count against it."
 
 
 def _signal(name: str, value: Column, complete: Column, explanation: Column | str, source: str, experimental: bool | Column = False) -> Column:
@@ -192,7 +192,11 @@ def constraints(signals: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pivot(signals: DataFrame, policy: RiskPolicy) -> DataFrame:
-    """Long signals to one row per document by conditional aggregation."""
+    """Long signals to one row per document by conditional aggregation.
+
+    With a time column ``ts`` the newest row of a signal counts, so that a corrected
+    value replaces an older one; of rows of one time, and without it, the largest.
+    """
     columns = signals.columns
     text = lambda c: F.col(c) if c in columns else F.lit(None).cast("string")
     body = F.struct(
@@ -200,8 +204,10 @@ def pivot(signals: DataFrame, policy: RiskPolicy) -> DataFrame:
         text("source").alias("source"),
         (F.col("experimental") if "experimental" in columns else F.lit(False)).alias("experimental"),
     )
+    time = F.col("ts") if "ts" in columns else F.lit(None).cast("timestamp")
+    row = F.struct(time.alias("ts"), body.alias("body"))
     return signals.groupBy("doc_id").agg(
-        *[F.max(F.when(F.col("name") == n, body)).cast(SIGNAL).alias(f"s_{n}") for n in policy.weights]
+        *[F.max(F.when(F.col("name") == n, row))["body"].cast(SIGNAL).alias(f"s_{n}") for n in policy.weights]
     )
 
 
@@ -266,7 +272,7 @@ def score_wide(wide: DataFrame, policy: RiskPolicy | None = None) -> DataFrame:
             F.when(
                 ~complete,
                 F.concat(
-                    F.lit("Required evidence incomplete: "), F.array_join("missing_required", ", "),
+                    F.lit("Not all required evidence is there: "), F.array_join("missing_required", ", "),
                     F.lit(MISSING_SUFFIX),
                 ),
             ),
@@ -278,7 +284,7 @@ def score_wide(wide: DataFrame, policy: RiskPolicy | None = None) -> DataFrame:
             F.struct(
                 F.lit(n).alias("name"), F.lit(float(policy.weights[n])).alias("weight"),
                 value[n].alias("value"), F.col(f"pt_{n}").alias("points"), F.col(f"ok_{n}").alias("complete"),
-                F.coalesce(F.col(f"s_{n}.explanation"), F.lit("No usable evidence supplied.")).alias("explanation"),
+                F.coalesce(F.col(f"s_{n}.explanation"), F.lit("There is no evidence to use.")).alias("explanation"),
                 F.coalesce(F.col(f"s_{n}.source"), F.lit("missing")).alias("source"),
                 F.coalesce(F.col(f"s_{n}.experimental"), F.lit(False)).alias("experimental"),
             )

@@ -1,18 +1,18 @@
 """Frame sequences: order checks, blink pattern, continuity, spoof, outcome.
 
-A sequence is valid with at most twelve frames, so one aggregate keeps the first
-twelve positions of each sequence as an array and only counts the rest. A
-sequence of any length stays one bounded row, and no window is needed.
+A sequence is valid with at most twelve frames. Positions are an order and may start
+anywhere and have gaps, so the twelve smallest of each sequence are kept as an array
+and the rest only counted. A sequence of any length stays one bounded row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from idsift.functions import vectors
 from idsift.policy import FACE_THRESHOLDS, SEQUENCE_LIMITS as L
 
-_FRAME = (
+FRAME = (
     "struct<idx:int,timestamp_ms:double,face_count:int,eyes:int,usable:boolean,same_face:boolean,"
     "contrast:double,periodic:double,digest:string>"
 )
@@ -27,22 +27,28 @@ def frame_struct() -> Column:
         F.when(usable, F.col("same_face_as_first")).alias("same_face"),
         F.when(usable, F.col("texture_contrast")).alias("contrast"),
         F.when(usable, F.col("periodic_energy_ratio")).alias("periodic"), F.col("digest"),
-    ).cast(_FRAME)
+    ).cast(FRAME)
 
 
-def first_frames() -> Column:
-    """Aggregate: the frames at the twelve allowed positions, in order.
+def gather(frames: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per sequence: ``n`` and ``frames``, the twelve of smallest position.
 
-    One value per position, so that neither long sequences nor repeated positions
-    make the result grow; the frame count tells both apart from a valid sequence.
+    Spark limits each sequence to its first rows before the shuffle; the count is an
+    aggregate with map-side combine. Both are joined null-safe on the keys.
     """
-    at = lambda i: F.min(F.when(F.col("idx") == i, frame_struct()))
-    return F.array_compact(F.array(*[at(i) for i in range(L["max_frames"])]))
-
-
-def gather(frames: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per sequence: ``n`` and ``frames``, sorted, at most twelve."""
-    return frames.groupBy(*(keys or ["seq_id"])).agg(F.count("*").alias("n"), first_frames().alias("frames"))
+    keys = keys or ["seq_id"]
+    order = Window.partitionBy(*keys).orderBy(F.col("idx").asc_nulls_last(), F.col("timestamp_ms").asc_nulls_last())
+    first = (
+        frames.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= L["max_frames"])
+        .groupBy(*[F.col(k).alias(f"_{k}") for k in keys])
+        .agg(F.array_sort(F.collect_list(F.struct("_at", frame_struct().alias("f")))).alias("_f"))
+    )
+    counted = frames.groupBy(*keys).agg(F.count("*").alias("n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return counted.join(first, on).select(*keys, "n", F.transform("_f", lambda x: x["f"]).alias("frames"))
 
 
 def validate(sequences: DataFrame) -> DataFrame:
@@ -58,7 +64,11 @@ def validate(sequences: DataFrame) -> DataFrame:
     return sequences.withColumn(
         "reason",
         F.when(F.col("n") > L["max_frames"], "too_many_frames")
-        .when(F.size("frames") != F.col("n"), "frame_positions")
+        .when(
+            F.exists("frames", lambda f: f["idx"].isNull())
+            | (F.size(F.array_distinct(F.transform("frames", lambda f: f["idx"]))) != F.col("n")),
+            "frame_positions",
+        )
         .when(bad_value, "timestamp_range")
         .when(~ordered, "timestamp_order"),
     )

@@ -327,6 +327,7 @@ def run(
         "database_available",
         "blacklist_hit",
         "previously_seen",
+        ref.cast("string").alias("reference_date"),
         mismatches.alias("mismatch_count"),
         F.concat(zone_findings(), F.array_compact(F.array(*rules))).alias("findings"),
         F.when(F.col("fmt").isNotNull() & (F.size("limitations") == 0), "ok")

@@ -69,7 +69,7 @@ def extract(lines: DataFrame) -> DataFrame:
     valued = hit.withColumn("value", tidy(F.col("raw")))
     return valued.withColumn(
         "corrections",
-        F.when(F.col("raw") != F.col("value"), F.array(F.lit("Uppercased and collapsed whitespace.")))
+        F.when(F.col("raw") != F.col("value"), F.array(F.lit("Read in capitals, with single blanks.")))
         .otherwise(F.array().cast("array<string>")),
     )
 

@@ -55,9 +55,21 @@ def log(spark, sf) -> DataFrame:
     return audit.append(empty_head(spark), new_scans(spark, sf), ["scan_no"])
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark, sf, name: str, make) -> DataFrame:
+    """The stored log of a table folder, written once per application and folder. Rows
+    are sorted by scan inside each file, so a scan's rows are found by file statistics."""
+    at = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf, name)
+    if at not in _KEPT:
+        _KEPT[at] = materialize(make().sortWithinPartitions("scan_id", "seq"), name)
+    return _KEPT[at]
+
+
 def stored(spark, sf) -> DataFrame:
     """The log as the stored table it is; readers must not hash it again."""
-    return materialize(log(spark, sf), "log")
+    return kept(spark, sf, "log", lambda: log(spark, sf))
 
 
 O.define("new_scans", f"""
@@ -140,6 +152,17 @@ def a2(spark, sf):
     return out.select("chain_id", "error", "failed_seq", "event_count")
 
 
+@query("a9_guarded_append", chained(f"""
+SELECT n.chain_id, n.scan_no, j.bad IS NULL AS taken FROM new_scans n LEFT JOIN (SELECT chain_id, min(pos) FILTER (NOT ok) AS bad FROM judged_rows GROUP BY chain_id) j ON j.chain_id = n.chain_id"""))
+def a9(spark, sf):
+    """New rows for damaged chains are refused, those for whole chains are taken."""
+    whole = stored(spark, sf)
+    rows = damaged(whole)
+    head = audit.new_head(empty_head(spark), rows)
+    good, bad = audit.guard(audit.verify(rows, head), new_scans(spark, sf).select("chain_id", "scan_no"))
+    return good.withColumn("taken", F.lit(True)).unionByName(bad.select("chain_id", "scan_no", F.lit(False).alias("taken")))
+
+
 @query("w9_links", chained(f"""
 SELECT d.chain_id, d.seq, CASE WHEN d.seq = 1 THEN d.previous_hash = '{ZERO}' ELSE p.event_hash = d.previous_hash END AS link_ok
 FROM damaged d LEFT JOIN damaged p ON p.chain_id = d.chain_id AND p.seq = d.seq - 1"""))
@@ -168,7 +191,7 @@ def a4(spark, sf):
 
 # ------------------------------------------------------------- decisions
 O.define("decisions", """
-SELECT d.scan_no, d.ord, d.decision, d.acknowledge_incomplete AS ack, CASE WHEN d.scan_no % 50 = 3 THEN 'missing' ELSE 'scan-' || d.scan_no END AS scan_id,
+SELECT d.scan_no, d.ord, d.decision, d.acknowledge_incomplete AS ack, CASE WHEN d.scan_no % 50 = 3 THEN 'missing-' ELSE 'scan-' END || d.scan_no AS scan_id,
   (d.scan_no + d.ord) % 5 = 0 AS outdated FROM log_decisions d""")
 O.define("decided", """
 SELECT *, CASE WHEN s_id IS NULL THEN 'not_found' WHEN ord = won THEN 'accepted' WHEN ord > won THEN 'stale' ELSE early END AS status FROM (
@@ -186,7 +209,7 @@ def decisions(spark, sf, events) -> DataFrame:
     )
     return rows.join(known, "scan_no", "left").select(
         "scan_no", "ord", "decision", "acknowledge_incomplete",
-        F.when(no % 50 == 3, "missing").otherwise(F.concat(F.lit("scan-"), no.cast("string"))).alias("scan_id"),
+        F.concat(F.when(no % 50 == 3, "missing-").otherwise("scan-"), no.cast("string")).alias("scan_id"),
         F.when((no + F.col("ord")) % 5 == 0, ZERO).otherwise(F.coalesce("_h", F.lit(ZERO))).alias("expected_event_hash"),
         F.concat_ws("-", F.lit("dec"), no.cast("string"), F.col("ord").cast("string")).alias("request_id"),
         F.lit("Reviewed.").alias("note"), F.lit("REVIEWER").alias("actor"),
@@ -230,22 +253,24 @@ def a8(spark, sf):
 
 
 def full_log(spark, sf) -> DataFrame:
-    """Scans plus their accepted decisions, appended as a second batch."""
+    """Scans plus their accepted decisions, appended as a second batch to whole chains."""
     first = stored(spark, sf)
-    judged = audit.accept(first, decisions(spark, sf, first)).filter(F.col("status") == "accepted")
-    chain = first.select("scan_id", "chain_id", F.col("document_hash").alias("_doc"))
-    payload = audit.canonical([F.col("acknowledge_incomplete"), F.col("decision"), F.col("note")])
-    second = judged.join(chain, "scan_id").select(
-        "chain_id", "scan_no", F.concat(F.lit("evt-"), "request_id").alias("event_id"), "request_id", "fingerprint",
-        "scan_id", F.lit("decision").alias("kind"), F.lit("2026-10-03T00:00:00.000000+00:00").alias("timestamp"),
-        "actor", F.col("_doc").alias("document_hash"), payload.alias("payload_json"),
-    )
-    appended = audit.append(audit.new_head(empty_head(spark), first), second, ["scan_no"])
-    return first.unionByName(materialize(appended, "log"))
+
+    def second() -> DataFrame:
+        judged = audit.accept(first, decisions(spark, sf, first))
+        rows = audit.decision_events(judged, first).select(
+            "chain_id", "scan_no", "event_id", "request_id", "fingerprint", "scan_id", "kind",
+            F.lit("2026-10-03T00:00:00.000000+00:00").alias("timestamp"), "actor", "document_hash", "payload_json",
+        )
+        head = audit.new_head(empty_head(spark), first)
+        rows, _ = audit.guard(audit.verify(first, head), rows)
+        return audit.append(head, rows, ["scan_no"])
+
+    return first.unionByName(kept(spark, sf, "decided", second))
 
 
 O.define("states", """
-SELECT s.scan_id, s.chain_id, n.seq, s.actor, n.document_hash, coalesce(a.decision, 'pending') AS state, CASE WHEN a.decision IS NOT NULL THEN 'REVIEWER' END AS latest_actor
+SELECT s.scan_id, s.chain_id, n.seq, n.timestamp, s.actor, n.document_hash, coalesce(a.decision, 'pending') AS state, CASE WHEN a.decision IS NOT NULL THEN 'REVIEWER' END AS latest_actor
 FROM log_scans s JOIN new_scans n ON n.scan_id = s.scan_id LEFT JOIN (SELECT scan_no, decision FROM decided WHERE status = 'accepted') a ON a.scan_no = s.scan_no""")
 
 
@@ -262,7 +287,7 @@ def a2f(spark, sf):
 
 @query("k1_history_page", O.query("""
 SELECT scan_id, seq, state, (SELECT count(*) FROM states WHERE contains(lower(concat_ws(' ', scan_id, document_hash, actor, coalesce(latest_actor, ''))), 'urgent') AND state = 'pending') AS total FROM states
-WHERE contains(lower(concat_ws(' ', scan_id, document_hash, actor, coalesce(latest_actor, ''))), 'urgent') AND state = 'pending' ORDER BY seq DESC, chain_id, scan_id LIMIT 50 OFFSET 5"""))
+WHERE contains(lower(concat_ws(' ', scan_id, document_hash, actor, coalesce(latest_actor, ''))), 'urgent') AND state = 'pending' ORDER BY timestamp DESC, chain_id, seq, scan_id LIMIT 50 OFFSET 5"""))
 def k1(spark, sf):
     page, total = audit.history(full_log(spark, sf), "URGENT", "pending", 50, 5)
     # Both sides are bounded: one page and one row.

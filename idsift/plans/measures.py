@@ -90,6 +90,24 @@ def g21(spark, sf):
     )
 
 
+_LATENCY = """count(*) AS n, round(avg(value), 6) AS mean_ms, round(median(value), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms,
+  min(value) AS min_ms, max(value) AS max_ms"""
+
+
+@query("g21_latency_groups", O.query(f"""
+SELECT nullif(event_type, 'error') AS event_type, {_LATENCY} FROM events WHERE value >= 0 AND isfinite(value) GROUP BY ALL
+UNION ALL SELECT 'all rows', {_LATENCY} FROM events WHERE value >= 0 AND isfinite(value)"""))
+def g21n(spark, sf):
+    """A null group, and all rows as one group."""
+    kind = F.col("event_type")
+    rows = views.table(spark, sf, "events").select(F.when(kind != "error", kind).alias("event_type"), "value")
+    each, _ = E.latency(rows, "value", ["event_type"])
+    whole, _ = E.latency(rows, "value")
+    names = ["event_type", "n", "mean_ms", "median_ms", "p95_ms", "min_ms", "max_ms"]
+    both = each.select(*names).unionByName(whole.withColumn("event_type", F.lit("all rows")).select(*names))
+    return rounded(both, "mean_ms", "median_ms", "p95_ms").select(*names)
+
+
 @query("g21_layer_latency", O.query("""
 SELECT layer, count(*) AS n, round(median(d), 6) AS median_ms, round(quantile_cont(d, 0.95), 6) AS p95_ms FROM (
   SELECT 'capture' AS layer, l_quantity AS d FROM lineitem UNION ALL SELECT 'ocr', l_extendedprice FROM lineitem UNION ALL SELECT 'rules', l_tax FROM lineitem) q GROUP BY layer"""))
@@ -174,6 +192,24 @@ def w4(spark, sf):
     return curve.select("cohort", "threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
+@query("w4_roc_nulls", O.query("""
+SELECT cohort, NULL::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr FROM roc_known GROUP BY cohort HAVING bool_or(truth) AND bool_or(NOT truth)
+UNION ALL SELECT cohort, score, round(cn / an, 9), round(cp / ap, 9) FROM (
+  SELECT cohort, score, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(n) OVER g AS an, sum(p) OVER g AS ap FROM roc_merged
+  WINDOW w AS (PARTITION BY cohort ORDER BY score DESC), g AS (PARTITION BY cohort)) q WHERE an > 0 AND ap > 0""",
+    roc_known="""
+SELECT * FROM (SELECT nullif(cohort, 'de') AS cohort, CASE WHEN doc_id % 5 <> 0 THEN score END AS score, truth FROM scored) r WHERE score IS NOT NULL""",
+    roc_merged="SELECT cohort, score, count(*) FILTER (truth) AS p, count(*) FILTER (NOT truth) AS n FROM roc_known GROUP BY ALL"))
+def w4n(spark, sf):
+    """A null cohort is a cohort; rows without a score don't count."""
+    rows = views.scored(spark, sf).select(
+        F.when(F.col("cohort") != "de", F.col("cohort")).alias("cohort"), "truth",
+        F.when(F.col("doc_id") % 5 != 0, F.col("score")).alias("score"),
+    )
+    curve = E.roc(rows, "truth", "score", ["cohort"])
+    return curve.select("cohort", "threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
 @query("w4_roc_lineitem", O.query("""
 WITH s AS (SELECT l_extendedprice AS score, l_returnflag = 'R' AS truth FROM lineitem), m AS (SELECT score, count(*) FILTER (truth) AS p, count(*) FILTER (NOT truth) AS n FROM s GROUP BY score)
 SELECT NULL::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
@@ -204,13 +240,16 @@ def d1(spark, sf):
 
 @query("d2_label_checks", O.query("""
 SELECT doc_id, array_to_string(list_filter([CASE WHEN mask IS NULL AND NOT (attack = 'clean' AND doc_id % 2 = 0) THEN 'unknown_is_not_clean' END,
-  CASE WHEN mask IS NOT NULL AND (attack = 'clean') = mask THEN 'label_disagrees_with_mask' END], lambda p: p IS NOT NULL), ',') AS problems
+  CASE WHEN mask IS NOT NULL AND (attack = 'clean') = mask THEN 'label_disagrees_with_mask' END,
+  CASE WHEN mask IS NOT NULL AND doc_id % 13 = 0 THEN 'mask_size_differs' END], lambda p: p IS NOT NULL), ',') AS problems
 FROM (SELECT *, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN NOT mask_nonempty ELSE mask_nonempty END AS mask FROM split_rows) q"""))
 def d2(spark, sf):
     d = F.col("doc_id")
     noisy = split_rows(spark, sf).withColumn(
         "mask_nonempty", F.when(d % 7 != 0, F.when(d % 11 == 0, ~F.col("mask_nonempty")).otherwise(F.col("mask_nonempty")))
-    ).withColumn("verified_clean", d % 2 == 0)
+    ).withColumn("verified_clean", d % 2 == 0).withColumns({
+        "width": 100 + d % 3, "mask_width": 100 + d % 3, "height": F.lit(80), "mask_height": F.when(d % 13 == 0, 79).otherwise(80),
+    })
     return datasets.check_labels(noisy).select("doc_id", F.array_join("problems", ",").alias("problems"))
 
 

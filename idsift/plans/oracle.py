@@ -169,14 +169,17 @@ _LINES = [
     ("full", 6, f"'EXPIRY: ' || {printed_date(_EXP)}", "variant <> 3"),
     ("full", 7, f"'Date of issue: ' || {printed_date('issue')}", "variant <> 3"),
     ("full", 8, "'SEX: ' || gender", "variant <> 3"),
-    ("full", 9, "'VALID FROM: 2026-10-01'", "variant = 8"),
-    ("full", 10, "'Valid until: 2026-10-10'", "variant = 8"),
+    ("full", 9, "'VALID FROM: ' || CASE WHEN doc_id % 3 = 0 THEN '2026-10-20' ELSE '2026-10-01' END", "variant = 8"),
+    ("full", 10, "'Valid until: ' || CASE WHEN doc_id % 4 = 0 THEN '2026-09-10' ELSE '2026-10-10' END", "variant = 8"),
     ("full", 11, "'STAY DURATION: 30 days'", "variant = 8"),
     ("full", 12, "'FULL NAME: ALIAS ' || surname", "variant <> 3 AND doc_id % 11 = 0"),
     ("full", 13, "'   '", "true"),
     ("full", 14, "r1", "doc_id % 7 <> 3"),
-    ("full", 15, "r2", "doc_id % 7 <> 3"),
+    ("full", 15, "CASE WHEN doc_id % 41 = 8 THEN r2 || '|' ELSE r2 END", "doc_id % 7 <> 3"),
     ("full", 16, "r3", "doc_id % 7 <> 3 AND fmt = 'TD1'"),
+    ("full", 17, "r1", "doc_id % 7 <> 3 AND doc_id % 41 = 8"),
+    ("full", 18, "r2", "doc_id % 7 <> 3 AND doc_id % 41 = 8"),
+    ("full", 19, "r3", "doc_id % 7 <> 3 AND doc_id % 41 = 8 AND fmt = 'TD1'"),
     ("full", 20, "'FOOTER'", "true"),
     ("rows", 0, "r1", "doc_id % 7 NOT IN (0, 2, 3)"),
     ("rows", 1, "'X1'", "doc_id % 7 = 1"),
@@ -189,7 +192,7 @@ _LINES = [
 define(
     "ocr_lines0",
     "\nUNION ALL ".join(
-        f"SELECT doc_id, '{p}' AS pass, CAST({n} AS INT) AS line_no, {text} AS text FROM zones WHERE {keep}"
+        f"SELECT doc_id, '{p}' AS pass, CAST({n} AS INT) AS line_no, {text} AS text FROM zones WHERE {keep}{'' if n == 13 else ' AND doc_id % 43 <> 11'}"
         for p, n, text, keep in _LINES
     ),
 )

@@ -83,7 +83,7 @@ def t4(spark, sf):
 
 @query("t5_fields", O.query("\nUNION ALL ".join(
     f"SELECT doc_id, '{f}' AS field, {f}_raw AS raw, {f}_value AS corrected, "
-    f"CASE WHEN {f}_raw <> {f}_fixed THEN 'Position-constrained OCR correction: ' || {f}_raw || ' -> ' || {f}_fixed END AS note FROM parsed_zone"
+    f"CASE WHEN {f}_raw <> {f}_fixed THEN 'Read anew by its place: ' || {f}_raw || ' -> ' || {f}_fixed END AS note FROM parsed_zone"
     for f in mrz.FIELDS)))
 def t5(spark, sf):
     rows = F.array(*[
@@ -196,6 +196,15 @@ def corpus(spark, sf):
     )
 
 
+@query("parse_corpus_quarantine", O.query("""
+SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM pass_found WHERE source = 'full') THEN 'no_supported_zone' END AS reason
+FROM (SELECT DISTINCT doc_id FROM ocr_lines WHERE pass = 'full') d"""))
+def quarantine(spark, sf):
+    """Records and quarantine together are all documents."""
+    records, _, _, refused = mrz.parse_corpus(views.ocr_lines(spark, sf).filter(F.col("pass") == "full"))
+    return records.select("doc_id", F.lit(None).cast("string").alias("reason")).unionByName(refused)
+
+
 @query("v1_printed_dates", O.query(f"""
 SELECT doc_id, field, value, {O.parse_date('value')} AS day FROM viz_best WHERE field IN ('dob', 'expiry', 'issue', 'valid_from', 'valid_until')"""))
 def v1(spark, sf):

@@ -80,7 +80,7 @@ def g13(spark, sf):
 @query("g14_reasons", O.query(f"""
 SELECT doc_id, CASE WHEN text = '' THEN '{risk.NO_POSITIVE}' ELSE text END AS reasons FROM (
 SELECT doc_id, concat_ws('|', nullif(string_agg(name || ': +' || printf('%.2f', points) || '/' || CAST(weight AS INT) || ' points. ', '|' ORDER BY ord) FILTER (points > 0), ''),
-  'Required evidence incomplete: ' || nullif(string_agg(name, ', ' ORDER BY ord) FILTER (NOT complete AND name IN ({O.REQUIRED})), '') || '. Missing evidence is not a clean result.') AS text
+  'Not all required evidence is there: ' || nullif(string_agg(name, ', ' ORDER BY ord) FILTER (NOT complete AND name IN ({O.REQUIRED})), '') || '. What is missing may still count against it.') AS text
 FROM contrib GROUP BY doc_id) g""", **SIGNAL_SCORE))
 def g14(spark, sf):
     return scored(spark, sf).select("doc_id", F.array_join("reasons", "|").alias("reasons"))
@@ -197,13 +197,14 @@ def x4(spark, sf):
 @query("x2_privacy_summary", O.query(f"""
 SELECT l.doc_id, {_SCREEN.replace("failed", "l.failed")} AS processing_status, l.document_type, l.score, l.category, l.missing_required, l.capture_status AS capture, l.ocr_status AS ocr, l.validation_status AS validation,
   array_to_string(list_filter([CASE WHEN NOT x_dob THEN 'dob' END, CASE WHEN NOT x_expiry THEN 'expiry' END, CASE WHEN NOT x_name THEN 'name' END, CASE WHEN NOT x_number THEN 'number' END], lambda f: f IS NOT NULL), ',') AS mismatch_fields,
-  coalesce(f.failed, '') AS failed_check_fields
+  coalesce(f.failed, '') AS failed_check_fields, '2026-10-03' AS reference_date, 'not_run' AS face, CASE WHEN l.failed THEN 'L3' ELSE '' END AS failure_stages, l.risk_status AS risk_status
 FROM layers l JOIN val v ON v.doc_id = l.doc_id LEFT JOIN (SELECT doc_id, string_agg(field, ',' ORDER BY ord) FILTER (NOT valid) AS failed FROM parsed_checks GROUP BY doc_id) f ON f.doc_id = l.doc_id""", **PIPE_SCORE))
 def x2(spark, sf):
     joined = lambda c: F.array_join(c, ",").alias(c)
     return pipeline.summary(screened_with_status(spark, sf)).select(
         "doc_id", "processing_status", "document_type", "score", "category", joined("missing_required"),
         "capture", "ocr", "validation", joined("mismatch_fields"), joined("failed_check_fields"),
+        "reference_date", "face", joined("failure_stages"), "risk.risk_status",
     )
 
 

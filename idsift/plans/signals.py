@@ -279,7 +279,7 @@ def q4(spark, sf):
 
 # ------------------------------------------------------------------ sequences
 O.define("seq_frames", """
-SELECT *, face_count = 1 AND quality_ok AS usable, CASE WHEN face_count = 1 AND quality_ok THEN eyes_visible END AS eyes, CASE WHEN face_count = 1 AND quality_ok THEN same_face_as_first END AS same,
+SELECT * REPLACE (row_number() OVER (PARTITION BY seq_id ORDER BY idx) - 1 AS idx), face_count = 1 AND quality_ok AS usable, CASE WHEN face_count = 1 AND quality_ok THEN eyes_visible END AS eyes, CASE WHEN face_count = 1 AND quality_ok THEN same_face_as_first END AS same,
   lag(timestamp_ms) OVER (PARTITION BY seq_id ORDER BY idx) AS before, count(*) OVER (PARTITION BY seq_id) AS n FROM frames""")
 O.define("seq_valid", """
 SELECT seq_id, count(*) AS n, CASE WHEN count(*) > 12 THEN 'too_many_frames' WHEN bool_or(timestamp_ms < 0 OR timestamp_ms > 20000) THEN 'timestamp_range'

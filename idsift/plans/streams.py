@@ -36,36 +36,49 @@ def st1(spark, sf):
         F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("req-"), F.col("user_id").cast("string")).alias("request_id"),
         F.concat(F.lit("fp-"), (F.col("event_id") % 3).cast("string")).alias("fingerprint"),
     )
-    kept = jobs.run_to_table(jobs.intake(stream, "ts", "400 days"), shared_dir(spark, "intake"))
-    # The kept row of a repeated request is any of them; its earliest time decides.
-    times = views.table(spark, sf, "events").groupBy(
-        F.concat(F.lit("req-"), F.col("user_id").cast("string")).alias("request_id"),
-        F.concat(F.lit("fp-"), (F.col("event_id") % 3).cast("string")).alias("fingerprint"),
-    ).agg(F.min("ts").alias("ts"))
-    timed = kept.drop("ts").join(times, ["request_id", "fingerprint"])
-    return jobs.intake_conflicts(timed).select("request_id", "fingerprint", "status")
+    folder = shared_dir(spark, "intake")
+    (
+        jobs.intake(stream, "ts", "400 days").writeStream.option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).foreachBatch(jobs.intake_writer(folder)).start().awaitTermination()
+    )
+    return spark.read.parquet(f"{folder}/out").select("request_id", "fingerprint", "status")
 
 
-@query("st2_decisions", O.query("SELECT scan_id, ord, status FROM decided WHERE scan_id <> 'missing'"))
+@query("st2_decisions", O.query("SELECT scan_id, ord, status FROM decided"))
 def st2(spark, sf):
-    """Scan rows first, then each scan's decisions in order, through state."""
+    """Scans and decisions through state, in order of their times. A last row far in the
+    future lets the watermark pass all others and waits itself."""
     folder = shared_dir(spark, "decisions")
+    rows = decision_rows(spark, sf)
+    rows.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    jobs.run_to_table(jobs.decisions(stream), folder)
+    closing(rows, "scan_id").write.mode("append").parquet(f"{folder}/in")
+    jobs.run_to_table(jobs.decisions(stream), folder)
+    return spark.read.parquet(f"{folder}/out").select("scan_id", F.col("ord").cast("int").alias("ord"), "status")
+
+
+def decision_rows(spark, sf) -> DataFrame:
     events = log.stored(spark, sf)
+    start = F.lit("2026-10-03 00:00:00").cast("timestamp")
     scans = events.select(
-        "scan_id", "kind", F.lit(-1).cast("bigint").alias("ord"), "request_id", "fingerprint", "event_hash",
+        start.alias("ts"), "scan_id", "kind", F.lit(-1).cast("bigint").alias("ord"), "request_id", "fingerprint", "event_hash",
         audit.incomplete(F.col("payload_json")).alias("incomplete"), F.lit(None).cast("string").alias("decision"),
         F.lit(None).cast("string").alias("expected_event_hash"), F.lit(None).cast("boolean").alias("acknowledge_incomplete"),
     )
-    chosen = log.decisions(spark, sf, events).filter(F.col("scan_id") != "missing").select(
-        "scan_id", F.lit("decision").alias("kind"), F.col("ord").cast("bigint").alias("ord"), "request_id",
+    chosen = log.decisions(spark, sf, events).select(
+        (start + F.make_dt_interval(secs=F.col("ord") + 1)).alias("ts"), "scan_id", F.lit("decision").alias("kind"),
+        F.col("ord").cast("bigint").alias("ord"), "request_id",
         audit.decision_fingerprint().alias("fingerprint"), F.sha2("request_id", 256).alias("event_hash"),
         F.lit(None).cast("boolean").alias("incomplete"), "decision", "expected_event_hash", "acknowledge_incomplete",
     )
-    rows = scans.unionByName(chosen)
-    rows.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
-    out = jobs.run_to_table(jobs.decisions(stream), folder)
-    return out.select("scan_id", F.col("ord").cast("int").alias("ord"), "status")
+    return scans.unionByName(chosen)
+
+
+def closing(rows: DataFrame, key: str) -> DataFrame:
+    """One row of a key of its own, later than all others."""
+    end = F.lit("2200-01-01").cast("timestamp")
+    return rows.limit(1).withColumn(key, F.lit("end" if dict(rows.dtypes)[key] == "string" else -1).cast(dict(rows.dtypes)[key])).withColumn("ts", end)
 
 
 @query("st3_score", O.query(f"SELECT {scoring.SCORE_COLUMNS} FROM scored_docs", **scoring.SIGNAL_SCORE))
@@ -82,17 +95,15 @@ def st4(spark, sf):
     """Frames stamped by sequence, so that sequences never overlap in time."""
     folder = shared_dir(spark, "sequences")
     path = f"{folder}/in"
-    at = (F.col("seq_id") * 60000 + F.col("timestamp_ms")).cast("bigint")
+    # A day after the epoch, where every watermark begins.
+    at = (F.col("seq_id") * 60000 + F.col("timestamp_ms") + 86_400_000).cast("bigint")
     frames = views.frames(spark, sf).withColumn("ts", F.timestamp_millis(at))
     frames.write.parquet(path)
     stream = spark.readStream.schema(frames.schema).parquet(path)
     jobs.run_to_table(jobs.gather_sequences(stream), folder)
-    # One row far in the future, in a later batch, closes the last open sessions
+    # One row far in the future, in a later batch, closes the last open sequences
     # and stays open itself.
-    closing = frames.limit(1).withColumn("seq_id", F.lit(-1).cast("bigint")).withColumn(
-        "ts", F.lit("2999-01-01").cast("timestamp")
-    )
-    closing.write.mode("append").parquet(path)
+    closing(frames, "seq_id").write.mode("append").parquet(path)
     jobs.run_to_table(jobs.gather_sequences(stream), folder)
     gathered = spark.read.parquet(f"{folder}/out").filter(F.col("seq_id") >= 0)
     return sequences.outcome_of(gathered).select(
@@ -108,6 +119,6 @@ def st5(spark, sf):
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
     (
         stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-        .foreachBatch(jobs.appender(spark, folder, ["scan_no"])).start().awaitTermination()
+        .foreachBatch(jobs.appender(spark, folder, ["scan_no"], f"{folder}/state")).start().awaitTermination()
     )
     return jobs.read_log(spark, folder).select(*log.EVENT.split(", "))

@@ -73,7 +73,7 @@ FROM {part}"""
 # lengths run from 5 to 19 and no ordering window is needed.
 FRAMES_SQL = """
 SELECT CASE WHEN event_id % 24 < 5 + blk % 15 THEN blk * 2 ELSE blk * 2 + 1 END AS seq_id,
-  CAST(CASE WHEN event_id % 24 < 5 + blk % 15 THEN event_id % 24 ELSE event_id % 24 - 5 - blk % 15 END AS INT) AS idx,
+  CAST((CASE WHEN event_id % 24 < 5 + blk % 15 THEN event_id % 24 ELSE event_id % 24 - 5 - blk % 15 END) * (1 + blk % 3) + blk % 4 * 7 AS INT) AS idx,
   CAST(event_id % 24 * 100 + CASE WHEN blk % 9 = 0 AND event_id % 24 = 4 THEN 2000 ELSE 0 END
        - CASE WHEN event_id % 24 < 5 + blk % 15 THEN 0 ELSE (5 + blk % 15) * 100 END AS DOUBLE) AS timestamp_ms,
   CAST(1 + CASE WHEN event_id % 43 = 0 THEN 1 ELSE 0 END AS INT) AS face_count,
@@ -255,9 +255,14 @@ def ocr_lines(spark, sf_dir):
     case = d % 7
     full_zone, rows_zone = case != 3, (case != 2) & (case != 3)
     L = F.lit
+    # Some zones are read with a bar at the page's edge first and whole afterwards;
+    # some documents have no readable line.
+    stray, readable = d % 41 == 8, d % 43 != 11
 
     def line(which: str, no: int, text: Column, keep: Column | None = None) -> Column:
         row = F.struct(L(which).alias("pass"), L(no).alias("line_no"), text.alias("text"))
+        if no != 13:
+            keep = readable if keep is None else keep & readable
         return row if keep is None else F.when(keep, row)
 
     birth = F.when(d % 37 == 0, "31.02.1990").otherwise(_printed_date(dob, style))
@@ -271,14 +276,17 @@ def ocr_lines(spark, sf_dir):
         line("full", 6, F.concat(L("EXPIRY: "), _printed_date(expiry, style)), viz),
         line("full", 7, F.concat(L("Date of issue: "), _printed_date(F.col("issue"), style)), viz),
         line("full", 8, F.concat(L("SEX: "), "gender"), viz),
-        line("full", 9, L("VALID FROM: 2026-10-01"), visa),
-        line("full", 10, L("Valid until: 2026-10-10"), visa),
+        line("full", 9, F.concat(L("VALID FROM: "), F.when(d % 3 == 0, "2026-10-20").otherwise("2026-10-01")), visa),
+        line("full", 10, F.concat(L("Valid until: "), F.when(d % 4 == 0, "2026-09-10").otherwise("2026-10-10")), visa),
         line("full", 11, L("STAY DURATION: 30 days"), visa),
         line("full", 12, F.concat(L("FULL NAME: ALIAS "), "surname"), viz & (d % 11 == 0)),
         line("full", 13, L("   ")),
         line("full", 14, F.col("r1"), full_zone),
-        line("full", 15, F.col("r2"), full_zone),
+        line("full", 15, F.when(stray, F.concat("r2", L("|"))).otherwise(F.col("r2")), full_zone),
         line("full", 16, F.col("r3"), full_zone & td1),
+        line("full", 17, F.col("r1"), full_zone & stray),
+        line("full", 18, F.col("r2"), full_zone & stray),
+        line("full", 19, F.col("r3"), full_zone & td1 & stray),
         line("full", 20, L("FOOTER")),
         line("rows", 0, F.col("r1"), rows_zone & (case != 0)),
         line("rows", 1, L("X1"), case == 1),

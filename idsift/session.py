@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders that this process made for sessions without a shared one, by application.
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a local master may fall back to a temporary folder, because executors
-    on other machines could not read it.
+    A local master without that setting gets a folder of its own, removed when the
+    process ends; any other master must name one. The session isn't changed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="idsift-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="idsift-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        base = _OWN[app]
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 

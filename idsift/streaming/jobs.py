@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,12 +30,33 @@ def intake(stream: DataFrame, time: str = "ts", watermark: str = "1 hour") -> Da
     )
 
 
-def intake_conflicts(intaken: DataFrame) -> DataFrame:
-    """Batch form for ``foreachBatch``: one status per request and fingerprint."""
-    first = intaken.groupBy("request_id").agg(F.min_by("fingerprint", F.struct("ts", "fingerprint")).alias("_f"))
-    return intaken.join(first, "request_id").withColumn(
-        "status", F.when(F.col("fingerprint") == F.col("_f"), "new").otherwise("conflict")
-    ).drop("_f")
+def intake_writer(folder: str):
+    """``foreachBatch`` function that judges requests against the stored ones.
+
+    Rows ``request_id, fingerprint, ts``. Each batch leaves its verdicts below ``out`` and
+    its new requests below ``requests``, both under its own number, so a repeated batch
+    replaces itself and is judged against the batches before it only. Within a batch
+    the earliest time counts, then the lower fingerprint.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = "request_id string, fingerprint string, event_id string"
+        known = spark.createDataFrame([], schema)
+        if batch_id > 0:
+            known = spark.read.schema(schema + ", batch long").parquet(f"{folder}/requests").filter(
+                F.col("batch") < batch_id
+            ).drop("batch")
+        at = F.concat_ws("|", F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), "fingerprint")
+        fresh = batch.groupBy("request_id", "fingerprint").agg(at.alias("at")).withColumn(
+            "event_id", F.sha2(F.concat_ws("|", "request_id", "fingerprint"), 256)
+        )
+        judged = audit.dedupe(known, fresh, "at").select("request_id", "fingerprint", "event_id", "status")
+        judged.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        new = spark.read.parquet(f"{folder}/out/batch={batch_id}").filter("status = 'new'")
+        new.drop("status").write.mode("overwrite").parquet(f"{folder}/requests/batch={batch_id}")
+
+    return write
 
 
 # ------------------------------------------------------------------- decisions
@@ -45,26 +67,26 @@ _DECISION_INPUT = [
     "ord", "kind", "request_id", "fingerprint", "event_hash", "incomplete", "decision", "expected_event_hash",
     "acknowledge_incomplete",
 ]
-DECISION_STATE = "latest string, incomplete boolean, requests array<string>, prints array<string>"
+_DECISION_ROW = (
+    "struct<at:timestamp,ord:long,kind:string,request_id:string,fingerprint:string,event_hash:string,"
+    "incomplete:boolean,decision:string,expected_event_hash:string,acknowledge_incomplete:boolean>"
+)
+DECISION_STATE = f"latest string, incomplete boolean, requests array<string>, prints array<string>, waiting array<{_DECISION_ROW}>"
 
 
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply one scan's events in arrival order against its latest hash."""
-    latest, incomplete, requests, prints = state.get if state.exists else (None, None, [], [])
-    known = dict(zip(requests, prints, strict=True))
-    # Plain lists: a scan has few events, and a frame operation costs more than they do.
-    rows = sorted(
-        (row for b in batches for row in zip(*(b[c].tolist() for c in _DECISION_INPUT), strict=True)),
-        key=lambda r: r[0],
-    )
+def _judge(key: str, rows: list[tuple], known: tuple) -> tuple[list[tuple], tuple]:
+    """Apply one scan's rows, in order, to what is known of it."""
+    latest, incomplete, requests, prints = known
+    seen = dict(zip(requests, prints, strict=True))
     out = []
     for at, kind, request, own_print, new_hash, gate, decision, expected, acknowledged in rows:
         if kind == "scan":
             if latest is None:
                 latest, incomplete = new_hash, bool(gate)
+                seen[request] = own_print
             continue
-        if request in known:
-            status = "replay" if known[request] == own_print else "conflict"
+        if request in seen:
+            status = "replay" if seen[request] == own_print else "conflict"
         elif latest is None:
             status = "not_found"
         elif expected != latest:
@@ -73,22 +95,53 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             status = "incomplete"
         else:
             status, latest = "accepted", new_hash
-            known[request] = own_print
-        out.append((key[0], request, int(at), status, latest))
-    state.update((latest, incomplete, list(known), list(known.values())))
-    yield pd.DataFrame(out, columns=_DECISION_NAMES)
+            seen[request] = own_print
+        out.append((key, request, int(at), status, latest))
+    return out, (latest, incomplete, list(seen), list(seen.values()))
+
+
+def _decider(retention_ms: int):
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Hold rows until the watermark has passed them, then judge them in order of time.
+
+        So the result doesn't depend on which rows share a micro-batch.
+        """
+        old = state.get if state.exists else (None, None, [], [], [])
+        known = (old[0], old[1], list(old[2]), list(old[3]))
+        waiting = [tuple(r) for r in old[4]]
+        for b in batches:
+            waiting += zip(b["ts"].tolist(), *(b[c].tolist() for c in _DECISION_INPUT), strict=True)
+        done = state.getCurrentWatermarkMs()
+        # Plain lists: a scan has few events, and a frame operation costs more than they do.
+        waiting.sort(key=lambda r: (r[0], r[2] != "scan", r[1], r[3]))
+        ready = [r for r in waiting if r[0].timestamp() * 1000 <= done]
+        waiting = waiting[len(ready):]
+        out, known = _judge(key[0], [r[1:] for r in ready], known)
+        if waiting:
+            state.update((*known, waiting))
+            state.setTimeoutTimestamp(max(int(waiting[0][0].timestamp() * 1000), done) + 1)
+        elif state.hasTimedOut and not ready:
+            state.remove()
+        else:
+            state.update((*known, []))
+            state.setTimeoutTimestamp(done + retention_ms)
+        yield pd.DataFrame(out, columns=_DECISION_NAMES)
 
+    return decide
 
-def decisions(stream: DataFrame) -> DataFrame:
+
+def decisions(stream: DataFrame, watermark: str = "1 hour", retention_days: int = 30) -> DataFrame:
     """Judge decisions against the newest event of their scan.
 
-    Rows: ``scan_id, kind, ord, request_id, fingerprint, event_hash, incomplete,
-    decision, expected_event_hash, acknowledge_incomplete``. State per scan is its
-    newest hash, its gate and the accepted requests. A scan's own events are few;
-    scans are what there are many of.
+    Rows: ``ts, scan_id, kind, ord, request_id, fingerprint, event_hash, incomplete,
+    decision, expected_event_hash, acknowledge_incomplete``. A row is judged when the
+    watermark has passed its time, in order of time, however the rows were dealt to
+    micro-batches; a decision whose scan hasn't come by then is ``not_found``. State
+    per scan is its newest hash, its gate, the accepted requests and waiting rows, and
+    goes after ``retention_days`` without an event.
     """
-    return stream.groupBy("scan_id").applyInPandasWithState(
-        _decide, DECISION_OUTPUT, DECISION_STATE, "append", GroupStateTimeout.NoTimeout
+    return stream.withWatermark("ts", watermark).groupBy("scan_id").applyInPandasWithState(
+        _decider(retention_days * 86_400_000), DECISION_OUTPUT, DECISION_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -106,30 +159,56 @@ def score(stream: DataFrame, policy: RiskPolicy | None = None) -> DataFrame:
 # ------------------------------------------------------------------- sequences
 
 
+_FRAME_NAMES = ["idx", "timestamp_ms", "face_count", "eyes", "usable", "same_face", "contrast", "periodic", "digest"]
+_GATHERED = f"n long, frames array<{sequences.FRAME}>"
+
+
+def _gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keep the twelve frames of smallest position, and count the others."""
+    if state.hasTimedOut:
+        n, frames = state.get
+        state.remove()
+        yield pd.DataFrame({"seq_id": [key[0]], "n": [n], "frames": [[dict(zip(_FRAME_NAMES, f, strict=True)) for f in frames]]})
+        return
+    n, frames = state.get if state.exists else (0, [])
+    frames, newest = [tuple(f) for f in frames], 0
+    for b in batches:
+        n += len(b)
+        newest = max(newest, int(b["ts"].max().timestamp() * 1000))
+        for row in b["f"]:
+            get = row.get if isinstance(row, dict) else row.asDict().get
+            frames.append(tuple(get(c) for c in _FRAME_NAMES))
+        frames.sort(key=lambda f: (f[0] is None, f[0] or 0, f[1] is None, f[1] or 0))
+        frames = frames[: SEQUENCE_LIMITS["max_frames"]]
+    state.update((n, frames))
+    gap = SEQUENCE_LIMITS["max_timestamp_ms"]
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + gap)
+    yield pd.DataFrame({"seq_id": [], "n": [], "frames": []})
+
+
 def gather_sequences(stream: DataFrame, time: str = "ts") -> DataFrame:
     """Close a frame sequence when none arrived for the sequence limit.
 
-    The aggregate keeps at most twelve frames per sequence; later frames than the
-    watermark are dropped. ``sequences.outcome_of`` evaluates the result.
+    State per sequence is a count and at most twelve frames, those of the smallest
+    positions, merged batch by batch. ``sequences.outcome_of`` evaluates the result.
     """
     gap = f"{SEQUENCE_LIMITS['max_timestamp_ms'] // 1000} seconds"
-    gathered = (
-        stream.withWatermark(time, gap)
-        .groupBy("seq_id", F.session_window(time, gap).alias("session"))
-        .agg(F.count("*").alias("n"), sequences.first_frames().alias("frames"))
+    rows = stream.withWatermark(time, gap).select("seq_id", F.col(time).alias("ts"), sequences.frame_struct().alias("f"))
+    return rows.groupBy("seq_id").applyInPandasWithState(
+        _gather, f"seq_id {dict(stream.dtypes)['seq_id']}, {_GATHERED}", _GATHERED, "append", GroupStateTimeout.EventTimeTimeout
     )
-    return gathered.select("seq_id", "n", "frames")
 
 
 # ---------------------------------------------------------------------- append
 
 
-def appender(spark: SparkSession, folder: str, order: list[str]):
+def appender(spark: SparkSession, folder: str, order: list[str], owner: str = ""):
     """``foreachBatch`` function that appends each batch to a log in ``folder``.
 
     Each batch writes its events and heads below its own number with overwrite, so
     a batch that is repeated after a failure replaces itself. Only batches before
-    it are read as history.
+    it are read as history. ``owner`` names the stream, best by its checkpoint: a log
+    takes rows from its first owner only.
     """
 
     def path(table: str, batch_id: int) -> str:
@@ -137,6 +216,7 @@ def appender(spark: SparkSession, folder: str, order: list[str]):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        _own(session, folder, owner)
         head = session.createDataFrame([], "chain_id bigint, seq bigint, event_hash string")
         if batch_id > 0:
             # Batches are numbered without gaps and each one leaves a full head.
@@ -149,6 +229,19 @@ def appender(spark: SparkSession, folder: str, order: list[str]):
     return write
 
 
+def _own(spark: SparkSession, folder: str, owner: str) -> None:
+    """Bind the log to the stream that writes it. A stream with a new checkpoint counts
+    its batches from 0 again, and must not replace those of another one."""
+    try:
+        found = spark.read.schema("owner string").parquet(f"{folder}/owner").first()
+    except AnalysisException:
+        found = None
+    if found is None:
+        spark.createDataFrame([(owner,)], "owner string").write.mode("overwrite").parquet(f"{folder}/owner")
+    elif found[0] != owner:
+        raise ValueError(f"the log belongs to {found[0]!r}; give {owner!r} a folder of its own")
+
+
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(audit.EVENT_SCHEMA).parquet(f"{folder}/{EVENT_TABLE}").drop("batch")
 
