@@ -388,7 +388,7 @@ def history(
     matching = latest(events).filter(F.col("seq").isNotNull() & F.contains(text, F.lit(query.lower())))
     if decision is not None:
         matching = matching.filter(F.col("state") == decision)
-    page = matching.orderBy(F.desc("timestamp"), "chain_id", "seq", "scan_id").offset(offset).limit(limit)
+    page = matching.orderBy(F.desc("timestamp"), "chain_id", F.desc("seq"), "scan_id").offset(offset).limit(limit)
     return page.drop("payload_json", "first_kind"), matching.agg(F.count("*").alias("total"))
 
 

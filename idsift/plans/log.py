@@ -287,7 +287,7 @@ def a2f(spark, sf):
 
 @query("k1_history_page", O.query("""
 SELECT scan_id, seq, state, (SELECT count(*) FROM states WHERE contains(lower(concat_ws(' ', scan_id, document_hash, actor, coalesce(latest_actor, ''))), 'urgent') AND state = 'pending') AS total FROM states
-WHERE contains(lower(concat_ws(' ', scan_id, document_hash, actor, coalesce(latest_actor, ''))), 'urgent') AND state = 'pending' ORDER BY timestamp DESC, chain_id, seq, scan_id LIMIT 50 OFFSET 5"""))
+WHERE contains(lower(concat_ws(' ', scan_id, document_hash, actor, coalesce(latest_actor, ''))), 'urgent') AND state = 'pending' ORDER BY timestamp DESC, chain_id, seq DESC, scan_id LIMIT 50 OFFSET 5"""))
 def k1(spark, sf):
     page, total = audit.history(full_log(spark, sf), "URGENT", "pending", 50, 5)
     # Both sides are bounded: one page and one row.
