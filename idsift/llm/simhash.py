@@ -22,6 +22,7 @@ from math import comb, log2
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -281,6 +282,11 @@ NEAR_SIMILARITY = 0.8
 NEAR_BITS = 8
 #: Nodes of a bucket up to which its close pairs are taken in the join.
 NEAR_DENSE = 256
+#: Shingles of a block of texts, and of a shard that counts them, about.
+NEAR_BLOCK = 1_000_000
+#: Texts of a block at most: they are numbered in 16 bits.
+BLOCK_TEXTS = 1 << 16
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def set_bits(words: list[bytes]) -> int:
@@ -293,6 +299,17 @@ def jaccard(a: str, b: str, k: int = NEAR_SHINGLE) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def shingle_keys(words: list[bytes], k: int = NEAR_SHINGLE) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles."""
+    each = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    k = min(k, len(each))
+    keys = np.zeros(len(each) - k + 1 if k else 0, dtype=np.uint64)
+    for i in range(k):
+        keys = (keys + each[i : i + len(keys)]) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return np.unique(keys)
+
+
 @F.pandas_udf(T.StructType().add("node", T.BinaryType()).add("sig", T.LongType()))
 def _identity(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
@@ -308,15 +325,115 @@ def _similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series([jaccard(x, y) >= NEAR_SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def shared_shingles(blocks: DataFrame, shards: int) -> DataFrame:
+    """blocks (block, keys, at) -> block, at, key, n_nodes: the shingles that two or more
+    texts have. Arrays move, a row for each block and shard, and only what is shared
+    becomes rows."""
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, raw_keys, raw_at in zip(batch["block"], batch["keys"], batch["at"], strict=True):
+                keys, at = np.frombuffer(raw_keys, dtype=np.uint64), np.frombuffer(raw_at, dtype=np.uint16)
+                shard = (keys % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                found, begins = np.unique(shard[order], return_index=True)
+                parts = np.split(order, begins[1:])
+                yield pd.DataFrame({
+                    "shard": found, "block": block,
+                    "keys": [keys[i].tobytes() for i in parts], "at": [at[i].tobytes() for i in parts],
+                })
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(rows["keys"]), dtype=np.uint64)
+        at = np.frombuffer(b"".join(rows["at"]), dtype=np.uint16)
+        block = np.repeat(rows["block"].to_numpy(), [len(x) // 2 for x in rows["at"]])
+        _, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+        often = n[place]
+        kept = often > 1
+        return pd.DataFrame({
+            "block": block[kept], "at": at[kept].astype(np.int32), "key": keys[kept].view(np.int64), "n_nodes": often[kept],
+        })
+
+    return (
+        blocks.select("block", "keys", "at").mapInPandas(dealt, "shard long, block long, keys binary, at binary")
+        .groupBy("shard").applyInPandas(count, "block long, at int, key long, n_nodes long")
+    )
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """texts (node, text) -> block, nodes, sizes (shingles of each), keys, at (the number of
+    each key's text in the block): a row per block."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, made = TaskContext.get().partitionId(), 0
+        nodes, keys, held = [], [], 0
+
+        def row() -> pd.DataFrame:
+            sizes = [len(k) for k in keys]
+            at = np.repeat(np.arange(len(keys), dtype=np.uint16), sizes)
+            return pd.DataFrame({
+                "block": [(task << 24) + made], "nodes": [nodes], "sizes": [sizes],
+                "keys": [np.concatenate(keys).tobytes()], "at": [at.tobytes()],
+            })
+
+        for batch in batches:
+            for node, text in zip(batch["node"], batch["text"], strict=True):
+                nodes.append(node)
+                keys.append(shingle_keys(words_of(text)))
+                held += len(keys[-1])
+                if held >= NEAR_BLOCK or len(nodes) == BLOCK_TEXTS:
+                    yield row()
+                    made += 1
+                    nodes, keys, held = [], [], 0
+        if nodes:
+            yield row()
+
+    return texts.select("node", "text").mapInPandas(
+        read, "block long, nodes array<binary>, sizes array<long>, keys binary, at binary"
+    )
+
+
+def prefix_members(texts: DataFrame) -> DataFrame:
+    """texts (node, text) -> key, node, size: nodes with a common key are candidates, and
+    every two nodes of a Jaccard similarity of NEAR_SIMILARITY or more have one.
+
+    Such nodes share four fifths of either's shingles. So, with shingles in one order
+    for all nodes, they share one of the first n - ceil(4n / 5) + 1 of each. The order
+    is rarest first; those that one node alone has come before all others and meet none.
+    """
+    blocks = common.stored(_blocks(texts), "blocks")
+    total = blocks.agg(F.coalesce(F.sum(F.length("at")), F.lit(0))).first()[0] // 2
+    shared = common.stored(shared_shingles(blocks, max(1, -(-total // NEAR_BLOCK))), "shared")
+    sizes = blocks.select("block", F.posexplode(F.arrays_zip("nodes", "sizes")).alias("at", "x")).select(
+        "block", "at", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("size")
+    )
+    # A text that has too few shared shingles goes before its shingles are gathered.
+    able = shared.groupBy("block", "at").agg(F.count("*").alias("n_shared")).join(sizes, ["block", "at"]).withColumn(
+        "first", F.col("size") - F.ceil(F.col("size") * 4 / F.lit(5)) + 1 - (F.col("size") - F.col("n_shared"))
+    ).filter("first > 0")
+    gathered = shared.join(able.select("block", "at"), ["block", "at"], "left_semi").groupBy("block", "at").agg(
+        F.sort_array(F.collect_list(F.struct("n_nodes", "key"))).alias("ordered")
+    )
+    asked = common.stored(
+        gathered.join(able, ["block", "at"]).select(
+            F.explode(F.expr("slice(ordered, 1, cast(first as int))")).alias("x"), "node", "size"
+        ).select("x.key", "node", "size"),
+        "prefixes",
+    )
+    met = asked.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+    return asked.join(met.select("key"), "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, most: int = NEAR_BITS) -> DataFrame:
     """All rows and columns of docs (doc_id, text, ...), with `node` (identity of the
     text's words), `component` and `keep`: true for one document of each group.
 
-    Texts of equal words are one node. Nodes whose word fingerprints differ in at most
-    `most` bits are candidates; links are those whose 5-word shingles have a Jaccard
-    similarity of 0.8 or more, and groups are the components of links. The kept one
-    has the smallest doc_id (null last), then text; of wholly equal rows one is kept.
-    Null and blank texts are one group.
+    Texts of equal words are one node. Links are all pairs of nodes whose 5-word shingles
+    have a Jaccard similarity of 0.8 or more, and groups are the components of links.
+    Candidates are nodes whose word fingerprints differ in at most `most` bits, and those
+    that share one of their rarest shingles, which no linked pair misses: see
+    prefix_members. The kept one has the smallest doc_id (null last), then text; of
+    wholly equal rows one is kept. Null and blank texts are one group.
     """
     rows = docs.select(*common.without(docs, {"node", "component", "keep", "_own"}))
     own = rows.select("doc_id", "text", _identity(F.col("text")).alias("_own")).select("doc_id", "text", "_own.*")
@@ -329,34 +446,38 @@ def near_duplicates(docs: DataFrame, most: int = NEAR_BITS) -> DataFrame:
     probes = common.stored(probes, "probes")
 
     def close(a: Column, b: Column) -> Column:
-        return differ(a, b) <= most
+        sized = 5 * F.least(a["size"], b["size"]) >= 4 * F.greatest(a["size"], b["size"])
+        return F.when(a["size"] == 0, differ(a["fp"], b["fp"]) <= most).otherwise(sized)
 
     few = index.filter(F.col("size") <= NEAR_DENSE).select(
         "part", "value", F.col("node").alias("pivot"), F.col("fp").alias("pivot_fp")
     )
     pairs = common.stored(
         probes.join(few, ["part", "value"])
-        .filter((F.col("node") != F.col("pivot")) & close(F.col("fp"), F.col("pivot_fp")))
+        .filter((F.col("node") != F.col("pivot")) & (differ(F.col("fp"), F.col("pivot_fp")) <= most))
         .select("node", "pivot").distinct(),
         "pairs",
     )
-    crowd = index.filter(F.col("size") > NEAR_DENSE)
-    bucket = F.struct("part", "value").alias("bucket")
-    members = crowd.select(bucket, "node", F.col("fp").alias("sig"), F.lit(True).alias("indexed")).union(
-        probes.join(crowd.select("part", "value").distinct(), ["part", "value"], "left_semi")
-        .select(bucket, "node", F.col("fp").alias("sig"), F.lit(False).alias("indexed"))
-    )
-    # One text of every node that may be compared, found by its row and moved once.
-    asked = (
-        pairs.select("node").union(pairs.select("pivot")).union(members.select("node")).distinct()
-        .join(own.groupBy("node").agg(F.min(F.struct("_key", "_text")).alias("row")), "node")
-        .select("node", "row._key", "row._text")
-    )
+    # One text of every node, found by its row and moved once.
+    asked = own.groupBy("node").agg(F.min(F.struct("_key", "_text")).alias("row")).select("node", "row._key", "row._text")
     texts = common.stored(
         docs.select(_id_key("doc_id"), F.xxhash64("text").alias("_text"), "text").join(asked, ["_key", "_text"])
         .groupBy("node").agg(F.first("text").alias("text")),
         "texts",
     )
+    crowd = index.filter(F.col("size") > NEAR_DENSE)
+    bucket = F.struct("part", "value").alias("bucket")
+    # Members of a size are met by their sizes, the others by their fingerprints.
+    sig = F.struct(F.col("fp"), F.lit(0).cast("bigint").alias("size")).alias("sig")
+    members = crowd.select(bucket, "node", sig, F.lit(True).alias("indexed")).union(
+        probes.join(crowd.select("part", "value").distinct(), ["part", "value"], "left_semi")
+        .select(bucket, "node", sig, F.lit(False).alias("indexed"))
+    ).union(
+        prefix_members(texts).select(
+            F.struct(F.lit(-1).alias("part"), F.col("key").alias("value")).alias("bucket"), "node",
+            F.struct(F.lit(0).cast("bigint").alias("fp"), "size").alias("sig"), F.lit(True).alias("indexed"),
+        )
+    )
 
     def verify(asked_pairs: DataFrame) -> DataFrame:
         with_a = asked_pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")

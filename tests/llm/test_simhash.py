@@ -142,6 +142,34 @@ def test_near_duplicates(spark, dense, monkeypatch):
         assert kept == [min(rnd[i] for i in mine)]
 
 
+def edited(rnd, words, edit, n):
+    """words with n of them cut off, appended, or replaced in one block."""
+    new = [f"y{rnd.randint(0, 10**6)}" for _ in range(n)]
+    at = (len(words) - n) // 2
+    return {
+        "last": words[: len(words) - n], "first": words[n:], "appended": words + new,
+        "block": words[:at] + new + words[at + n :],
+    }[edit]
+
+
+def test_no_cut_extended_or_block_edited_copy_is_missed(spark):
+    rnd = random.Random(21)
+    rows, pairs = [], []
+    for edit in ("last", "first", "appended", "block"):
+        for _ in range(40):
+            words = [f"w{rnd.randint(0, 3000)}" for _ in range(rnd.choice([60, 150, 500, 1500]))]
+            text = " ".join(words)
+            made = (" ".join(edited(rnd, words, edit, n)) for n in range(len(words) // 3, 0, -1))
+            copy = next(t for t in made if simhash.jaccard(text, t) >= 0.8)
+            assert simhash.jaccard(text, copy) < 0.85
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), text), (len(rows) + 1, copy)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in simhash.near_duplicates(df).collect()}
+    assert [p for p in pairs if found[p[0]]["component"] != found[p[1]]["component"]] == []
+    assert [p for p in pairs if not found[p[0]]["keep"] or found[p[1]]["keep"]] == []
+
+
 def test_near_duplicate_edge_rows(spark):
     found = simhash.near_duplicates(edge.docs(spark)).collect()
     assert len(found) == len(edge.rows())
