@@ -27,8 +27,8 @@ from idsift.llm import common, linking
 SHINGLE = 7
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
-#: Shorter lines, normalised, are left alone.
-LEAST_CHARS = 20
+#: Shorter lines, normalised, are left alone: blank ones.
+LEAST_CHARS = 1
 #: Characters whose shingle sets a task remembers.
 REMEMBERED = 500_000
 #: Characters that are hashed at a time.
@@ -120,7 +120,8 @@ def _similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 
 def occurrences(docs: DataFrame, kind: str) -> DataFrame:
     """doc_id, text -> a row per line: _doc (identity of the row), line_no, key and, once
-    per batch and line, bands. Lines below LEAST_CHARS have no key."""
+    per batch and line, bands. Blank lines have no key. A line shorter than a shingle is
+    similar to its equals alone, which its key tells, and has no bands."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,7 +135,7 @@ def occurrences(docs: DataFrame, kind: str) -> DataFrame:
                         waiting.append((doc_id, doc, no, None, None))
                     else:
                         key = line_key(line)
-                        fresh = key not in seen
+                        fresh = len(line) >= SHINGLE and key not in seen
                         seen.add(key)
                         chars += len(line) * fresh
                         waiting.append((doc_id, doc, no, key, line if fresh else None))
@@ -162,7 +163,7 @@ def _made(waiting: list[tuple], batch: pd.DataFrame) -> pd.DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """key, line: normalised lines of docs that have a key."""
+    """key, line: normalised lines of docs that have bands."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -170,7 +171,7 @@ def _texts(docs: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 for raw in (text or "").split("\n"):
                     line = normal(raw)
-                    if len(line) >= LEAST_CHARS:
+                    if len(line) >= SHINGLE:
                         found[line_key(line)] = line
                 if len(found) >= 20_000:
                     yield pd.DataFrame({"key": list(found), "line": list(found.values())})
@@ -185,7 +186,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
     A class is a component of lines of a similarity of 0.8 or more, its class_id the
     smallest key in it. The class keeps its line in the smallest doc_id (null last),
-    text, and line number. Short lines have a null class and are kept. Rows of equal
+    text, and line number. Blank lines have a null class and are kept. Rows of equal
     doc_id and text are one document, and each shows the same lines as kept. A null
     text has one empty line.
     """

@@ -53,6 +53,20 @@ def test_texts_keep_first_lines(spark):
     assert found[3] == ""
 
 
+def test_short_lines_have_classes(spark):
+    docs = [(1, "Menu\nLog in\n \nx\nRead more here"), (2, " menu\nlog  in\n\nX\nread more her\ny"), (3, "Menu\nread More here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["doc_id"], r["line_no"]): r for r in lines.line_classes(df).collect()}
+    assert {p for p, r in found.items() if r["class_id"] is None} == {(1, 2), (2, 2)}
+    same = [[(1, 0), (2, 0), (3, 0)], [(1, 1), (2, 1)], [(1, 3), (2, 3)], [(1, 4), (2, 4), (3, 1)], [(2, 5)]]
+    for places in same:
+        assert len({found[p]["class_id"] for p in places}) == 1
+        assert [found[p]["keep"] for p in places] == [True] + [False] * (len(places) - 1)
+    assert len({found[places[0]]["class_id"] for places in same}) == len(same)
+    texts = {r["doc_id"]: r["text"] for r in lines.dedup(df).collect()}
+    assert texts == {1: docs[0][1], 2: "\ny", 3: ""}
+
+
 def test_edge_rows(spark):
     docs = edge.docs(spark)
     found = lines.dedup(docs)
