@@ -1,14 +1,15 @@
 """Personal data: entities by form, and terms that reveal them by corpus statistics.
 
-Entities (email, ip, card, phone) are found by pattern. A term is a word near an
-entity. How strongly it reveals that entity is its pointwise mutual information with
-it over the entity's information content, both from document counts of the corpus:
+Entities (email, ip, card, phone) are found by pattern. A term is a word of a text that
+holds an entity. How strongly it reveals that entity is its pointwise mutual information
+with it over the entity's information content, both from document counts of the corpus:
 
     disclosure(t; c) = log2(n(c,t) * N / (n(c) * n(t))) / log2(N / n(c))
 
 1 means that the entity occurs wherever the term does. Terms at or above THRESHOLD
-that stand near the entity in SUPPORT or more different texts are spans too; they are
-removed if they disclose fully and generalised otherwise.
+that occur with the entity in SUPPORT or more different texts are spans too, wherever
+they stand in a text with the entity; they are removed if they disclose fully and
+generalised otherwise.
 
 Only DataFrame functions. Positions are running sums over a document's matches, not
 nested lists, so a document with very many matches stays linear.
@@ -26,11 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: What each kind becomes in sanitised text.
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", TERM: "[TERM]"}
-#: Characters on either side of an entity in which terms count as near it.
-NEAR = 100
 THRESHOLD = 0.9
 SUPPORT = 2
-LONGEST_TERM = 40
 
 # A match starts where its first run of characters starts, or where the last match
 # ended: from a later start in the run it would need the same rest. Possessive
@@ -41,32 +39,35 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A word: letters and digits, with single marks inside it; a point only between digits.
+WORD = (
+    r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+"
+    r"(?:(?:['’_-]|(?<=\p{N})\.(?=\p{N}))[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+)*+"
+)
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-_MATCH = "array<struct<gap:int,len:int,found:string,before:string,after:string>>"
+_MATCH = "array<struct<gap:int,len:int,found:string>>"
 
 
 def matches(text: Column, kind: str) -> Column:
-    """Every match in order: characters before it since the last, its length and text,
-    and the text near it."""
-    pattern = PATTERNS[kind]
+    """Every match in order: characters before it since the last, its length and text."""
+    hint = HINTS[kind]
+    maybe = text.contains(hint) if hint else text.rlike("[0-9]")
+    return F.when(maybe, pieces(text, PATTERNS[kind])).otherwise(F.array().cast(_MATCH))
 
+
+def pieces(text: Column, pattern: str) -> Column:
     def zipped(both: Column) -> Column:
         def one(found: Column, i: Column) -> Column:
-            before, after = F.element_at(both["gaps"], i + 1), F.element_at(both["gaps"], i + 2)
-            return F.struct(
-                F.length(before).alias("gap"), F.length(found).alias("len"), found.alias("found"),
-                F.right(before, F.lit(NEAR)).alias("before"), F.left(after, F.lit(NEAR)).alias("after"),
-            )
+            before = F.element_at(both["gaps"], i + 1)
+            return F.struct(F.length(before).alias("gap"), F.length(found).alias("len"), found.alias("found"))
 
         return F.transform(both["found"], one)
 
     split = F.struct(
         F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
     )
-    hint = HINTS[kind]
-    maybe = text.contains(hint) if hint else text.rlike("[0-9]")
-    return F.when(maybe, let(split, zipped)).otherwise(F.array().cast(_MATCH))
+    return let(split, zipped)
 
 
 def digits(found: Column) -> Column:
@@ -102,8 +103,8 @@ def is_valid(kind: Column, found: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """docs (_id, _key, text) -> _id, _key, kind, rank, start, end, found, before, after:
-    a row per valid entity. end is exclusive; both count code points."""
+    """docs (_id, _key, text) -> _id, _key, kind, rank, start, end, found: a row per valid
+    entity. end is exclusive; both count code points."""
     each = [_ranked(matches(F.col("text"), kind), rank) for rank, kind in enumerate(KINDS)]
     rows = docs.select("_id", "_key", F.explode(F.concat(*each)).alias("m")).select("_id", "_key", "m.*").select(
         "_id", "_key", "rank", "i", "x.*"
@@ -113,7 +114,6 @@ def entities(docs: DataFrame) -> DataFrame:
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("kind", kind)
     return placed.filter(is_valid(F.col("kind"), F.col("found"))).select(
         "_id", "_key", "kind", "rank", (F.col("end") - F.col("len")).alias("start"), "end", "found",
-        "before", "after", (F.length("before") < F.col("gap")).alias("cut"),
     )
 
 
@@ -127,106 +127,100 @@ def entity_name(kind: Column, found: Column) -> Column:
     return F.concat(kind, F.lit(":"), value)
 
 
-def word_starts(context: Column, base: Column) -> Column:
-    """(term, start, end) of the words of a short context: letters only, closing marks
-    cut off. The context is at most NEAR characters."""
-
-    def placed(both: Column) -> Column:
-        def one(word: Column, i: Column) -> Column:
-            before = F.aggregate(
-                F.slice(both["gaps"], 1, i + 1), F.lit(0), lambda n, g: n + F.length(g)
-            ) + F.aggregate(F.slice(both["words"], 1, i), F.lit(0), lambda n, w: n + F.length(w))
-            term = F.regexp_replace(word, r"[.,;:!?)]+$", "")
-            start = base + before
-            return F.struct(term.alias("term"), start.alias("start"), (start + F.length(term)).alias("end"))
-
-        return F.transform(both["words"], one)
-
-    both = F.struct(
-        F.split(context, common.WORD, -1).alias("gaps"),
-        F.regexp_extract_all(context, F.lit(common.WORD), F.lit(0)).alias("words"),
-    )
-    return F.filter(
-        let(both, placed),
-        lambda w: w["term"].rlike(r"^\p{L}[\p{L}'’-]*\p{L}$") & (F.length(w["term"]) <= LONGEST_TERM),
-    )
+def words_of(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """Entities -> _id, _key, entity, term, start, end: a row per word near an entity.
-    A word that the edge of the context may have cut is left out."""
-    edge = F.when(F.col("cut"), F.length(F.regexp_extract("before", r"^[^\x20\x09-\x0D]*", 0))).otherwise(0)
-    before = F.expr("substring(before, edge + 1)")
-    after = F.regexp_replace("after", r"[^\x20\x09-\x0D]*$", "")
-    whole = F.when(F.length("after") < NEAR, F.col("after")).otherwise(after)
-    first = F.regexp_extract(whole, r"^[^\x20\x09-\x0D]*", 0)
-    rest = F.expr("substring(whole, length(first) + 1)")
-    prepared = (
-        found.withColumn("edge", edge).withColumn("left_part", before).withColumn("whole", whole)
-        .withColumn("first", first).withColumn("right_part", rest)
-        # What touches the entity belongs to it.
-        .withColumn("left_part", F.regexp_replace("left_part", r"[^\x20\x09-\x0D]*$", ""))
-    )
-    both = F.concat(
-        word_starts(F.col("left_part"), F.col("start") - F.length("before") + F.col("edge")),
-        word_starts(F.col("right_part"), F.col("end") + F.length("first")),
-    )
-    name = entity_name(F.col("kind"), F.col("found"))
-    return prepared.select("_id", "_key", name.alias("entity"), F.explode(both).alias("w")).select(
-        "_id", "_key", "entity", F.lower("w.term").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")
-    )
+    """Entities -> _id, _key, entity: a row per document and entity in it."""
+    return found.select("_id", "_key", entity_name(F.col("kind"), F.col("found")).alias("entity")).distinct()
 
 
-def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
+def disclosures(docs: DataFrame, found: DataFrame, mentioned: DataFrame) -> DataFrame:
     """entity, term, disclosure: pairs at or above THRESHOLD. Counts are of documents
-    over the whole corpus; SUPPORT counts different texts, so copies are one."""
-    n = F.lit(docs.count())
-    of_entity = (
-        found.select("_id", "_key", entity_name(F.col("kind"), F.col("found")).alias("entity")).distinct()
-        .groupBy("entity").agg(F.count("*").alias("n_entity"))
+    over the whole corpus; SUPPORT counts different texts, so copies are one.
+
+    An entity and a term occur together in n_entity documents at most, so a term in more
+    than N ** (1 - THRESHOLD) * n_entity ** THRESHOLD documents stays below THRESHOLD.
+    Such terms go before they meet the entities; no other pair is left out."""
+    total = docs.count()
+    n = F.lit(total)
+    of_entity = common.stored(
+        mentioned.groupBy("entity", "_key").agg(F.count("*").alias("n"))
+        .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts"))
+        .filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") < n)).drop("n_texts")
+        .withColumn("most", F.lit(float(total) ** (1 - THRESHOLD)) * F.col("n_entity") ** THRESHOLD * (1 + 1e-9)),
+        "of_entity",
+    )
+    asked = common.stored(mentioned.join(of_entity, "entity"), "asked")
+    most = of_entity.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    of_term = (
+        docs.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+        .filter(F.col("n_term").between(SUPPORT, most))
+    )
+    bounds = asked.groupBy("_id", "_key").agg(F.max("most").alias("bound"))
+    terms = (
+        docs.join(bounds, ["_id", "_key"]).select("_id", "_key", "bound", F.explode(words_of(F.col("text"))).alias("term"))
+        .join(of_term, "term").filter(F.col("n_term") <= F.col("bound"))
+        .select("_id", "_key", "term", "n_term").distinct()
     )
     pairs = (
-        near.select("_id", "_key", "entity", "term").distinct()
-        .groupBy("entity", "term", "_key").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts"))
+        asked.join(terms, ["_id", "_key"]).filter(F.col("n_term") <= F.col("most"))
+        .groupBy("entity", "term", "_key").agg(
+            F.count("*").alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")
+        )
+        .groupBy("entity", "term").agg(
+            F.sum("n").alias("n_both"), F.count("*").alias("n_texts"),
+            F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"),
+        )
         .filter(F.col("n_texts") >= SUPPORT)
     )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}'’-]*\p{L}"), F.lit(0)))
-    asked = pairs.select("term").distinct()
-    of_term = (
-        docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-        .join(asked, "term", "left_semi")
-    )
-    scored = pairs.join(of_entity, "entity").join(of_term, "term")
     information = F.log2(n / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both")))
     return (
-        scored.withColumn("disclosure", F.when(information > 0, mutual / information))
+        pairs.withColumn("disclosure", F.when(information > 0, mutual / information))
         .filter(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
     )
 
 
+def occurrences(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """docs (_id, _key, text), told (_id, _key, term, d) -> _id, _key, start, end, d: every
+    place in a document of a term told of it."""
+    texts = docs.join(told.select("_id", "_key").distinct(), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    rows = texts.select("_id", "_key", F.posexplode(pieces(F.col("text"), WORD)).alias("i", "x")).select(
+        "_id", "_key", "i", "x.*"
+    )
+    upto = Window.partitionBy("_id", "_key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).select(
+        "_id", "_key", F.lower("found").alias("term"), (F.col("end") - F.col("len")).alias("start"), "end"
+    )
+    return placed.join(told, ["_id", "_key", "term"]).drop("term")
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """docs (_id, _key, text) -> _id, _key, kind, rank, start, end, action: every entity
-    and every disclosing term near the entity that it discloses. A term inside an
-    entity's span is part of that span."""
+    """docs (_id, _key, text) -> _id, _key, kind, rank, start, end, action: every entity,
+    and every occurrence of a disclosing term in a text with the entity that it discloses.
+    A term that overlaps an entity's span is part of that span."""
     found = common.stored(entities(docs), "entities")
-    near = common.stored(mentions(found), "mentions")
-    revealing = common.stored(disclosures(docs, found, near), "disclosures")
+    mentioned = common.stored(mentions(found), "mentions")
+    revealing = common.stored(disclosures(docs, found, mentioned), "disclosures")
     base = found.select("_id", "_key", "kind", "rank", "start", "end", F.lit("generalise").alias("action"))
-    terms = (
-        near.join(revealing, ["entity", "term"]).groupBy("_id", "_key", "start", "end")
-        .agg(F.max("disclosure").alias("d"))
-        .select(
-            "_id", "_key", F.lit(TERM).alias("kind"), F.lit(len(KINDS)).alias("rank"), "start", "end",
-            F.when(F.col("d") >= 1, "remove").otherwise("generalise").alias("action"),
-        )
+    told = common.stored(
+        mentioned.join(revealing, "entity").groupBy("_id", "_key", "term").agg(F.max("disclosure").alias("d")), "told"
     )
-    taken = base.select("_id", "_key", F.col("start").alias("from"), F.col("end").alias("to"))
-    free = terms.join(taken, ["_id", "_key"], "left").groupBy(*terms.columns).agg(
-        F.max(F.coalesce((F.col("start") < F.col("to")) & (F.col("from") < F.col("end")), F.lit(False))).alias("inside")
+    terms = occurrences(docs, told).select(
+        "_id", "_key", F.lit(TERM).alias("kind"), F.lit(len(KINDS)).alias("rank"), "start", "end",
+        F.when(F.col("d") >= 1, "remove").otherwise("generalise").alias("action"),
     )
-    return base.unionByName(free.filter("not inside").drop("inside"))
+    is_term = F.col("kind") == TERM
+    order = Window.partitionBy("_id", "_key").orderBy("start", "rank", "end")
+    reached = F.max(F.when(~is_term, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.min(F.when(~is_term, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    inside = F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False))
+    both = base.join(told.select("_id", "_key").distinct(), ["_id", "_key"], "left_semi").unionByName(terms)
+    free = both.withColumn("inside", inside).filter(is_term & ~F.col("inside")).drop("inside")
+    return base.unionByName(free)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

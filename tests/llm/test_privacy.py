@@ -89,6 +89,34 @@ def test_disclosure_figures(spark):
     assert got["email:qui@mail.example.com", "quillfeather"] == pytest.approx(math.log2(both * n / (c * t)) / math.log2(n / c))
 
 
+def terms_of(text, row):
+    return [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in row["spans"].split(",") if s) if k == "term"]
+
+
+def test_terms_far_from_the_entity(spark):
+    far = "this goes on and on without saying anything at all of note " * 5
+    docs = [f"Dear Quillfeather, {far} {i} write to q@mail.example.com {far} Quillfeather" for i in range(6)]
+    docs += [f"{far} nobody {i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in privacy.find(df).collect()}
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(df).collect()}
+    for i in range(6):
+        assert terms_of(docs[i], found[i]).count("Quillfeather") == 2
+        assert "Quillfeather" not in clean[i]
+    assert all(found[i]["n_term"] == 0 and clean[i] == docs[i] for i in range(6, 66))
+
+
+@pytest.mark.parametrize("name", ["Anna", "anna_92", "C-20417", "31.12.1987", "娜", "x" * 60, "O’Hara", "Zoe\u0308y"])
+def test_terms_of_any_form(spark, name):
+    forms = [f"({name}", f'"{name}"', f"[{name}]", f"{name}/", f"{name}!"]
+    docs = [f"ask {forms[i]} at q@mail.example.com for thing{i}" for i in range(5)]
+    docs += [f"ask at nobody for something{i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in privacy.find(df).collect()}
+    for i, text in enumerate(docs):
+        assert terms_of(text, found[i]) == ([name] if i < 5 else [])
+
+
 def test_edge_rows(spark):
     docs = edge.docs(spark)
     assert privacy.find(docs).count() == len(edge.rows())
