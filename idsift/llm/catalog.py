@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from idsift.llm import decontamination, language, lines, merkle, mixing, ngrams, privacy, simhash, tokens, urls
+from idsift.llm import (
+    codes, decontamination, language, lines, merkle, mixing, nearest, ngrams, phrases, privacy, simhash, tokens, urls,
+)
 
-MODULES = (tokens, ngrams, mixing, urls, lines, merkle, simhash, decontamination, language, privacy)
+MODULES = (
+    tokens, ngrams, mixing, urls, lines, merkle, simhash, decontamination, language, privacy, codes, phrases, nearest,
+)
 
 
 def queries() -> dict:
