@@ -189,9 +189,9 @@ def _deepened(width: int, depth: int):
     return deepen
 
 
-def marks_of(frequent: DataFrame, most_bits: int = MAP_BITS) -> np.ndarray:
-    """Bit map of the frequent phrases' places, of 2 ** most_bits bits at most."""
-    bits = min(most_bits, max(6, (frequent.count() * 64).bit_length()))
+def marks_of(frequent: DataFrame) -> np.ndarray:
+    """Bit map of the frequent phrases' places, of 2 ** MAP_BITS bits at most."""
+    bits = min(MAP_BITS, max(6, (frequent.count() * 64).bit_length()))
     spot = F.shiftright("place", MAP_BITS - bits)
     one = F.expr(f"shiftleft(1L, cast(shiftright(place, {MAP_BITS - bits}) & 63 as int))")
     rows = frequent.groupBy(F.shiftright(spot, 6).alias("i")).agg(F.bit_or(one).alias("w")).toPandas()
