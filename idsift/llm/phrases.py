@@ -34,7 +34,7 @@ TOP = 2_000
 #: Words with an id, at most.
 MOST_WORDS = 1 << 18
 #: Tokens that a task counts at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Entries of a shard, about.
 SHARD = 1 << 21
 #: Shards into which filters are cut at a time: 2 ** FAN_BITS.
