@@ -7,8 +7,12 @@ centroid already chosen is nearer to them than the vector is. Centroids are sear
 a graph in memory. A query reads the lists whose centroids are at most RATIO times as
 far as its nearest one: few where clusters are clear, many where they aren't.
 
-Of equal vectors the KEPT smallest ids are indexed, because no more can be among a
-query's nearest; equal queries are searched once. Lists and the queries of a list are
+A query first reads its FIRST nearest lists. The distance of the last of its nearest
+there bounds what it takes from the others, so that they answer with the few vectors
+within the bound and not each with as many as are asked for.
+
+Of equal vectors the smallest ids are indexed, as many as can be among a query's
+nearest; equal queries are searched once. Lists and the queries of a list are
 cut into blocks, so that neither a crowded list nor a popular one is one task.
 """
 
@@ -36,6 +40,8 @@ BOUNDARY = 1.03
 REPLICAS = 3
 #: Share of the nearest that a query shall find, and queries by which the ratio is set.
 TARGET, PROBES = 0.97, 64
+#: Lists that a query reads before the others.
+FIRST = 4
 #: Neighbours of a centroid in the graph, entry points, and centroids that a search keeps at least.
 LINKS, ENTRIES, BEAM = 16, 16, 8
 #: Vectors and queries that a task compares at a time; vectors that search the graph at a time.
@@ -117,8 +123,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
 
 
-def replicas(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list): the lists on which each row of x stands."""
+def replicas(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, place): the lists on which each row of x stands, by distance."""
     far = graph.search(x, BOUNDARY)
     order = np.argsort(far, axis=1, kind="stable")[:, : 4 * REPLICAS]
     own = np.take_along_axis(far, order, axis=1)
@@ -130,13 +136,16 @@ def replicas(graph: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             ok &= ~chosen[:, i] | (between > own[:, j])
         chosen[:, j] = ok if j else True
     rows, place = np.nonzero(chosen)
-    return rows, order[rows, place]
+    return rows, order[rows, place], place
 
 
-def read_lists(graph: Graph, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list): the lists that each row of x, a query, reads."""
+def read_lists(graph: Graph, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, place): the lists that each row of x, a query, reads, by distance."""
     far = graph.search(x, ratio)
-    return np.nonzero(far <= far.min(axis=1, keepdims=True) * ratio)
+    order = np.argsort(far, axis=1, kind="stable")
+    own = np.take_along_axis(far, order, axis=1)
+    rows, place = np.nonzero(np.isfinite(own) & (own <= own[:, :1] * ratio))
+    return rows, order[rows, place], place
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -178,7 +187,7 @@ def measured_ratio(queries: DataFrame, lists: DataFrame, graph: Graph, k: int, t
         for batch in batches:
             x, of = _matrix(batch), batch.column("list").to_numpy()
             # As many as there are copies on several lists.
-            rows, at, score = nearest_of(probes, x, REPLICAS * (k + 1))
+            rows, at, score = nearest_of(probes, x, REPLICAS * (k + 1), np.full(len(probes), np.inf))
             yield pa.RecordBatch.from_pydict(
                 {"probe": rows, "vec_id": batch.column("vec_id").take(pa.array(at)), "score": score, "need": far[rows, of[at]]}
             )
@@ -192,28 +201,31 @@ def measured_ratio(queries: DataFrame, lists: DataFrame, graph: Graph, k: int, t
 
 
 def _spread(vectors: DataFrame, graph, find) -> DataFrame:
-    """vectors, a row for each list that find(graph, matrix) names."""
+    """vectors, a row for each list that find(graph, matrix) names, with its place."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SEARCHED):
                 part = batch.slice(at, SEARCHED)
-                rows, lists = find(graph.value, _matrix(part))
-                yield part.take(pa.array(rows)).append_column("list", pa.array(lists.astype(np.int32)))
+                rows, *found = find(graph.value, _matrix(part))
+                out = part.take(pa.array(rows))
+                for name, column in zip(("list", "place"), found, strict=True):
+                    out = out.append_column(name, pa.array(column.astype(np.int32)))
+                yield out
 
     fields = ", ".join(f"{name} {kind}" for name, kind in vectors.dtypes)
-    return vectors.mapInArrow(spread, f"{fields}, list int")
+    return vectors.mapInArrow(spread, f"{fields}, list int, place int")
 
 
 def _compared(asked: DataFrame, lists: DataFrame, top: int) -> DataFrame:
-    """asked (q, embedding, list), lists (vec_id, embedding, list) -> q, vec_id, score:
-    each query's `top` nearest in every block of a list."""
+    """asked (q, embedding, list, bound), lists (vec_id, embedding, list) -> q, vec_id,
+    score: each query's `top` nearest within its bound in every block of a list."""
     parts = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     chunks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("chunks"))
     # A row per list, and the lists are bounded by the sample.
     shape = F.broadcast(parts.join(chunks, "list"))
     left = asked.join(shape, "list").select(
-        "q", "embedding", "list", F.pmod(F.xxhash64("q"), "chunks").cast("int").alias("chunk"),
+        "q", "embedding", "bound", "list", F.pmod(F.xxhash64("q"), "chunks").cast("int").alias("chunk"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
     )
     right = lists.join(shape, "list").select(
@@ -226,7 +238,7 @@ def _compared(asked: DataFrame, lists: DataFrame, top: int) -> DataFrame:
             rows, at, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         else:
             g = g.sort_by("vec_id")
-            rows, at, score = nearest_of(_matrix(q), _matrix(g), top)
+            rows, at, score = nearest_of(_matrix(q), _matrix(g), top, q.column("bound").to_numpy())
         return pa.table({
             "q": q.column("q").take(pa.array(rows)), "vec_id": g.column("vec_id").take(pa.array(at)), "score": score,
         })
@@ -238,24 +250,27 @@ def _compared(asked: DataFrame, lists: DataFrame, top: int) -> DataFrame:
     )
 
 
-def nearest_of(q: np.ndarray, g: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of g, distance) of each q's `top` nearest, ties to the earlier row of
-    g. Products pick what may be near enough; its distances are then taken exactly."""
+def nearest_of(q: np.ndarray, g: np.ndarray, top: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of g, distance) of each q's `top` nearest within its bound, ties to the
+    earlier row of g. Products pick what may be near enough; its distances are then taken
+    exactly."""
     out = []
     g2 = (g * g).sum(axis=1)
     for at in range(0, len(q), 256):
         x = q[at : at + 256]
         x2 = (x * x).sum(axis=1)[:, None]
         rough = x2 + g2[None] - 2 * (x @ g.T)
-        limit = np.partition(rough, top - 1, axis=1)[:, top - 1 : top] if top < len(g) else np.inf
+        limit = np.square(bound[at : at + 256])[:, None]
+        if top < len(g):
+            limit = np.minimum(limit, np.partition(rough, top - 1, axis=1)[:, top - 1 : top])
         rows, to = np.nonzero(rough <= limit + 1e-9 * (x2 + g2[None]))
         score = np.concatenate(
-            [np.sqrt(((x[rows[i : i + 65536]] - g[to[i : i + 65536]]) ** 2).sum(axis=1)) for i in range(0, len(rows), 65536)]
+            [np.sqrt(((x[rows[i : i + 65536]] - g[to[i : i + 65536]]) ** 2).sum(axis=1)) for i in range(0, max(1, len(rows)), 65536)]
         )
         order = np.lexsort((to, score, rows))
         rows, to, score = rows[order], to[order], score[order]
         first = np.searchsorted(rows, rows)
-        keep = np.arange(len(rows)) - first < top
+        keep = (np.arange(len(rows)) - first < top) & (score <= bound[at : at + 256][rows])
         out.append((rows[keep] + at, to[keep], score[keep]))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
@@ -303,8 +318,17 @@ def _found(queries: DataFrame, lists: DataFrame, graph, ratio: float, top: int)
     """queries (q, embedding) -> q, vec_id, score: the `top` nearest on the lists within
     the ratio. Copies of a vector on several lists are one."""
     asked = common.stored(_spread(queries, graph, lambda g, x: read_lists(g, x, ratio)), "asked")
-    once = _compared(asked, lists, top).repartition("q").dropDuplicates(["q", "vec_id", "score"])
+    first = asked.filter(F.col("place") < FIRST).withColumn("bound", F.lit(float("inf")))
+    near = common.stored(_best(_compared(first, lists, top), top), "near")
+    last = near.groupBy("q").agg(F.when(F.count("*") == top, F.max("score")).otherwise(float("inf")).alias("bound"))
+    rest = asked.filter(F.col("place") >= FIRST).join(last, "q", "left")
+    more = _compared(rest.withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), lists, top)
+    return _best(near.unionByName(more), top)
+
+
+def _best(hits: DataFrame, top: int) -> DataFrame:
     rank = Window.partitionBy("q").orderBy("score", F.col("vec_id").asc_nulls_last())
+    once = hits.repartition("q").dropDuplicates(["q", "vec_id", "score"])
     return once.withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= top).drop("n")
 
 

@@ -94,7 +94,7 @@ def test_graph_reaches_what_lies_within_the_ratio():
     inside = true <= true.min(axis=1, keepdims=True) * 1.2
     assert (np.isfinite(far) & inside).sum() >= 0.99 * inside.sum()
     assert np.isfinite(far).sum() < 0.9 * far.size
-    rows, _ = nearest.replicas(graph, x)
+    rows, _, _ = nearest.replicas(graph, x)
     assert set(rows) == set(range(300)) and 1 < len(rows) / 300 <= nearest.REPLICAS
 
 
