@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from idsift.operators import ranks
+from idsift.operators import graphs, ranks
 from idsift.policy import FINDING_SCORE
+from idsift.session import materialize
 
 # Which detectors feed which roll-up.
 SPATIAL = ["ela", "noise_splicing", "photo_replacement", "copy_move", "font_inconsistency"]
@@ -120,8 +121,9 @@ def ring_contrast(cells: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def _tile_components(tile: int):
-    """Label the 8-connected cells of one tile; at most ``tile * tile`` cells."""
+def _tile_components(tile: int, width: int):
+    """Label the 8-connected cells of one tile; at most ``tile * tile`` cells. A
+    component's number is that of its first cell in the image."""
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = int(pdf.x.iloc[0]) // tile * tile, int(pdf.y.iloc[0]) // tile * tile
@@ -148,14 +150,13 @@ def _tile_components(tile: int):
         root = parent[grid[ys, xs]]
         edge = (xs == 1) | (xs == tile) | (ys == 1) | (ys == tile)
         frame = pd.DataFrame({"root": root, "x": pdf.x.to_numpy(), "y": pdf.y.to_numpy()})
-        boxes = frame.groupby("root").agg(
-            area=("x", "size"), min_x=("x", "min"), min_y=("y", "min"), max_x=("x", "max"), max_y=("y", "max")
+        boxes = frame.assign(n=frame.y * width + frame.x).groupby("root").agg(
+            comp=("n", "min"), area=("x", "size"), min_x=("x", "min"), min_y=("y", "min"), max_x=("x", "max"), max_y=("y", "max")
         )
         rims = frame[edge].groupby("root").agg(rim_x=("x", list), rim_y=("y", list))
         out = boxes.join(rims).reset_index()
         for c in ("rim_x", "rim_y"):
             out[c] = [v if isinstance(v, list) else [] for v in out[c]]
-        out["comp"] = f"{x0}_{y0}_" + out.root.astype(str)
         return out.assign(image_id=pdf.image_id.iloc[0])[
             ["image_id", "comp", "area", "min_x", "min_y", "max_x", "max_y", "rim_x", "rim_y"]
         ]
@@ -163,31 +164,15 @@ def _tile_components(tile: int):
     return label
 
 
-def _merge_components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Roots of the tile components of one image that touch across tile edges."""
-    names, codes = np.unique(pdf[["a", "b"]].to_numpy().astype(str), return_inverse=True)
-    a, b = codes.reshape(-1, 2).T
-    parent = np.arange(len(names))
-    while True:
-        low = np.minimum(parent[a], parent[b])
-        before = parent.copy()
-        np.minimum.at(parent, parent[a], low)
-        np.minimum.at(parent, parent[b], low)
-        parent = parent[parent]
-        if (parent == before).all():
-            break
-    return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "comp": names, "root": names[parent]})
-
-
 def regions(
     cells: DataFrame, width: int, height: int, threshold: float = FINDING_SCORE, tile: int = 256, keep: int = 12
 ) -> DataFrame:
     """The twelve largest connected regions per heat map, largest first.
 
     Cells are labelled tile by tile, so a task holds at most one tile of distinct
-    cells. Only components that touch across a tile edge meet per image; their
-    number is bounded by the tile edges of one image (images are at most twenty
-    megapixels), not by the number of rows.
+    cells. Components that touch across a tile edge are edges of a graph whose
+    connected components are found by joins, over all images at once; no image is
+    a group of its own.
     """
     hot = cells.groupBy("image_id", "x", "y").agg(F.max("v").alias("v")).filter(F.col("v") >= threshold)
     tiled = hot.select(
@@ -195,10 +180,11 @@ def regions(
         F.floor(F.col("x") / tile).alias("_tx"), F.floor(F.col("y") / tile).alias("_ty"),
     )
     parts = tiled.groupBy("image_id", "_tx", "_ty").applyInPandas(
-        lambda pdf: _tile_components(tile)(pdf),
-        "image_id bigint, comp string, area bigint, min_x bigint, min_y bigint, max_x bigint, max_y bigint, "
+        _tile_components(tile, width),
+        "image_id bigint, comp bigint, area bigint, min_x bigint, min_y bigint, max_x bigint, max_y bigint, "
         "rim_x array<bigint>, rim_y array<bigint>",
     )
+    parts = materialize(parts, "regions")
     rim = parts.select("image_id", "comp", F.explode(F.arrays_zip("rim_x", "rim_y")).alias("c"))
     # A rim cell announces its component at its own place and at half of its
     # neighbours'; at most five components meet at a place.
@@ -215,8 +201,8 @@ def regions(
         places.filter(F.col("a").isNotNull()).select("image_id", "a", F.explode("met").alias("b"))
         .filter(F.col("a") != F.col("b")).distinct()
     )
-    roots = touching.groupBy("image_id").applyInPandas(
-        _merge_components, "image_id bigint, comp string, root string"
+    roots = graphs.components(touching.withColumnRenamed("image_id", "graph")).select(
+        F.col("graph").alias("image_id"), F.col("node").alias("comp"), "root"
     )
     merged = (
         parts.drop("rim_x", "rim_y").join(roots, ["image_id", "comp"], "left")

@@ -105,12 +105,28 @@ def g8(spark, sf):
     return r6(forensics.metadata_score(exif, docs), "score")
 
 
-# Heat maps have 64 by 64 cells here, so small tiles exercise the merging. Five
-# images share one map, which makes connected regions likely.
-@query("k3_largest_regions")
+# Heat maps have 64 by 64 cells here, so small tiles exercise the merging. Each 1 024
+# orders share one map, which makes connected regions likely; maps grow with the orders.
+O.define("heat_cells", "SELECT l_orderkey // 1024 AS image_id, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem GROUP BY ALL HAVING max(l_discount * 10) >= 0.55")
+O.define("heat_links", "SELECT a.image_id, a.y * 64 + a.x AS p, b.y * 64 + b.x AS q FROM heat_cells a JOIN heat_cells b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1")
+
+
+@query("k3_largest_regions", O.query("""
+SELECT image_id, area, x0 / 64 AS x, y0 / 64 AS y, (x1 - x0 + 1) / 64 AS w, (y1 - y0 + 1) / 64 AS h, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, x0 DESC, y0 DESC, x1 - x0 DESC, y1 - y0 DESC)::INT AS rank
+FROM (SELECT image_id, root, count(*) AS area, min(p % 64) AS x0, max(p % 64) AS x1, min(p // 64) AS y0, max(p // 64) AS y1 FROM (
+  WITH RECURSIVE label(image_id, p, root) USING KEY (image_id, p) AS (
+    SELECT image_id, y * 64 + x, y * 64 + x FROM heat_cells
+    UNION
+    SELECT e.image_id, e.q, min(v.root) FROM label v JOIN heat_links e ON e.image_id = v.image_id AND e.p = v.p
+      JOIN recurring.label u ON u.image_id = e.image_id AND u.p = e.q WHERE v.root < u.root GROUP BY e.image_id, e.q)
+  SELECT * FROM label) l GROUP BY image_id, root HAVING count(*) >= 12) r
+QUALIFY rank <= 12"""))
 def k3(spark, sf):
-    cells = views.cells(spark, sf).withColumn("image_id", F.col("image_id") % 20)
-    return forensics.regions(cells, 64, 64, tile=16)
+    rows = views.table(spark, sf, "lineitem").select(
+        F.expr("l_orderkey div 1024").alias("image_id"), (F.col("l_partkey") % 64).alias("x"), (F.col("l_suppkey") % 64).alias("y"),
+        (F.col("l_discount") * 10).alias("v"),
+    )
+    return forensics.regions(rows, 64, 64, tile=16)
 
 
 _word = "xor(((l_partkey % 40 + 1) * {a} * 2654435761 % 2147483648) << 32 | ((l_partkey % 40 + 7) * {b} * 2246822519 % 4294967296), CASE WHEN l_suppkey % 4 = {k} THEN l_linenumber::BIGINT ELSE 0::BIGINT END)"
