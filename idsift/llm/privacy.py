@@ -103,17 +103,22 @@ def is_valid(kind: Column, found: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """docs (_id, _key, text) -> _id, _key, kind, rank, start, end, found: a row per valid
-    entity. end is exclusive; both count code points."""
+    """docs (_id, _key, text) -> _id, _key, copies, kind, rank, start, end, found: a row per
+    valid entity. end is exclusive; both count code points. Rows of equal _id and _key are
+    copies, whose matches are placed once."""
     each = [_ranked(matches(F.col("text"), kind), rank) for rank, kind in enumerate(KINDS)]
-    rows = docs.select("_id", "_key", F.explode(F.concat(*each)).alias("m")).select("_id", "_key", "m.*").select(
-        "_id", "_key", "rank", "i", "x.*"
+    once = (
+        docs.select("_id", "_key", F.concat(*each).alias("all")).filter(F.size("all") > 0)
+        .groupBy("_id", "_key").agg(F.first("all").alias("all"), F.count("*").alias("copies"))
+    )
+    rows = once.select("_id", "_key", "copies", F.explode("all").alias("m")).select("_id", "_key", "copies", "m.*").select(
+        "_id", "_key", "copies", "rank", "i", "x.*"
     )
     upto = Window.partitionBy("_id", "_key", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("kind", kind)
     return placed.filter(is_valid(F.col("kind"), F.col("found"))).select(
-        "_id", "_key", "kind", "rank", (F.col("end") - F.col("len")).alias("start"), "end", "found",
+        "_id", "_key", "copies", "kind", "rank", (F.col("end") - F.col("len")).alias("start"), "end", "found",
     )
 
 
@@ -133,55 +138,91 @@ def words_of(text: Column) -> Column:
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """Entities -> _id, _key, entity: a row per document and entity in it."""
-    return found.select("_id", "_key", entity_name(F.col("kind"), F.col("found")).alias("entity")).distinct()
-
-
-def disclosures(docs: DataFrame, found: DataFrame, mentioned: DataFrame) -> DataFrame:
-    """entity, term, disclosure: pairs at or above THRESHOLD. Counts are of documents
-    over the whole corpus; SUPPORT counts different texts, so copies are one.
-
-    An entity and a term occur together in n_entity documents at most, so a term in more
-    than N ** (1 - THRESHOLD) * n_entity ** THRESHOLD documents stays below THRESHOLD.
-    Such terms go before they meet the entities; no other pair is left out."""
-    total = docs.count()
-    n = F.lit(total)
-    of_entity = common.stored(
-        mentioned.groupBy("entity", "_key").agg(F.count("*").alias("n"))
-        .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts"))
-        .filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") < n)).drop("n_texts")
-        .withColumn("most", F.lit(float(total) ** (1 - THRESHOLD)) * F.col("n_entity") ** THRESHOLD * (1 + 1e-9)),
-        "of_entity",
-    )
-    asked = common.stored(mentioned.join(of_entity, "entity"), "asked")
-    most = of_entity.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
-    of_term = (
-        docs.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-        .filter(F.col("n_term").between(SUPPORT, most))
-    )
-    bounds = asked.groupBy("_id", "_key").agg(F.max("most").alias("bound"))
-    terms = (
-        docs.join(bounds, ["_id", "_key"]).select("_id", "_key", "bound", F.explode(words_of(F.col("text"))).alias("term"))
-        .join(of_term, "term").filter(F.col("n_term") <= F.col("bound"))
-        .select("_id", "_key", "term", "n_term").distinct()
+    """Entities -> _id, _key, copies, entity: a row per document and entity in it."""
+    return found.select("_id", "_key", "copies", entity_name(F.col("kind"), F.col("found")).alias("entity")).distinct()
+
+
+def _where(names: list[str]) -> Column:
+    """Which documents a group's rows are of, as a fingerprint of the set."""
+    document = lambda seed: F.xxhash64(F.lit(seed), "_id", "_key")
+    return F.sha2(
+        F.concat_ws(":", *names, F.bit_xor(document(1)), F.bit_xor(document(2)), F.sum(document(3).cast("decimal(38,0)"))), 256
     )
-    pairs = (
-        asked.join(terms, ["_id", "_key"]).filter(F.col("n_term") <= F.col("most"))
-        .groupBy("entity", "term", "_key").agg(
-            F.count("*").alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")
+
+
+class Revealing:
+    """How strongly terms reveal entities. Counts are of rows over the whole corpus;
+    SUPPORT counts different texts, so copies are one.
+
+    An entity and a term occur together in n_entity rows at most, so a term in more than
+    N ** (1 - THRESHOLD) * n_entity ** THRESHOLD rows stays below THRESHOLD. Such terms go
+    before they meet the entities; no other pair is left out.
+
+    Entities of equal count that occur in the same documents stand alike to every term,
+    and so do such terms to every entity. Only these groups are paired, so a list of very
+    many addresses and names that stand together is one pair.
+    """
+
+    def __init__(self, docs: DataFrame, mentioned: DataFrame):
+        total = docs.count()
+        self.n = F.lit(total)
+        of_entity = common.stored(
+            mentioned.groupBy("entity", "_key").agg(F.sum("copies").alias("n"))
+            .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts"))
+            .filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") < self.n)).drop("n_texts")
+            .withColumn("most", F.lit(float(total) ** (1 - THRESHOLD)) * F.col("n_entity") ** THRESHOLD * (1 + 1e-9)),
+            "of_entity",
         )
-        .groupBy("entity", "term").agg(
-            F.sum("n").alias("n_both"), F.count("*").alias("n_texts"),
-            F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"),
+        asked = mentioned.join(of_entity, "entity")
+        self.entity_groups = common.stored(asked.groupBy("entity").agg(_where([F.first("n_entity")]).alias("of")), "groups")
+        self.asked = common.stored(
+            asked.join(self.entity_groups, "entity").select("_id", "_key", "copies", "of", "n_entity", "most").distinct(), "asked"
         )
-        .filter(F.col("n_texts") >= SUPPORT)
-    )
-    information = F.log2(n / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    return (
-        pairs.withColumn("disclosure", F.when(information > 0, mutual / information))
-        .filter(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
-    )
+        most = of_entity.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+        of_term = (
+            docs.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+            .filter(F.col("n_term").between(SUPPORT, most))
+        )
+        bounds = self.asked.groupBy("_id", "_key").agg(F.max("most").alias("bound"))
+        terms = common.stored(
+            docs.join(bounds, ["_id", "_key"]).select("_id", "_key", "bound", F.explode(words_of(F.col("text"))).alias("term"))
+            .join(of_term, "term").filter(F.col("n_term") <= F.col("bound"))
+            .select("_id", "_key", "term", "n_term").distinct(),
+            "terms",
+        )
+        self.term_groups = common.stored(terms.groupBy("term").agg(_where([F.first("n_term")]).alias("by")), "groups")
+        self.terms = common.stored(terms.join(self.term_groups, "term"), "terms")
+        self.pairs = common.stored(self._pairs(), "pairs")
+
+    def _pairs(self) -> DataFrame:
+        """of, by, disclosure: groups of entities and of terms at or above THRESHOLD."""
+        grouped = self.terms.select("_id", "_key", "by", "n_term").distinct()
+        pairs = (
+            self.asked.join(grouped, ["_id", "_key"]).filter(F.col("n_term") <= F.col("most"))
+            .groupBy("of", "by", "_key").agg(
+                F.sum("copies").alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")
+            )
+            .groupBy("of", "by").agg(
+                F.sum("n").alias("n_both"), F.count("*").alias("n_texts"),
+                F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"),
+            )
+            .filter(F.col("n_texts") >= SUPPORT)
+        )
+        information = F.log2(self.n / F.col("n_entity"))
+        mutual = F.log2(F.col("n_both") * self.n / (F.col("n_entity") * F.greatest("n_term", "n_both")))
+        return (
+            pairs.withColumn("disclosure", F.when(information > 0, mutual / information))
+            .filter(F.col("disclosure") >= THRESHOLD).select("of", "by", "disclosure")
+        )
+
+    def told(self) -> DataFrame:
+        """_id, _key, term, d: the terms that reveal an entity of their document."""
+        strongest = self.asked.join(self.pairs, "of").groupBy("_id", "_key", "by").agg(F.max("disclosure").alias("d"))
+        return self.terms.join(strongest, ["_id", "_key", "by"]).select("_id", "_key", "term", "d")
+
+    def disclosures(self) -> DataFrame:
+        """entity, term, disclosure: all pairs at or above THRESHOLD."""
+        return self.entity_groups.join(self.pairs, "of").join(self.term_groups, "by").select("entity", "term", "disclosure")
 
 
 def occurrences(docs: DataFrame, told: DataFrame) -> DataFrame:
@@ -204,11 +245,8 @@ def spans(docs: DataFrame) -> DataFrame:
     A term that overlaps an entity's span is part of that span."""
     found = common.stored(entities(docs), "entities")
     mentioned = common.stored(mentions(found), "mentions")
-    revealing = common.stored(disclosures(docs, found, mentioned), "disclosures")
     base = found.select("_id", "_key", "kind", "rank", "start", "end", F.lit("generalise").alias("action"))
-    told = common.stored(
-        mentioned.join(revealing, "entity").groupBy("_id", "_key", "term").agg(F.max("disclosure").alias("d")), "told"
-    )
+    told = common.stored(Revealing(docs, mentioned).told(), "told")
     terms = occurrences(docs, told).select(
         "_id", "_key", F.lit(TERM).alias("kind"), F.lit(len(KINDS)).alias("rank"), "start", "end",
         F.when(F.col("d") >= 1, "remove").otherwise("generalise").alias("action"),
@@ -235,8 +273,8 @@ def find(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans
     (kind:start:end by kind, then start, comma-joined), n_term, a row per row.
 
-    A null or empty text has none. Repeated rows are judged alike, and count as one
-    document in the statistics. Other columns are dropped."""
+    A null or empty text has none. Repeated rows are judged alike; each counts in the
+    statistics, but they are one text. Other columns are dropped."""
     rows = keyed(docs)
     found = spans(rows.select("_id", "_key", "text"))
     named = F.concat_ws(":", "kind", "start", "end")

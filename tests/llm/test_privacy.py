@@ -84,7 +84,8 @@ def test_disclosure_figures(spark):
     df = privacy.keyed(spark.createDataFrame(list(enumerate(people())), "doc_id long, text string"))
     ids = df.select("_id", "_key", "text")
     found = privacy.entities(ids)
-    got = {(r["entity"], r["term"]): r["disclosure"] for r in privacy.disclosures(ids, found, privacy.mentions(found)).collect()}
+    told = privacy.Revealing(ids, privacy.mentions(found)).disclosures()
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in told.collect()}
     n, c, t, both = 260, 20, 20, 20
     assert got["email:qui@mail.example.com", "quillfeather"] == pytest.approx(math.log2(both * n / (c * t)) / math.log2(n / c))
 
@@ -117,6 +118,29 @@ def test_terms_of_any_form(spark, name):
         assert terms_of(text, found[i]) == ([name] if i < 5 else [])
 
 
+def test_repeated_rows_with_entities_and_terms(spark):
+    docs = list(enumerate(people()))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    copied = df.unionByName(df.filter("doc_id in (0, 4, 70)")).unionByName(df.filter("doc_id = 0")).repartition(3)
+    once = {r["doc_id"]: tuple(r) for r in privacy.find(df).collect()}
+    rows = privacy.find(copied).collect()
+    assert len(rows) == len(docs) + 4
+    assert {tuple(r) for r in rows} == set(once.values())
+    clean = {(r["doc_id"], r["text"]) for r in privacy.sanitise(df).collect()}
+    assert {(r["doc_id"], r["text"]) for r in privacy.sanitise(copied).collect()} == clean
+    one = spark.createDataFrame([(1, "write to a@b.example now")] * 6, "doc_id long, text string")
+    assert [(r["n_email"], r["spans"]) for r in privacy.find(one).collect()] == [(1, "email:9:20")] * 6
+
+
+def test_a_long_list_of_addresses_is_one_pair(spark):
+    contacts = " ".join(f"Name{i} a{i}@mail.example.com," for i in range(1500))
+    docs = [(1, contacts + " first"), (2, contacts + " second")] + [(i, f"nothing here {i}") for i in range(3, 90)]
+    df = privacy.keyed(spark.createDataFrame(docs, "doc_id long, text string")).select("_id", "_key", "text")
+    revealing = privacy.Revealing(df, privacy.mentions(privacy.entities(df)))
+    assert revealing.pairs.count() == 1 and revealing.entity_groups.count() == 1500
+    assert revealing.told().filter("term like 'name%'").count() == 3000
+
+
 def test_edge_rows(spark):
     docs = edge.docs(spark)
     assert privacy.find(docs).count() == len(edge.rows())
