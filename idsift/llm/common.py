@@ -56,6 +56,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that `stored` wrote, once nothing reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder_of in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder_of)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def without(df: DataFrame, names: set[str]) -> list[Column]:
     """Columns of df whose names an operator's own columns don't replace."""
     taken = {n.lower() for n in names}

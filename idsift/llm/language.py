@@ -34,6 +34,8 @@ EVIDENCE_WORDS = 8
 UNKNOWN = "und"
 #: Unseen words that a task remembers before it starts anew.
 REMEMBERED = 50_000
+#: Distinct words, or n-grams, that a task counts before it passes them on.
+HELD = 100_000
 #: Longer words are neither learned from letter by letter nor remembered.
 LONGEST_WORD = 64
 
@@ -70,25 +72,36 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, entries
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20)) / (1 << 20)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Counter] = {}
         for batch in batches:
-            words: dict[str, Counter] = {}
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                words.setdefault(lang, Counter()).update(words_of(text))
-            found: Counter = Counter()
-            for lang, counts in words.items():
-                for word, c in counts.items():
-                    found[lang, 0, word] = c
-                    if len(word) <= LONGEST_WORD:
-                        for n in range(1, LONGEST + 1):
-                            for g in grams(word, n):
-                                found[lang, n, g] += c
-            yield pd.DataFrame([(*k, c) for k, c in found.items()], columns=["lang", "n", "gram", "c"])
-
-    counted = (
-        known.filter(place < share).select("lang", "text")
-        .mapInPandas(count, "lang string, n int, gram string, c long")
-        .groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+                held.setdefault(lang, Counter()).update(words_of(text))
+                if sum(map(len, held.values())) >= HELD:
+                    yield _frame(((lang, 0, w), c) for lang, words in held.items() for w, c in words.items())
+                    held = {}
+        yield _frame(((lang, 0, w), c) for lang, words in held.items() for w, c in words.items())
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+        for batch in batches:
+            for lang, word, c in zip(batch["lang"], batch["gram"], batch["c"], strict=True):
+                if len(word) <= LONGEST_WORD:
+                    for n in range(1, LONGEST + 1):
+                        for g in grams(word, n):
+                            found[lang, n, g] += c
+                if len(found) >= HELD:
+                    yield _frame(found.items())
+                    found = Counter()
+        yield _frame(found.items())
+
+    # Words are counted first, so that each distinct one is spelt once.
+    schema = "lang string, n int, gram string, c long"
+    texts = known.filter(place < share).select("lang", "text")
+    words = common.stored(
+        texts.mapInPandas(count, schema).groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "words"
     )
+    spelt = words.mapInPandas(spell, schema).groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    counted = words.unionByName(spelt)
     each = max(100, entries // (len(langs) * (LONGEST + 1)))
     by_kind = Window.partitionBy("lang", "n")
     rank = F.row_number().over(by_kind.orderBy(F.desc("c"), "gram"))
@@ -112,6 +125,10 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, entries
     return {"langs": langs, "tables": tables, "logs": np.log(counts + SMOOTHING) - below[kind]}
 
 
+def _frame(counts) -> pd.DataFrame:
+    return pd.DataFrame([(*k, c) for k, c in counts], columns=["lang", "n", "gram", "c"])
+
+
 def backoff(word: str, tables: dict[int, dict[str, int]]) -> list[int]:
     """Rows of an unseen word's known n-grams, of the longest n that has any."""
     for n in range(min(LONGEST, len(word) + 2), 0, -1):

@@ -6,9 +6,11 @@ similarity threshold of 0.8, 99.7 of 100 pairs do. Candidates are verified by ex
 Jaccard similarity of the shingle sets, distributed union-find makes components of
 the links, and each component keeps its first line.
 
-Signatures are made where documents are read, one per line and batch; only their
-band values move. Texts move once, for lines that share a bucket. Lines are known
-by a 64-bit hash of their normalised text.
+Signatures are made where documents are read, one per line and batch; their band values
+move, and five bits of each minimum. Candidates that agree in less than LEAST_EQUAL of the
+24 minima go before their texts are looked at: of pairs at the threshold 1 in 1 000. Texts
+move once, for lines that share a bucket. Lines are known by a 64-bit hash of their
+normalised text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +29,15 @@ from idsift.llm import common, linking
 SHINGLE = 7
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
+#: Minima, of BANDS * ROWS, in which a candidate pair must agree by five bits.
+LEAST_EQUAL = 14
 #: Shorter lines, normalised, are left alone: blank ones.
 LEAST_CHARS = 1
 #: Characters whose shingle sets a task remembers.
 REMEMBERED = 500_000
 #: Characters that are hashed at a time.
 CHUNK = 1 << 17
-OUT = "line_no int, key long, bands array<long>"
+OUT = "line_no int, key long, bands array<long>"  # the last two of bands: the minima's bits
 
 _random = np.random.default_rng(5)
 _A = _random.integers(1 << 29, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -68,20 +72,31 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """A row of BANDS values per line."""
+    """A row of BANDS values per line, and two with five bits of each minimum."""
     hashes, starts = shingle_hashes(lines)
     hashes = (hashes >> np.uint64(32)).astype(np.uint32)
-    bands = np.empty((len(lines), BANDS), dtype=np.uint64)
+    bands = np.zeros((len(lines), BANDS + 2), dtype=np.uint64)
     for band in range(BANDS):
         value = np.full(len(lines), band + 1, dtype=np.uint64)
         for i in range(band * ROWS, band * ROWS + ROWS):
             low = np.minimum.reduceat(hashes * _A[i], starts)
             value = (value ^ low.astype(np.uint64)) * _MIX
             value ^= value >> np.uint64(31)
+            few = ((low * np.uint32(0x9E3779B1)) >> np.uint32(27)).astype(np.uint64)
+            bands[:, BANDS + i // 12] |= few << np.uint64(5 * (i % 12))
         bands[:, band] = value
     return bands.view(np.int64)
 
 
+def equal_minima(a: Column, b: Column) -> Column:
+    """In how many of twelve five-bit fields two numbers agree."""
+    y = a.bitwiseXOR(b)
+    any_bit = y
+    for shift in range(1, 5):
+        any_bit = any_bit.bitwiseOR(F.shiftright(y, shift))
+    return F.lit(12) - F.bit_count(any_bit.bitwiseAND(F.lit(sum(1 << (5 * i) for i in range(12)))))
+
+
 def shingle_set(s: str) -> set[str]:
     return {s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))}
 
@@ -193,33 +208,45 @@ def line_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_doc"))
     rows = common.stored(occurrences(docs, dict(docs.dtypes)["doc_id"]), "lines")
     once = rows.filter("bands is not null").select("key", "bands").dropDuplicates(["key"])
-    banded = once.select("key", F.explode("bands").alias("bucket")).repartition("bucket")
+    once = common.stored(once, "signatures")
+    banded = once.select("key", F.explode(F.slice("bands", 1, BANDS)).alias("bucket")).repartition("bucket")
     alone = banded.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
-    members = (
+    members = common.stored(
         banded.join(alone.select("bucket"), "bucket", "left_semi")
-        .select("bucket", F.col("key").alias("node"), F.lit(0).alias("sig"), F.lit(True).alias("indexed"))
+        .select("bucket", F.col("key").alias("node"), F.lit(0).alias("sig"), F.lit(True).alias("indexed")),
+        "members",
     )
-    members = common.stored(members, "members")
     asked = members.select(F.col("node").alias("key")).distinct()
     lines = common.stored(
         _texts(docs).join(asked, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "texts"
     )
 
+    minima = once.select("key", *[F.col("bands")[BANDS + i].alias(f"m{i}") for i in (0, 1)])
+
+    def side(name: str) -> DataFrame:
+        return minima.select(F.col("key").alias(name), *[F.col(m).alias(f"{m}_{name}") for m in ("m0", "m1")])
+
     def verify(pairs: DataFrame) -> DataFrame:
+        equal = sum(equal_minima(F.col(f"{m}_a"), F.col(f"{m}_b")) for m in ("m0", "m1"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(equal >= LEAST_EQUAL).select("a", "b")
         with_a = pairs.join(lines.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
         both = with_a.join(lines.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
         return both.filter(_similar(F.col("line_a"), F.col("line_b")))
 
-    found = common.stored(linking.components(linking.linked(members, verify)), "components")
-    named = rows.drop("bands").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "class_id", F.coalesce("component", "key")
+    links = linking.linked(members, verify)
+    found = linking.components(links)
+    common.discard(members, once, lines, links)
+    blank = rows.filter("key is null").select(
+        "doc_id", "_doc", "line_no", F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("keep")
     )
+    named = rows.filter("key is not null").drop("bands").join(
+        found.withColumnRenamed("node", "key"), "key", "left"
+    ).withColumn("class_id", F.coalesce("component", "key"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_doc").alias("text"), F.col("line_no").alias("no"))
-    first = named.filter("class_id is not null").groupBy("class_id").agg(F.min(place).alias("first"))
-    return named.join(first, "class_id", "left").select(
-        "doc_id", "_doc", "line_no", "class_id",
-        (F.col("class_id").isNull() | (place == F.col("first"))).alias("keep"),
-    )
+    first = named.groupBy("class_id").agg(F.min(place).alias("first"))
+    return named.join(first, "class_id").select(
+        "doc_id", "_doc", "line_no", "class_id", (place == F.col("first")).alias("keep")
+    ).unionByName(blank)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -228,15 +255,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     See line_classes for what is kept. A text without any kept line becomes empty; a
     null text stays null. An empty table stays empty.
     """
-    dropped = (
-        line_classes(docs).filter("not keep").groupBy("doc_id", "_doc")
-        .agg(F.collect_set("line_no").alias("_gone"))
-        .select(F.col("doc_id").alias("_id"), F.col("_doc").alias("_its"), "_gone")
+    dropped = line_classes(docs).filter("not keep").groupBy("doc_id", "_doc").agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("its"), F.struct(*common.without(docs, {"text"})).alias("row"))
+    joined = rows.alias("d").join(dropped.alias("g"), F.expr("d.doc_id <=> g.doc_id and its = _doc"), "left")
+    rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("gone"), i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    return joined.select(
+        *[text.alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     )
-    rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    joined = docs.withColumn("_doc", F.xxhash64("text")).join(dropped, F.expr("doc_id <=> _id and _doc = _its"), "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Connected components, and verified links inside candidate buckets.
 
-Nothing here lists the pairs of a bucket. Every member first meets its bucket's
-pivot, which is linear; links join members into components, and only members of
-different components meet again.
+Every member first meets its bucket's pivot, which is linear; links join members into
+components, and only members of different components meet again, each with each. So a
+bucket of copies lists no pairs, but one of many unlike members does.
+
+Tables of a round are removed from the shared folder when the next one is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idsift.llm.common import stored
+from idsift.llm.common import discard, stored
 
 #: Rounds in which members meet a pivot before those still apart meet each other.
 PIVOT_ROUNDS = 2
@@ -24,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: every node's neighbours are linked to the
     smallest of them until each node has one edge, to its component's smallest node.
     Minima are aggregates with map-side combine, so a node with very many edges is
-    no group of its own. Each round is written to the shared folder.
+    no group of its own. Each round is written to the shared folder, and so is the result.
     """
     now = stored(
         edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).filter("a <> b").distinct(), "edges"
@@ -42,14 +45,20 @@ def components(edges: DataFrame) -> DataFrame:
             .union(lowest.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        now = stored(small, "edges")
+        before, now = now, stored(small, "edges")
         seen = _digest(now)
+        discard(before)
         if seen == last:
             break
         last = seen
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    found = stored(
+        now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+            now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        ),
+        "components",
     )
+    discard(now)
+    return found
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -62,36 +71,38 @@ def linked(
     close: Callable[[Column, Column], Column] | None = None,
     pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """members (bucket, node, sig, indexed), pairs (node, pivot) -> verified links (a, b)
-    that connect every two nodes which a chain of links between candidates would.
+    """members (bucket, node, sig, indexed), pairs (node, pivot), both stored -> verified
+    links (a, b), stored, that connect every two nodes which a chain of links between
+    candidates would.
 
     Candidates are the given pairs, whose number the caller bounds, and a member with
     an indexed member of its bucket for which close(sig, sig) holds; verify keeps the
     true ones of (a, b). Each candidate is verified, or its two nodes are in one
     component already.
     """
-    members = stored(members, "members")
     close = close or (lambda a, b: F.lit(True))
-    tested, links, labels = None, None, None
+    tested, links, labels = [], [], None
     active = members
     for turn in range(PIVOT_ROUNDS):
+        own = ["own"] if turn else []
         pivots = active.filter("indexed").groupBy("bucket").agg(
-            F.min(F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), "node", "sig")).alias("p")
+            F.min(F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), "node", "sig", *own)).alias("p")
         )
-        met = active.join(
-            pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.sig").alias("pivot_sig")), "bucket"
-        ).filter((F.col("node") != F.col("pivot")) & close(F.col("sig"), F.col("pivot_sig"))).select("node", "pivot")
+        met = active.join(pivots, "bucket").filter(
+            (F.col("node") != F.col("p.node")) & close(F.col("sig"), F.col("p.sig"))
+            & (F.col("own") != F.col("p.own") if turn else F.lit(True))
+        ).select("node", F.col("p.node").alias("pivot"))
         if turn == 0 and pairs is not None:
             both = pairs.select("node", "pivot").union(pairs.select("pivot", "node"))
             met = met.union(both.groupBy("node").agg(F.min("pivot").alias("pivot")))
-        if labels is not None:
-            met = _apart(met, labels, "node", "pivot")
-        tested, links, labels = _tried(met, tested, links, verify)
-        named = members.join(labels.withColumnRenamed("component", "own"), "node", "left").withColumn(
+        _try(met, tested, links, verify)
+        before, labels = labels, components(_all(links))
+        named = active.drop("own").join(labels.withColumnRenamed("component", "own"), "node", "left").withColumn(
             "own", F.coalesce("own", "node")
         )
         mixed = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi")
-        active = stored(named.join(mixed.select("bucket"), "bucket", "left_semi"), "active")
+        earlier, active = active, stored(named.join(mixed.select("bucket"), "bucket", "left_semi"), "active")
+        discard(*([before, earlier] if turn else []))
     other = active.filter("indexed").select(
         F.col("bucket").alias("pivot_bucket"), F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig"),
         F.col("own").alias("pivot_own"),
@@ -102,7 +113,10 @@ def linked(
     ).select("node", "pivot")
     if pairs is not None:
         cross = cross.union(_apart(pairs.select("node", "pivot"), labels, "node", "pivot"))
-    return _tried(cross, tested, links, verify, last=True)[1]
+    _try(cross, tested, links, verify)
+    found = stored(_all(links), "links")
+    discard(active, labels, *tested, *links)
+    return found
 
 
 def _apart(pairs: DataFrame, labels: DataFrame, *sides: str) -> DataFrame:
@@ -115,13 +129,14 @@ def _apart(pairs: DataFrame, labels: DataFrame, *sides: str) -> DataFrame:
     return pairs.filter(F.col(own[0]) != F.col(own[1])).drop(*own)
 
 
-def _tried(pairs, tested, links, verify, last=False):
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
+
+
+def _try(pairs: DataFrame, tested: list, links: list, verify) -> None:
     """Adds the pairs to those tested and their true ones to the links."""
     fresh = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    if tested is not None:
-        fresh = fresh.join(tested, ["a", "b"], "left_anti")
-    fresh = stored(fresh, "pairs")
-    true = stored(verify(fresh).select("a", "b"), "links")
-    tested = fresh if tested is None else tested.union(fresh)
-    links = true if links is None else links.union(true)
-    return tested, links, None if last else components(links)
+    if tested:
+        fresh = fresh.join(_all(tested), ["a", "b"], "left_anti")
+    tested.append(stored(fresh, "pairs"))
+    links.append(stored(verify(tested[-1]).select("a", "b"), "links"))

@@ -2,13 +2,16 @@
 
 Every source is a queue that holds its documents in a shuffled order, once per
 allowed repeat. A copy's virtual finish time is the queue's words up to and with
-that copy, divided by the source's weight. Served by virtual time, all queues send
-words in proportion to their weights, an empty queue leaves its share to the others,
-and the mix ends when the budget is spent.
+that copy, divided by the source's weight. All copies are sorted by virtual finish
+time over the whole corpus and the sequence is truncated where the words sent reach
+the budget. Served so, queues send words in proportion to their weights, and an empty
+queue leaves its share to the others.
 
 Running sums go through buckets of the shuffled order, so that a source with a
-third of all rows is thousands of window groups. Sources meet in one task only as
-one aggregated row each.
+third of all rows is thousands of window groups. The sorted sequence is cut into
+ranges; sums per range find the range in which the budget is spent, and only that
+range is walked through. What comes out of the sort is one place in the sequence, so
+documents themselves are not moved by it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from idsift.llm import common
 
 #: Buckets of the shuffled order: leading hexadecimal digits of its hash.
 BUCKET_DIGITS = 3
-OWN = ("size", "source_size", "weight", "target", "taken", "served_before", "end_time")
+OWN = ("size", "source_size", "weight", "target", "taken", "served_before", "virtual_finish")
+#: Rows of a range of the sorted sequence, about.
+RANGE_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -33,16 +38,16 @@ def cyclic_weights(source_rank: Column) -> Column:
 
 
 def shares(totals: DataFrame, weights=cyclic_weights, max_repeats: int = 3) -> DataFrame:
-    """source, source_size -> and weight, target, end_time.
+    """source, source_size -> and rank, weight, target: what weighted sharing gives to a
+    source that sends its documents max_repeats times at most.
 
     Sources are ranked by code point, null last. With sources in the order in which
     they would run empty, g_k is the time at which the budget is spent if the first
     k - 1 are empty by then. Each g_k is at most the true end, and one of them is it,
     so the end is their maximum.
     """
-    ranked = totals.withColumn(
-        "weight", weights(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).cast("bigint")
-    )
+    ranked = totals.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    ranked = ranked.withColumn("weight", weights(F.col("rank")).cast("bigint"))
     drained = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
     before = F.coalesce(
         F.sum("source_size").over(drained.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -59,79 +64,120 @@ def shares(totals: DataFrame, weights=cyclic_weights, max_repeats: int = 3) -> D
                 F.col("weight").cast("double") * F.col("end_time"),
             ),
         )
-        .drop("spent")
+        .drop("spent", "end_time")
     )
 
 
-def mix(docs: DataFrame, weights=cyclic_weights, max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """All rows and columns of docs (doc_id, text, source, ...), and with them
-
-    size           words of the text (null or empty text: 0)
-    source_size    words of the source
-    weight, target the source's share of the budget, which is the sum of all sizes
-    taken          words of this document that the mix sends, repeats counted
-    served_before  words of its source before it in the shuffled order
-    end_time       virtual time at which the budget is spent
-
-    A document that is being sent when the budget is spent is cut there, so a source
-    takes its target rounded down. Null sources are one source. Repeated rows are
-    documents of their own. Empty documents take nothing. An empty table gives an
-    empty mix. Input columns with the names above are replaced.
-    """
+def queued(docs: DataFrame, weights=cyclic_weights, max_repeats: int = 3, seed: str = "mix") -> DataFrame:
+    """docs with size, source_size, rank, weight, target and served_before, see `mix`."""
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select(
-        *common.without(docs, set(OWN) | {"text", "source", "_order", "_bucket"}),
+        F.struct(*common.without(docs, set(OWN) | {"text", "source"})).alias("row"),
         "text",
         "source",
         words(F.col("text")).alias("size"),
-        order.alias("_order"),
-        F.substring(order, 1, BUCKET_DIGITS).alias("_bucket"),
+        order.alias("order"),
+        F.substring(order, 1, BUCKET_DIGITS).alias("bucket"),
     )
-    parts = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_part"))
-    share = shares(parts.groupBy("source").agg(F.sum("_part").alias("source_size")), weights, max_repeats)
-    upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("_offset", F.coalesce(F.sum("_part").over(upto), F.lit(0))).alias("p").join(
+    parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
+    share = shares(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, max_repeats)
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("offset", F.coalesce(F.sum("part").over(upto), F.lit(0))).alias("p").join(
         share.alias("s"), F.expr("p.source <=> s.source")
-    ).select("p.source", "p._bucket", "_offset", "source_size", "weight", "target", "end_time")
+    ).select("p.source", "p.bucket", "offset", "source_size", "rank", "weight", "target")
+    # Documents of one id come by their texts, so that reruns agree.
     inside = (
-        Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size")
+        Window.partitionBy("source", "bucket").orderBy("order", "size", F.xxhash64("text"), "text")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    queued = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(
-        offsets.alias("o"), F.expr("d.source <=> o.source and d._bucket = o._bucket")
+    waiting = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(
+        offsets.alias("o"), F.expr("d.source <=> o.source and d.bucket = o.bucket")
+    )
+    return waiting.select(
+        "row", "text", "d.source", "size", "source_size", "rank", "weight", "target",
+        (F.col("offset") + F.col("inside")).alias("served_before"),
     )
-    limit = F.floor("target")
-    taken = sum(
-        (
-            F.greatest(F.lit(0), F.least(F.col("size"), limit - F.col("source_size") * repeat - F.col("served_before")))
-            for repeat in range(max_repeats)
-        ),
-        F.lit(0),
+
+
+def _finish(repeat: int | Column) -> Column:
+    """Virtual finish time of a document's copy."""
+    end = F.col("source_size") * repeat + F.col("served_before") + F.col("size")
+    return end.cast("double") / F.col("weight").cast("double")
+
+
+def cut_of(waiting: DataFrame, max_repeats: int) -> tuple[float, int, int] | None:
+    """Where the sequence of copies, by virtual finish time, then source, reaches the
+    budget: that copy's finish and source, and the words still sent of it. Copies of one
+    source never finish together, so the order is total."""
+    repeats = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("repeat")
+    copies = waiting.filter("size > 0").select("size", "source_size", "served_before", "weight", "rank", repeats).select(
+        _finish(F.col("repeat")).alias("finish"), "rank", "size"
+    )
+    budget, n = waiting.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    if not budget:
+        return None
+    ranges = max(1, -(-n * max_repeats // RANGE_ROWS))
+    ordered = common.stored(
+        copies.repartitionByRange(ranges, "finish", "rank").withColumn("range", F.spark_partition_id()), "sequence"
+    )
+    # A row per range.
+    sums = ordered.groupBy("range").agg(F.sum("size").alias("sent"))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    reached = sums.withColumn("before", F.coalesce(F.sum("sent").over(upto), F.lit(0)))
+    at = reached.filter((F.col("before") < budget) & (F.col("before") + F.col("sent") >= budget)).first()
+    inside = Window.orderBy("finish", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    walked = ordered.filter(F.col("range") == at["range"]).withColumn(
+        "before", F.coalesce(F.sum("size").over(inside), F.lit(0)) + at["before"]
+    )
+    last = walked.filter((F.col("before") < budget) & (F.col("before") + F.col("size") >= budget)).first()
+    common.discard(ordered)
+    return last["finish"], last["rank"], budget - last["before"]
+
+
+def mix(docs: DataFrame, weights=cyclic_weights, max_repeats: int = 3, seed: str = "mix") -> DataFrame:
+    """All rows and columns of docs (doc_id, text, source, ...), and with them
+
+    size           words of the text (null or empty text: 0)
+    source_size    words of the source
+    weight, target the source's share of the budget, which is the sum of all sizes
+    taken          words of this document that the mix sends, repeats counted
+    served_before  words of its source before it in the shuffled order
+    virtual_finish virtual time at which its first copy is sent
+
+    The copy that is being sent when the budget is spent is cut there, one in all, so a
+    source comes within a document of its target and all sources together take the budget
+    exactly. Null sources are one source. Repeated rows are documents of their own.
+    Empty documents take nothing. An empty table gives an empty mix. Input columns with
+    the names above are replaced.
+    """
+    waiting = common.stored(queued(docs, weights, max_repeats, seed), "queues")
+    cut = cut_of(waiting, max_repeats)
+    taken = F.lit(0)
+    for repeat in range(max_repeats if cut else 0):
+        finish, (end, source, rest) = _finish(repeat), cut
+        before = (finish < end) | ((finish == end) & (F.col("rank") < source))
+        taken = taken + F.when(F.col("size") == 0, 0).when(before, F.col("size")).when(
+            (finish == end) & (F.col("rank") == source), F.lit(rest)
+        ).otherwise(0)
+    return waiting.select(
+        *[
+            F.col(c) if c.lower() in ("text", "source") else F.col("row")[c].alias(c)
+            for c in docs.columns if c.lower() not in OWN
+        ],
+        "size", "source_size", "weight", "target", taken.cast("bigint").alias("taken"), "served_before",
+        _finish(0).alias("virtual_finish"),
     )
-    return queued.select(
-        *common.without(docs, set(OWN) | {"source"}),
-        "d.source",
-        "size",
-        "source_size",
-        "weight",
-        "target",
-        (F.col("_offset") + F.col("_inside")).alias("served_before"),
-        "end_time",
-    ).withColumn("taken", taken.cast("bigint"))
 
 
 def schedule(mixed: DataFrame, max_repeats: int = 3) -> DataFrame:
-    """The mix as a sequence: a row per copy that is sent, with its repeat, the words
-    sent of it and its virtual finish, range-sorted by virtual finish and cut at the
-    budget. Output files are in the order of the mix."""
-    start = F.col("source_size") * F.col("repeat") + F.col("served_before")
-    sent = F.least(F.col("size"), F.floor("target") - start)
+    """The mix as a sequence: a row per copy that is sent, with its repeat and the words
+    sent of it, range-sorted by virtual finish. Output files are in the order of the mix."""
     return (
         mixed.filter("taken > 0")
         .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-        .withColumn("sent", sent.cast("bigint"))
+        .withColumn("sent", F.least(F.col("size"), F.col("taken") - F.col("size") * F.col("repeat")).cast("bigint"))
         .filter("sent > 0")
-        .withColumn("virtual_finish", (start + F.col("size")) / F.col("weight"))
+        .withColumn("virtual_finish", _finish(F.col("repeat")))
         .orderBy("virtual_finish", "source", "doc_id", "repeat")
     )
 
@@ -146,7 +192,7 @@ with sized as (
   select *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
     md5('mix:' || coalesce(cast(doc_id as varchar), '')) as ord from {docs}),
 totals as (select source, sum(size)::bigint as source_size from sized group by source),
-ranked as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from totals),
+ranked as (select *, row_number() over (order by source nulls last) as rank, (rank - 1) % 3 + 1 as weight from totals),
 spent as (
   select *, (sum(source_size) over ()
       - 3 * coalesce(sum(source_size) over (order by source_size / weight, source nulls last
@@ -156,14 +202,17 @@ spent as (
 ended as (select *, max(g) over () as end_time from spent),
 share as (select *, least((3 * source_size)::double, weight::double * end_time) as target from ended),
 queued as (
-  select d.*, coalesce(sum(size) over (partition by source order by ord, doc_id, size
+  select row_number() over () as r, d.*, coalesce(sum(size) over (partition by source order by ord, size
     rows between unbounded preceding and 1 preceding), 0)::bigint as before from sized d),
+copies as (
+  select q.*, s.source_size, s.target, rank, (s.source_size * k + before + size)::double / weight::double as finish
+  from queued q join share s on q.source is not distinct from s.source, range(0, 3) t(k)),
+sent as (
+  select *, sum(size) over (order by finish, rank rows between unbounded preceding and current row) - size as sent_before,
+    (select sum(size) from sized) as budget from copies),
 mixed as (
-  select q.*, s.source_size, s.weight, s.target,
-    (greatest(0, least(size, floor(target)::bigint - before))
-     + greatest(0, least(size, floor(target)::bigint - source_size - before))
-     + greatest(0, least(size, floor(target)::bigint - 2 * source_size - before)))::bigint as taken
-  from queued q join share s on q.source is not distinct from s.source)
+  select r, doc_id, size, source_size, target, sum(greatest(0, least(size, budget - sent_before)))::bigint as taken
+  from sent group by all)
 """
 
 QUERIES = {"op3_mix": op3_mix}

@@ -260,7 +260,7 @@ def classes(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """
     own = common.stored(docs.select("doc_id", fingerprint_of(F.col("text")).alias("fp")), "fingerprints")
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = common.stored(linking.components(near_links(fps.select("fp"), most)), "components")
+    found = linking.components(near_links(fps.select("fp"), most))
     named = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
@@ -283,7 +283,7 @@ NEAR_BITS = 8
 #: Nodes of a bucket up to which its close pairs are taken in the join.
 NEAR_DENSE = 256
 #: Shingles of a block of texts, and of a shard that counts them, about.
-NEAR_BLOCK = 1_000_000
+NEAR_BLOCK = 500_000
 #: Texts of a block at most: they are numbered in 16 bits.
 BLOCK_TEXTS = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -484,8 +484,10 @@ def near_duplicates(docs: DataFrame, most: int = NEAR_BITS) -> DataFrame:
         both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return both.filter(_similar(F.coalesce("text_a", F.lit("")), F.coalesce("text_b", F.lit(""))))
 
+    members = common.stored(members, "members")
     links = linking.linked(members, verify, close, pairs)
-    found = common.stored(linking.components(links), "components")
+    found = linking.components(links)
+    common.discard(members, pairs, probes, texts, links)
     labelled = own.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text").alias("text"))
     first = labelled.groupBy("component").agg(F.min(place).alias("first"))
