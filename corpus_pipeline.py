@@ -19,9 +19,8 @@ LEAST_CONFIDENCE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no known language, go."""
     model = language.fit(docs.filter(~language.is_held_out()).select("doc_id", "text", "lang"))
-    judged = language.identify(docs, model)
-    kept = judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE))
-    return kept.select(*docs.columns)
+    judged = language.identify(_carried(docs), model)
+    return _unpacked(judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE)), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,21 +30,31 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.near_duplicates(docs).filter("keep").select(*docs.columns)
+    return _unpacked(simhash.near_duplicates(_carried(docs)).filter("keep"), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are a twentieth or more go."""
-    judged = decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    return judged.filter("not contaminated").select(*docs.columns)
+    judged = decontamination.decontaminate(_carried(docs), common.table(spark, sf_dir, "benchmark"))
+    return _unpacked(judged.filter("not contaminated"), docs)
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """What the operators read, and the rest of the row in one column, so that no column of
+    the documents meets one of an operator's own of the same name."""
+    return docs.select("doc_id", "text", F.struct(*common.without(docs, {"text"})).alias("rest_of_row"))
+
+
+def _unpacked(carried: DataFrame, docs: DataFrame) -> DataFrame:
+    rest = F.col("rest_of_row")
+    return carried.select(*[F.col("text").alias(c) if c.lower() == "text" else rest[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with the words taken of each, in the mix's order."""
-    mixed = mixing.mix(docs).filter("taken > 0")
-    return mixed.withColumn("virtual_start", F.col("served_before") / F.col("weight")).orderBy(
-        "virtual_start", "source", "doc_id"
-    ).select(*docs.columns, "size", "source_size", "target", "taken", "virtual_start")
+    mixed = mixing.mix(docs).filter("taken > 0").orderBy("virtual_finish", "source", "doc_id")
+    own = ("size", "source_size", "target", "taken", "virtual_finish")
+    return mixed.select(*[c for c in docs.columns if c.lower() not in mixing.OWN], *own)
 
 
 def _measured(docs: DataFrame) -> DataFrame:
