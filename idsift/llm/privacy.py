@@ -106,9 +106,8 @@ def entities(docs: DataFrame) -> DataFrame:
     """docs (_id, _key, text) -> _id, _key, copies, kind, rank, start, end, found: a row per
     valid entity. end is exclusive; both count code points. Rows of equal _id and _key are
     copies, whose matches are placed once."""
-    each = [_ranked(matches(F.col("text"), kind), rank) for rank, kind in enumerate(KINDS)]
     once = (
-        docs.select("_id", "_key", F.concat(*each).alias("all")).filter(F.size("all") > 0)
+        docs.select("_id", "_key", _all_matches().alias("all")).filter(F.size("all") > 0)
         .groupBy("_id", "_key").agg(F.first("all").alias("all"), F.count("*").alias("copies"))
     )
     rows = once.select("_id", "_key", "copies", F.explode("all").alias("m")).select("_id", "_key", "copies", "m.*").select(
@@ -122,6 +121,16 @@ def entities(docs: DataFrame) -> DataFrame:
     )
 
 
+def _all_matches() -> Column:
+    return F.concat(*[_ranked(matches(F.col("text"), kind), rank) for rank, kind in enumerate(KINDS)])
+
+
+def holding(docs: DataFrame) -> DataFrame:
+    """The documents with a match, written once. Their texts alone are moved to meet what
+    is known of a document; all others stay where they are read."""
+    return common.stored(docs.filter(F.size(_all_matches()) > 0), "holding")
+
+
 def _ranked(found: Column, rank: int) -> Column:
     return F.transform(found, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), x.alias("x")))
 
@@ -163,7 +172,7 @@ class Revealing:
     many addresses and names that stand together is one pair.
     """
 
-    def __init__(self, docs: DataFrame, mentioned: DataFrame):
+    def __init__(self, docs: DataFrame, held: DataFrame, mentioned: DataFrame):
         total = docs.count()
         self.n = F.lit(total)
         of_entity = common.stored(
@@ -185,7 +194,7 @@ class Revealing:
         )
         bounds = self.asked.groupBy("_id", "_key").agg(F.max("most").alias("bound"))
         terms = common.stored(
-            docs.join(bounds, ["_id", "_key"]).select("_id", "_key", "bound", F.explode(words_of(F.col("text"))).alias("term"))
+            held.join(bounds, ["_id", "_key"]).select("_id", "_key", "bound", F.explode(words_of(F.col("text"))).alias("term"))
             .join(of_term, "term").filter(F.col("n_term") <= F.col("bound"))
             .select("_id", "_key", "term", "n_term").distinct(),
             "terms",
@@ -243,11 +252,12 @@ def spans(docs: DataFrame) -> DataFrame:
     """docs (_id, _key, text) -> _id, _key, kind, rank, start, end, action: every entity,
     and every occurrence of a disclosing term in a text with the entity that it discloses.
     A term that overlaps an entity's span is part of that span."""
-    found = common.stored(entities(docs), "entities")
+    held = holding(docs)
+    found = common.stored(entities(held), "entities")
     mentioned = common.stored(mentions(found), "mentions")
     base = found.select("_id", "_key", "kind", "rank", "start", "end", F.lit("generalise").alias("action"))
-    told = common.stored(Revealing(docs, mentioned).told(), "told")
-    terms = occurrences(docs, told).select(
+    told = common.stored(Revealing(docs, held, mentioned).told(), "told")
+    terms = occurrences(held, told).select(
         "_id", "_key", F.lit(TERM).alias("kind"), F.lit(len(KINDS)).alias("rank"), "start", "end",
         F.when(F.col("d") >= 1, "remove").otherwise("generalise").alias("action"),
     )

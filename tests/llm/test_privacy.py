@@ -84,7 +84,7 @@ def test_disclosure_figures(spark):
     df = privacy.keyed(spark.createDataFrame(list(enumerate(people())), "doc_id long, text string"))
     ids = df.select("_id", "_key", "text")
     found = privacy.entities(ids)
-    told = privacy.Revealing(ids, privacy.mentions(found)).disclosures()
+    told = privacy.Revealing(ids, privacy.holding(ids), privacy.mentions(found)).disclosures()
     got = {(r["entity"], r["term"]): r["disclosure"] for r in told.collect()}
     n, c, t, both = 260, 20, 20, 20
     assert got["email:qui@mail.example.com", "quillfeather"] == pytest.approx(math.log2(both * n / (c * t)) / math.log2(n / c))
@@ -136,7 +136,7 @@ def test_a_long_list_of_addresses_is_one_pair(spark):
     contacts = " ".join(f"Name{i} a{i}@mail.example.com," for i in range(1500))
     docs = [(1, contacts + " first"), (2, contacts + " second")] + [(i, f"nothing here {i}") for i in range(3, 90)]
     df = privacy.keyed(spark.createDataFrame(docs, "doc_id long, text string")).select("_id", "_key", "text")
-    revealing = privacy.Revealing(df, privacy.mentions(privacy.entities(df)))
+    revealing = privacy.Revealing(df, privacy.holding(df), privacy.mentions(privacy.entities(df)))
     assert revealing.pairs.count() == 1 and revealing.entity_groups.count() == 1500
     assert revealing.told().filter("term like 'name%'").count() == 3000
 
