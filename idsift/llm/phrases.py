@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ MOST_WORDS = 1 << 18
 #: Tokens that a task counts at a time.
 BLOCK = 1 << 19
 #: Entries of a shard, about.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Shards into which filters are cut at a time: 2 ** FAN_BITS.
 FAN_BITS = 8
 #: Bits of the map of frequent phrases: 2 ** MAP_BITS at most.
@@ -44,7 +43,10 @@ MAP_BITS = 25
 #: Rows that one ranking task gets, about.
 RANKED = 100_000
 #: Distinct words, or phrases with a word without id, that a task counts before it passes them on.
-HELD = 200_000
+HELD = 60_000
+
+#: Texts that a task takes from a batch at a time.
+SLICE = 200
 
 BREAK = b"."
 _CLEAN = bytes.maketrans(common.UPPER.encode() + b".,;:!?\x0b\x0c\r", common.UPPER.lower().encode() + b"\n" * 9)
@@ -61,48 +63,62 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null").select(lang, F.col("text").cast("binary").alias("text"))
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Language and text of every row, few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield from zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, phrase, c of all words."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                held.setdefault(lang, Counter()).update(tokens(text))
-                if sum(map(len, held.values())) >= HELD:
-                    yield _frame(held)
-                    held = {}
-        yield _frame(held)
+        for lang, text in _each(batches):
+            held.setdefault(lang, Counter()).update(tokens(text))
+            if sum(map(len, held.values())) >= HELD:
+                yield _counts(held)
+                held = {}
+        yield _counts(held)
 
     return (
-        _texts(docs).mapInPandas(count, "lang string, phrase string, c long")
+        _texts(docs).mapInArrow(count, "lang string, phrase string, c long")
         .groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
     )
 
 
-def _frame(held: dict[str, Counter]) -> pd.DataFrame:
-    rows = [(lang, w.decode(), c) for lang, words in held.items() for w, c in words.items() if w != BREAK]
-    return pd.DataFrame(rows, columns=["lang", "phrase", "c"])
+def _counts(held: dict[str, Counter]) -> pa.RecordBatch:
+    for words in held.values():
+        words.pop(BREAK, None)
+    return pa.RecordBatch.from_pydict({
+        "lang": pa.array([lang for lang, words in held.items() for _ in words], pa.string()),
+        "phrase": pa.array([w.decode() for words in held.values() for w in words], pa.string()),
+        "c": pa.array([c for words in held.values() for c in words.values()], pa.int64()),
+    })
 
 
 def encoded(docs: DataFrame, ids) -> DataFrame:
     """ids: blocks of texts as word ids (32 bits); 0 is a break or a word without id."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def block(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"ids": pa.array([np.concatenate(waiting).tobytes()], pa.binary())})
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, waiting, size = ids.value, [], 0
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                words = tokens(text)
-                waiting.append(np.fromiter(map(of.get(lang, {}).get, words, repeat(0)), np.int32, len(words)))
-                waiting.append(np.zeros(1, np.int32))
-                size += len(words) + 1
-                if size >= BLOCK:
-                    yield pd.DataFrame({"ids": [np.concatenate(waiting).tobytes()]})
-                    waiting, size = [], 0
+        for lang, text in _each(batches):
+            words = tokens(text)
+            waiting.append(np.fromiter(map(of.get(lang, {}).get, words, repeat(0)), np.int32, len(words)))
+            waiting.append(np.zeros(1, np.int32))
+            size += len(words) + 1
+            if size >= BLOCK:
+                yield block(waiting)
+                waiting, size = [], 0
         if waiting:
-            yield pd.DataFrame({"ids": [np.concatenate(waiting).tobytes()]})
+            yield block(waiting)
 
-    return _texts(docs).mapInPandas(encode, "ids binary")
+    return _texts(docs).mapInArrow(encode, "ids binary")
 
 
 def counted(blocks: DataFrame, n: int, bits: int, depth: int, shorter=None) -> DataFrame:
@@ -203,30 +219,29 @@ def marks_of(frequent: DataFrame) -> np.ndarray:
 def spelt(docs: DataFrame, ids, longest: int, least: int) -> DataFrame:
     """lang, phrase, c: frequent phrases with a word that has no id."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, held = ids.value, {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                known, own, words = of.get(lang, {}), held.setdefault(lang, Counter()), tokens(text)
-                for i, word in enumerate(words):
-                    if word == BREAK or word in known:
-                        continue
-                    # Phrases in which this is the first word without id.
-                    start = i
-                    while start > 0 and i - start < longest - 1 and words[start - 1] in known:
-                        start -= 1
-                    for a in range(start, i + 1):
-                        for b in range(i + 1, min(len(words), a + longest) + 1):
-                            if words[b - 1] == BREAK:
-                                break
-                            if b - a > 1:
-                                own[b" ".join(words[a:b])] += 1
-                if sum(map(len, held.values())) >= HELD:
-                    yield _frame(held)
-                    held = {}
-        yield _frame(held)
-
-    found = _texts(docs).mapInPandas(count, "lang string, phrase string, c long")
+        for lang, text in _each(batches):
+            known, own, words = of.get(lang, {}), held.setdefault(lang, Counter()), tokens(text)
+            for i, word in enumerate(words):
+                if word == BREAK or word in known:
+                    continue
+                # Phrases in which this is the first word without id.
+                start = i
+                while start > 0 and i - start < longest - 1 and words[start - 1] in known:
+                    start -= 1
+                for a in range(start, i + 1):
+                    for b in range(i + 1, min(len(words), a + longest) + 1):
+                        if words[b - 1] == BREAK:
+                            break
+                        if b - a > 1:
+                            own[b" ".join(words[a:b])] += 1
+            if sum(map(len, held.values())) >= HELD:
+                yield _counts(held)
+                held = {}
+        yield _counts(held)
+
+    found = _texts(docs).mapInArrow(count, "lang string, phrase string, c long")
     return found.groupBy("lang", "phrase").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
 
 
