@@ -147,7 +147,11 @@ def verify(events: DataFrame, head: DataFrame, anchors: DataFrame | None = None)
     The first failing position wins; then the head, then a trusted anchor
     ``chain_id, seq, event_hash``.
     """
-    checked = linked(events).withColumn("_hash_ok", row_hash() == F.col("event_hash"))
+    return _verified(events, row_hash() == F.col("event_hash"), head, anchors)
+
+
+def _verified(events: DataFrame, hash_ok: Column, head: DataFrame, anchors: DataFrame | None) -> DataFrame:
+    checked = linked(events).withColumn("_hash_ok", hash_ok)
     broken = ~F.coalesce("link_ok", F.lit(True)) | ~F.col("_hash_ok")
     unreadable = F.try_parse_json("payload_json").isNull()
     # A position that is stored again breaks the count at the next one.
@@ -212,6 +216,72 @@ def verify(events: DataFrame, head: DataFrame, anchors: DataFrame | None = None)
     )
 
 
+def trusted_prefix(verified: DataFrame) -> DataFrame:
+    """What a verification leaves to the next one: ``chain_id, seq, event_hash`` of the
+    last row of every chain that it found valid."""
+    return verified.filter("valid").select(
+        "chain_id", F.col("event_count").alias("seq"), F.col("head_hash").alias("event_hash")
+    )
+
+
+def verify_resumed(events: DataFrame, head: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``verify`` from each chain's trusted row on: the columns of ``verify`` and
+    ``hashed``, the number of rows whose hash was computed.
+
+    ``trusted``: ``chain_id, seq, event_hash``, as ``trusted_prefix`` leaves it and as it
+    is kept apart from the log. Rows up to it are not hashed or parsed; of them only the
+    row at the trusted position is looked up, and must still have the trusted hash. Since
+    every row names its predecessor's hash, an edit before that position can't reach the
+    rows after it without changing that hash. Later rows are verified as a chain of their
+    own that begins there. A chain without a trusted row is verified as a whole.
+    """
+    known = trusted.select(
+        "chain_id", F.col("seq").alias("_base"), F.when(F.col("seq") == 0, F.lit(ZERO_HASH)).otherwise(F.col("event_hash")).alias("_base_hash")
+    )
+    # One small row per chain.
+    rows = events.join(known, "chain_id", "left").withColumn("_base", F.coalesce("_base", F.lit(0)))
+    later = rows.filter(F.col("seq") > F.col("_base"))
+    # The first later row must name the trusted hash; then it counts as a chain's first.
+    first = F.col("seq") == F.col("_base") + 1
+    linked_to = F.when(first & (F.col("previous_hash") == F.coalesce("_base_hash", F.lit(ZERO_HASH))), F.lit(ZERO_HASH)).when(
+        first, F.lit("")
+    ).otherwise(F.col("previous_hash"))
+    renumbered = later.select(
+        *[c for c in events.columns if c not in ("seq", "previous_hash")], (F.col("seq") - F.col("_base")).alias("seq"),
+        linked_to.alias("previous_hash"), (row_hash() == F.col("event_hash")).alias("_hash_ok"),
+    )
+    stored = events.select("chain_id", F.col("seq").alias("_base"), F.col("event_hash").alias("_found")).join(
+        known, ["chain_id", "_base"], "left_semi"
+    ).groupBy("chain_id", "_base").agg(F.min("_found").alias("_found"), F.count("*").alias("_times"))
+    prefix = known.join(stored, ["chain_id", "_base"], "left").select(
+        "chain_id", "_base", "_base_hash",
+        (
+            (F.col("_base") == 0)
+            | (F.col("_found").eqNullSafe(F.col("_base_hash")) & F.coalesce(F.col("_times") == 1, F.lit(False)))
+        ).alias("_kept"),
+    )
+    heads = head.join(known, "chain_id", "left").select(
+        "chain_id", (F.col("seq") - F.coalesce("_base", F.lit(0))).alias("seq"),
+        F.when(F.col("seq") == F.coalesce("_base", F.lit(0)), F.when(F.col("event_hash").eqNullSafe(F.coalesce("_base_hash", F.lit(ZERO_HASH))), ZERO_HASH))
+        .otherwise(F.col("event_hash")).alias("event_hash"),
+    )
+    judged = _verified(renumbered, F.col("_hash_ok"), heads, None)
+    every = judged.join(prefix, "chain_id", "full")
+    base, count = F.coalesce("_base", F.lit(0)), F.coalesce("event_count", F.lit(0))
+    kept = F.coalesce("_kept", F.lit(True))
+    # Without later rows and without a head, only the prefix is left to stand.
+    error = F.when(~kept, "TRUSTED_ANCHOR_MISMATCH").otherwise(
+        F.when(F.col("event_count").isNull(), F.when(base > 0, "HEAD_MISMATCH")).otherwise(F.col("error"))
+    )
+    position = F.when(~kept, base).when(F.col("event_count").isNull(), base + 1).otherwise(F.col("failed_seq") + base)
+    return every.select(
+        "chain_id", error.isNull().alias("valid"), error.alias("error"), F.when(error.isNotNull(), position).alias("failed_seq"),
+        (count + base).cast("bigint").alias("event_count"),
+        F.when(count == 0, F.coalesce("_base_hash", F.lit(ZERO_HASH))).otherwise(F.col("head_hash")).alias("head_hash"),
+        F.col("_base").isNotNull().alias("anchor_checked"), count.cast("bigint").alias("hashed"),
+    )
+
+
 INTEGRITY = "AUDIT_INTEGRITY"
 
 

@@ -285,6 +285,32 @@ def a2f(spark, sf):
     return audit.verify(rows, audit.new_head(empty_head(spark), rows)).select("chain_id", "valid", "event_count")
 
 
+# Chains are trusted up to half of their rows. Some are damaged before that place, which
+# nothing looks at again unless the trusted row itself is touched, and some after it.
+O.define("trusted", "SELECT chain_id, max(seq) // 2 AS base FROM log GROUP BY chain_id")
+O.define("resumed_rows", f"""
+SELECT n.*, base, seq = base + row_number() OVER w AND previous_hash = coalesce(lag(event_hash) OVER w, base_hash, '{ZERO}') AND {_hash('n.previous_hash')} = event_hash AS ok, base + row_number() OVER w AS pos
+FROM (SELECT d.*, t.base, l.event_hash AS base_hash FROM damaged d JOIN trusted t ON t.chain_id = d.chain_id LEFT JOIN log l ON l.chain_id = t.chain_id AND l.seq = t.base WHERE d.seq > t.base) n
+WINDOW w AS (PARTITION BY chain_id ORDER BY seq)""")
+
+
+@query("a2_verify_resumed", chained(f"""
+SELECT chain_id, error, CASE WHEN error IS NULL THEN NULL WHEN error = 'TRUSTED_ANCHOR_MISMATCH' THEN base WHEN bad IS NOT NULL THEN bad ELSE base + coalesce(n, 0) + 1 END AS failed_seq,
+  base + coalesce(n, 0) AS event_count, coalesce(n, 0) AS hashed FROM (
+  SELECT h.chain_id, t.base, n, bad, CASE WHEN t.base > 0 AND x.seq IS NULL THEN 'TRUSTED_ANCHOR_MISMATCH' WHEN bad IS NOT NULL THEN 'EVENT_CHAIN_MISMATCH'
+    WHEN h.seq <> t.base + coalesce(n, 0) OR h.event_hash <> coalesce(last, x.event_hash, '{ZERO}') THEN 'HEAD_MISMATCH' END AS error
+  FROM heads h JOIN trusted t ON t.chain_id = h.chain_id LEFT JOIN damaged x ON x.chain_id = t.chain_id AND x.seq = t.base
+    LEFT JOIN (SELECT chain_id, count(*) AS n, min(pos) FILTER (NOT ok) AS bad, arg_max(event_hash, seq) AS last FROM resumed_rows GROUP BY chain_id) j ON j.chain_id = h.chain_id) q"""))
+def a2r(spark, sf):
+    whole = stored(spark, sf)
+    head = audit.new_head(empty_head(spark), whole)
+    half = head.select("chain_id", F.floor(F.col("seq") / 2).alias("seq"))
+    trusted = half.join(whole.select("chain_id", "seq", "event_hash"), ["chain_id", "seq"], "left")
+    heads = head.withColumn("seq", F.when(F.col("chain_id") % 19 == 6, F.col("seq") - 1).otherwise(F.col("seq")))
+    out = audit.verify_resumed(damaged(whole), heads, trusted)
+    return out.select("chain_id", "error", "failed_seq", "event_count", "hashed")
+
+
 @query("k1_history_page", O.query("""
 SELECT scan_id, seq, state, (SELECT count(*) FROM states WHERE contains(lower(concat_ws(' ', scan_id, document_hash, actor, coalesce(latest_actor, ''))), 'urgent') AND state = 'pending') AS total FROM states
 WHERE contains(lower(concat_ws(' ', scan_id, document_hash, actor, coalesce(latest_actor, ''))), 'urgent') AND state = 'pending' ORDER BY timestamp DESC, chain_id, seq DESC, scan_id LIMIT 50 OFFSET 5"""))

@@ -6,11 +6,14 @@ Every job takes a streaming DataFrame and returns one, or a writer for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from idsift.operators import audit, risk, sequences
@@ -63,71 +66,95 @@ def intake_writer(folder: str):
 
 DECISION_OUTPUT = "scan_id string, request_id string, ord long, status string, latest_event_hash string"
 _DECISION_NAMES = [c.split()[0] for c in DECISION_OUTPUT.split(", ")]
-_DECISION_INPUT = [
-    "ord", "kind", "request_id", "fingerprint", "event_hash", "incomplete", "decision", "expected_event_hash",
-    "acknowledge_incomplete",
-]
-_DECISION_ROW = (
-    "struct<at:timestamp,ord:long,kind:string,request_id:string,fingerprint:string,event_hash:string,"
-    "incomplete:boolean,decision:string,expected_event_hash:string,acknowledge_incomplete:boolean>"
-)
-DECISION_STATE = f"latest string, incomplete boolean, requests array<string>, prints array<string>, waiting array<{_DECISION_ROW}>"
-
-
-def _judge(key: str, rows: list[tuple], known: tuple) -> tuple[list[tuple], tuple]:
-    """Apply one scan's rows, in order, to what is known of it."""
-    latest, incomplete, requests, prints = known
-    seen = dict(zip(requests, prints, strict=True))
-    out = []
-    for at, kind, request, own_print, new_hash, gate, decision, expected, acknowledged in rows:
-        if kind == "scan":
-            if latest is None:
-                latest, incomplete = new_hash, bool(gate)
-                seen[request] = own_print
-            continue
-        if request in seen:
-            status = "replay" if seen[request] == own_print else "conflict"
-        elif latest is None:
-            status = "not_found"
-        elif expected != latest:
-            status = "stale"
-        elif decision == "approve" and incomplete and not acknowledged:
-            status = "incomplete"
-        else:
-            status, latest = "accepted", new_hash
-            seen[request] = own_print
-        out.append((key, request, int(at), status, latest))
-    return out, (latest, incomplete, list(seen), list(seen.values()))
-
-
-def _decider(retention_ms: int):
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Hold rows until the watermark has passed them, then judge them in order of time.
-
-        So the result doesn't depend on which rows share a micro-batch.
-        """
-        old = state.get if state.exists else (None, None, [], [], [])
-        known = (old[0], old[1], list(old[2]), list(old[3]))
-        waiting = [tuple(r) for r in old[4]]
-        for b in batches:
-            waiting += zip(b["ts"].tolist(), *(b[c].tolist() for c in _DECISION_INPUT), strict=True)
-        done = state.getCurrentWatermarkMs()
-        # Plain lists: a scan has few events, and a frame operation costs more than they do.
-        waiting.sort(key=lambda r: (r[0], r[2] != "scan", r[1], r[3]))
-        ready = [r for r in waiting if r[0].timestamp() * 1000 <= done]
-        waiting = waiting[len(ready):]
-        out, known = _judge(key[0], [r[1:] for r in ready], known)
-        if waiting:
-            state.update((*known, waiting))
-            state.setTimeoutTimestamp(max(int(waiting[0][0].timestamp() * 1000), done) + 1)
-        elif state.hasTimedOut and not ready:
-            state.remove()
-        else:
-            state.update((*known, []))
-            state.setTimeoutTimestamp(done + retention_ms)
-        yield pd.DataFrame(out, columns=_DECISION_NAMES)
-
-    return decide
+_WAITING = {
+    "ts": "timestamp", "ord": "bigint", "kind": "string", "request_id": "string", "fingerprint": "string",
+    "event_hash": "string", "incomplete": "boolean", "decision": "string", "expected_event_hash": "string",
+    "acknowledge_incomplete": "boolean",
+}
+
+
+def _milliseconds(row: tuple) -> int:
+    """A row's time, rounded up."""
+    return math.ceil(pd.Timestamp(row[0]).timestamp() * 1000)
+
+
+class DecisionProcessor(StatefulProcessor):
+    """One scan's rows, held until the watermark has passed them and then judged in order
+    of time, so that the result doesn't depend on which rows share a micro-batch.
+
+    State has three parts. New rows are added to a list, which isn't read for that; a
+    timer at their time reads it once the watermark is there. The newest hash and gate
+    are a value. Requests are a map, in which a decision looks up its own entry, however
+    many there are. A last timer removes all, ``retention_ms`` after the last judgement.
+    """
+
+    def __init__(self, retention_ms: int):
+        self.retention_ms = retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.scan = handle.getValueState("scan", "latest string, incomplete boolean, judged_ms bigint")
+        self.requests = handle.getMapState("requests", "request_id string", "fingerprint string")
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} {t}" for n, t in _WAITING.items()))
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [r for frame in rows for r in zip(*(_plain(frame[c]) for c in _WAITING), strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(map(_milliseconds, new)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        done = timerValues.getCurrentWatermarkInMs()
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[2] != "scan", r[1], r[3]))
+        ready = [r for r in rows if _milliseconds(r) <= done]
+        later = rows[len(ready) :]
+        if ready:
+            known = tuple(self.scan.get()) if self.scan.exists() else (None, None, 0)
+            out, latest, incomplete = self._judge(key[0], ready, *known[:2])
+            self.scan.update((latest, incomplete, done))
+            self.handle.registerTimer(done + self.retention_ms)
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+            if out:
+                yield pd.DataFrame(out, columns=_DECISION_NAMES)
+        if later:
+            self.handle.registerTimer(_milliseconds(later[0]))
+        elif not ready and self.scan.exists() and self.scan.get()[2] + self.retention_ms <= done:
+            self.scan.clear()
+            self.requests.clear()
+
+    def _judge(self, scan_id: str, rows: list[tuple], latest, incomplete) -> tuple[list[tuple], str, bool]:
+        """Apply rows, in order, to what is known of the scan."""
+        out = []
+        for _, at, kind, request, own_print, new_hash, gate, decision, expected, acknowledged in rows:
+            if kind == "scan":
+                if latest is None:
+                    latest, incomplete = new_hash, bool(gate)
+                    self.requests.updateValue((request,), (own_print,))
+                continue
+            if self.requests.containsKey((request,)):
+                status = "replay" if self.requests.getValue((request,))[0] == own_print else "conflict"
+            elif latest is None:
+                status = "not_found"
+            elif expected != latest:
+                status = "stale"
+            elif decision == "approve" and incomplete and not acknowledged:
+                status = "incomplete"
+            else:
+                status, latest = "accepted", new_hash
+                self.requests.updateValue((request,), (own_print,))
+            out.append((scan_id, request, int(at), status, latest))
+        return out, latest, incomplete
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(column: pd.Series) -> list:
+    return [None if pd.isna(x) else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in column.tolist()]
 
 
 def decisions(stream: DataFrame, watermark: str = "1 hour", retention_days: int = 30) -> DataFrame:
@@ -138,10 +165,11 @@ def decisions(stream: DataFrame, watermark: str = "1 hour", retention_days: int
     watermark has passed its time, in order of time, however the rows were dealt to
     micro-batches; a decision whose scan hasn't come by then is ``not_found``. State
     per scan is its newest hash, its gate, the accepted requests and waiting rows, and
-    goes after ``retention_days`` without an event.
+    goes after ``retention_days`` without an event. It needs the RocksDB state store,
+    which ``run_to_table`` chooses.
     """
-    return stream.withWatermark("ts", watermark).groupBy("scan_id").applyInPandasWithState(
-        _decider(retention_days * 86_400_000), DECISION_OUTPUT, DECISION_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    return stream.withWatermark("ts", watermark).groupBy("scan_id").transformWithStateInPandas(
+        DecisionProcessor(retention_days * 86_400_000), DECISION_OUTPUT, "Append", "EventTime"
     )
 
 
@@ -246,12 +274,32 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(audit.EVENT_SCHEMA).parquet(f"{folder}/{EVENT_TABLE}").drop("batch")
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """State on local disks with checkpoints in the shared folder, unless the session
+    names a store. A query keeps the store that it began with."""
+    own = spark.conf.get(STORE, None)
+    default = own is None or own.endswith(".HDFSBackedStateStoreProvider")
+    if default:
+        spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if default:
+            spark.conf.unset(STORE)
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a bounded stream to its end into a Parquet table and read it back."""
     spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", f"{folder}/out").outputMode("append").start()
+        with _rocksdb(spark):
+            query = writer.format("parquet").option("path", f"{folder}/out").outputMode("append").start()
     else:
         # Update mode has no file sink: each batch is written whole and the
         # newest version of a key wins when reading.

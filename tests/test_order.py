@@ -1,5 +1,7 @@
 """Results that must not depend on how rows are dealt, numbered, repeated or grouped."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -41,6 +43,55 @@ def test_decisions_in_any_number_of_files(spark, sf_dir, tmp_path, files):
     assert "not_found" in got.values() and "accepted" in got.values()
 
 
+def test_decision_state_goes_when_a_scan_is_old(spark, tmp_path):
+    schema = (
+        "ts timestamp, scan_id string, kind string, ord long, request_id string, fingerprint string, event_hash string, "
+        "incomplete boolean, decision string, expected_event_hash string, acknowledge_incomplete boolean"
+    )
+    day = lambda d: datetime.datetime(2026, 1, d, 12)
+    scan = lambda d, s: (day(d), s, "scan", -1, f"q{s}", "f", f"h{s}", False, None, None, None)
+    choice = lambda d, s, n: (day(d), s, "decision", n, f"r{s}{n}", "f", f"d{s}{n}", None, "reject", f"h{s}", None)
+    batches = [[scan(1, "a"), choice(1, "a", 1)], [scan(4, "b"), choice(5, "b", 1)], [scan(20, "c")], [scan(28, "d")]]
+    sizes = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        jobs.run_to_table(jobs.decisions(stream, retention_days=5), str(tmp_path))
+        state = spark.read.format("statestore").option("stateVarName", "requests").load(f"{tmp_path}/state")
+        sizes.append(sorted({r["key"]["scan_id"] for r in state.collect()}))
+    got = {(r["scan_id"], r["ord"]): r["status"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("a", 1): "accepted", ("b", 1): "accepted"}
+    assert "a" not in sizes[2] and sizes[3] == ["c"]
+
+
+def test_verification_goes_on_from_a_trusted_row(spark):
+    make = lambda n: [(c, i, f"e{c}-{i}", f"r{c}-{i}", "f", "s", "scan", "t", "a", "d", "{}") for c in (1, 2, 3) for i in range(n)]
+    names = "chain_id long, no long, event_id string, request_id string, fingerprint string, scan_id string, kind string, timestamp string, actor string, document_hash string, payload_json string"
+    events = audit.append(log.empty_head(spark), spark.createDataFrame(make(9), names), ["no"]).cache()
+    head = audit.new_head(log.empty_head(spark), events)
+    early = events.filter("seq <= 6")
+    trusted = audit.trusted_prefix(audit.verify(early, audit.new_head(log.empty_head(spark), early)))
+    result = lambda rows, known=trusted, heads=head: {
+        r["chain_id"]: (r["error"], r["failed_seq"], r["hashed"]) for r in audit.verify_resumed(rows, heads, known).collect()
+    }
+    fine = (None, None, 3)
+    assert result(events) == {1: fine, 2: fine, 3: fine}
+    assert result(events, trusted.filter("chain_id > 1")) == {1: (None, None, 9), 2: fine, 3: fine}
+    edit = lambda where, column, value: events.withColumn(column, F.when(F.expr(where), value).otherwise(F.col(column)))
+    assert result(edit("chain_id = 1 and seq = 8", "actor", "x"))[1] == ("EVENT_CHAIN_MISMATCH", 8, 3)
+    assert result(edit("chain_id = 1 and seq = 7", "previous_hash", "0" * 64))[1] == ("EVENT_CHAIN_MISMATCH", 7, 3)
+    assert result(events.filter("not (chain_id = 2 and seq = 8)"))[2] == ("EVENT_CHAIN_MISMATCH", 8, 2)
+    assert result(events.filter("not (chain_id = 2 and seq = 9)"))[2] == ("HEAD_MISMATCH", 9, 2)
+    assert result(events.filter("not (chain_id = 2 and seq > 6)"))[2] == ("HEAD_MISMATCH", 7, 0)
+    assert result(events.filter("not (chain_id = 3 and seq = 6)"))[3] == ("TRUSTED_ANCHOR_MISMATCH", 6, 3)
+    assert result(events.unionByName(events.filter("chain_id = 3 and seq = 6")))[3] == ("TRUSTED_ANCHOR_MISMATCH", 6, 3)
+    # A forged prefix that was hashed again, row by row, up to the trusted position.
+    other = audit.append(log.empty_head(spark), spark.createDataFrame(make(6), names).withColumn("actor", F.lit("x")), ["no"])
+    forged = other.filter("chain_id = 1").unionByName(events.filter("chain_id > 1 or seq > 6"))
+    assert result(forged)[1] == ("TRUSTED_ANCHOR_MISMATCH", 6, 3)
+    assert result(early, heads=audit.new_head(log.empty_head(spark), early)) == {c: (None, None, 0) for c in (1, 2, 3)}
+
+
 def test_a_log_has_one_writer(spark, tmp_path):
     rows = spark.createDataFrame(
         [(1, 1, "e", "r", "f", "s", "scan", "t", "a", "d", "{}")],
