@@ -35,7 +35,7 @@ UNKNOWN = "und"
 #: Unseen words that a task remembers before it starts anew.
 REMEMBERED = 50_000
 #: Distinct words, or n-grams, that a task counts before it passes them on.
-HELD = 100_000
+HELD = 50_000
 #: Longer words are neither learned from letter by letter nor remembered.
 LONGEST_WORD = 64
 
@@ -176,11 +176,14 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     are replaced.
     """
 
+    # Unpacked once per worker, not once per task.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memory: dict[str, list[int]] = {}
         for texts in batches:
-            found = [score(words_of(t), model, memory) if t else (UNKNOWN, 0.0) for t in texts]
+            found = [score(words_of(t), shared.value, memory) if t else (UNKNOWN, 0.0) for t in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     judged = docs.select(*common.without(docs, {"lang_pred", "score", "_judged"}), judge(F.col("text")).alias("_judged"))

@@ -188,7 +188,7 @@ def _texts(docs: DataFrame) -> DataFrame:
                     line = normal(raw)
                     if len(line) >= SHINGLE:
                         found[line_key(line)] = line
-                if len(found) >= 20_000:
+                if len(found) >= 5_000:
                     yield pd.DataFrame({"key": list(found), "line": list(found.values())})
                     found = {}
             yield pd.DataFrame({"key": pd.Series(list(found), dtype="int64"), "line": pd.Series(list(found.values()), dtype=str)})

@@ -313,10 +313,9 @@ def shingle_keys(words: list[bytes], k: int = NEAR_SHINGLE) -> np.ndarray:
 @F.pandas_udf(T.StructType().add("node", T.BinaryType()).add("sig", T.LongType()))
 def _identity(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        split = [words_of(t) for t in texts]
-        yield pd.DataFrame(
-            {"node": [hashlib.md5(b" ".join(w)).digest() for w in split], "sig": [set_bits(w) for w in split]}
-        )
+        # One text's words at a time; those of a whole batch are hundreds of megabytes.
+        found = [(hashlib.md5(b" ".join(words)).digest(), set_bits(words)) for words in map(words_of, texts)]
+        yield pd.DataFrame(found, columns=["node", "sig"])
 
 
 @F.pandas_udf(T.BooleanType())
