@@ -1,7 +1,12 @@
 """Held-out accuracy, the backoff rule, and rows without letters."""
 
+import math
+import random
+from collections import Counter
+
 import edge
 import numpy as np
+import pytest
 from idsift.llm import common, language
 from pyspark.sql import functions as F
 
@@ -53,3 +58,50 @@ def test_edge_rows(spark):
     none = language.fit(edge.empty(spark))
     assert {r["lang_pred"] for r in language.identify(docs, none).collect()} == {"und"}
     assert language.identify(edge.empty(spark), model).count() == 0
+
+
+def plainly(train, text):
+    """Prediction by the definition: counts, then a sum over the text's words."""
+    langs = sorted({lang for _, lang in train})
+    counts = {lang: [Counter() for _ in range(language.LONGEST + 1)] for lang in langs}
+    for text_of, lang in train:
+        for word in language.words_of(text_of):
+            counts[lang][0][word] += 1
+            for n in range(1, language.LONGEST + 1):
+                marked = f"<{word}>"
+                counts[lang][n].update(marked[i : i + n] for i in range(len(marked) - n + 1))
+    known = [set().union(*(counts[lang][n] for lang in langs)) for n in range(language.LONGEST + 1)]
+
+    def log(lang, n, entry):
+        total = sum(counts[lang][n].values()) or 1
+        return math.log(counts[lang][n][entry] + language.SMOOTHING) - math.log(total + language.SMOOTHING * len(known[n]))
+
+    words, totals = language.words_of(text), dict.fromkeys(langs, 0.0)
+    for word in words:
+        if word in known[0]:
+            for lang in langs:
+                totals[lang] += log(lang, 0, word)
+            continue
+        marked = f"<{word}>"
+        for n in range(language.LONGEST, 0, -1):
+            found = [g for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in known[n]]
+            if found:
+                for lang in langs:
+                    totals[lang] += sum(log(lang, n, g) for g in found) / len(found)
+                break
+    best = max(langs, key=lambda lang: (totals[lang], [-ord(c) for c in lang]))
+    share = min(1.0, language.EVIDENCE_WORDS / len(words))
+    return best, 1 / sum(math.exp((t - totals[best]) * share) for t in totals.values())
+
+
+def test_against_plain_scoring(spark):
+    rnd = random.Random(12)
+    stems = {"en": ["the", "water", "light", "thing"], "de": ["das", "wasser", "licht", "ding"], "fr": ["le", "eau", "lumière", "chose"]}
+    make = lambda lang, n: " ".join(rnd.choice(stems[lang]) + rnd.choice(["", "", "s", "en", "ment"]) for _ in range(n))
+    train = [(make(lang, rnd.randint(1, 30)), lang) for lang in stems for _ in range(25)]
+    model = language.fit(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(train)], "doc_id long, text string, lang string"))
+    asked = [make(lang, 6) for lang in stems for _ in range(8)] + ["wässerchen leuchtet", "qqq zzz", "licht eau thing", "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    for r in language.identify(df, model).collect():
+        want, confidence = plainly(train, r["text"])
+        assert (r["lang_pred"], r["score"]) == (want, pytest.approx(confidence, abs=1e-9)), r["text"]

@@ -50,7 +50,7 @@ def test_edge_rows(spark, sf_dir):
     for docs in (edge.docs(spark), edge.empty(spark)):
         for _, stage in corpus_pipeline.STAGES[:4]:
             out = stage(spark, docs, sf_dir)
-            assert out.columns == docs.columns
-            out.collect()
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert all(r[c] == "clash" for r in out.collect() for c in edge.CLASHES)
         corpus_pipeline.STAGES[4][1](spark, docs, sf_dir).collect()
     assert language.UNKNOWN == "und"
