@@ -11,7 +11,8 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ZERO_HASH = "0" * 64
 # Every stored column but the hash itself, in the order of its canonical text.
@@ -446,20 +447,94 @@ def accept(events: DataFrame, decisions: DataFrame, order: str = "ord") -> DataF
 # --------------------------------------------------------------------- browse
 
 
+STATE_PARTS = 64
+
+
+def merged_states(states: DataFrame, events: DataFrame) -> DataFrame:
+    """``latest`` of old and new events from the old ones' ``states`` and the new events
+    alone. New events come after the old ones of their scan."""
+    new = latest(events)
+    names = [c for c in states.columns if c != "scan_id"]
+    both = states.alias("o").join(new.alias("n"), "scan_id", "full")
+    old_first = {"seq", "chain_id", "event_id", "actor", "document_hash", "payload_json", "timestamp", "first_kind"}
+
+    def pick(name: str) -> Column:
+        old, fresh = F.col(f"o.{name}"), F.col(f"n.{name}")
+        if name in old_first:
+            return F.coalesce(old, fresh)
+        if name == "state":
+            return F.when(F.coalesce(fresh, F.lit("pending")) == "pending", F.coalesce(old, F.lit("pending"))).otherwise(fresh)
+        return F.coalesce(fresh, old)
+
+    return both.select("scan_id", *[pick(c).alias(c) for c in names])
+
+
+def state_table(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The maintained states of ``keep_states``, those of earlier batches than ``before``
+    if that is given, or None before the first batch."""
+    try:
+        rows = spark.read.parquet(folder)
+    except AnalysisException:
+        return None
+    rows = rows if before is None else rows.filter(F.col("version") < before)
+    # Folder names tell the newest version of each part; no file is read for that.
+    newest = rows.groupBy("part").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["part", "version"]).drop("version")
+
+
+def keep_states(spark: SparkSession, folder: str, events: DataFrame, batch: int) -> DataFrame:
+    """Merges a batch of events into the state table below ``folder``.
+
+    The table has STATE_PARTS parts by scan. Only parts that hold a scan of the batch are
+    read, and written as version ``batch``, so a batch that is repeated replaces itself.
+    Versions before the last are left for readers; remove them when none is at work.
+    """
+    part = F.pmod(F.xxhash64("scan_id"), F.lit(STATE_PARTS)).cast("int")
+    touched = [r[0] for r in events.select(part).distinct().collect()]  # STATE_PARTS numbers at most
+    old = state_table(spark, folder, batch) if batch else None
+    if old is None:
+        merged = latest(events)
+    else:
+        merged = merged_states(old.filter(F.col("part").isin(touched)).drop("part"), events)
+    parted = merged.withColumn("part", part).withColumn("version", F.lit(batch))
+    mode = {"partitionOverwriteMode": "dynamic"}
+    parted.repartition("part").write.mode("overwrite").options(**mode).partitionBy("part", "version").parquet(folder)
+    return state_table(spark, folder)
+
+
 def history(
     events: DataFrame, query: str = "", decision: str | None = None, limit: int = 20, offset: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """A page of scans, newest first, and the total before paging."""
+    """A page of scans, newest first, and the total before paging, from the events."""
+    return history_page(latest(events), query, decision, limit, offset)
+
+
+def history_page(
+    states: DataFrame, query: str = "", decision: str | None = None, limit: int = 20, offset: int = 0, after: tuple | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A page of scans, newest first, and the total before paging, from their states.
+
+    ``after``: ``timestamp, chain_id, seq, scan_id`` of the last row of the page before. The
+    page then begins behind that row, and no earlier row is sorted to be skipped.
+    """
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("limit must be 1..100 and offset not negative")
     text = F.lower(
         F.concat_ws(" ", "scan_id", "document_hash", "actor", F.coalesce("latest_actor", F.lit("")))
     )
-    matching = latest(events).filter(F.col("seq").isNotNull() & F.contains(text, F.lit(query.lower())))
+    matching = states.filter(F.col("seq").isNotNull() & F.contains(text, F.lit(query.lower())))
     if decision is not None:
         matching = matching.filter(F.col("state") == decision)
-    page = matching.orderBy(F.desc("timestamp"), "chain_id", F.desc("seq"), "scan_id").offset(offset).limit(limit)
-    return page.drop("payload_json", "first_kind"), matching.agg(F.count("*").alias("total"))
+    rest = matching
+    if after is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for name, value, falling in zip(("timestamp", "chain_id", "seq", "scan_id"), after, (True, False, True, False), strict=True):
+            column = F.col(name)
+            behind = behind | (same & (column < value if falling else column > value))
+            same = same & (column == value)
+        rest = matching.filter(behind)
+    page = rest.orderBy(F.desc("timestamp"), "chain_id", F.desc("seq"), "scan_id").offset(offset).limit(limit)
+    return page.drop("payload_json", "first_kind", "part"), matching.agg(F.count("*").alias("total"))
 
 
 def scan_detail(events: DataFrame, scan_id: str) -> DataFrame:

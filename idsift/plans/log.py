@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from idsift.operators import audit
 from idsift.plans import oracle as O, views
-from idsift.session import materialize
+from idsift.session import materialize, shared_dir
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -274,6 +274,16 @@ SELECT s.scan_id, s.chain_id, n.seq, n.timestamp, s.actor, n.document_hash, coal
 FROM log_scans s JOIN new_scans n ON n.scan_id = s.scan_id LEFT JOIN (SELECT scan_no, decision FROM decided WHERE status = 'accepted') a ON a.scan_no = s.scan_no""")
 
 
+def states(spark, sf) -> DataFrame:
+    """The maintained states of the log: its scans, then its decisions, merged in."""
+    at = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf, "states")
+    if at not in _KEPT:
+        rows, folder = full_log(spark, sf), shared_dir(spark, "states")
+        audit.keep_states(spark, folder, stored(spark, sf), 0)
+        _KEPT[at] = audit.keep_states(spark, folder, rows.filter("kind = 'decision'"), 1)
+    return _KEPT[at]
+
+
 @query("w10_latest_state", O.query("SELECT scan_id, chain_id, seq, state, latest_actor FROM states"))
 def w10(spark, sf):
     return audit.latest(full_log(spark, sf)).select("scan_id", "chain_id", "seq", "state", "latest_actor")
@@ -315,7 +325,7 @@ def a2r(spark, sf):
 SELECT scan_id, seq, state, (SELECT count(*) FROM states WHERE contains(lower(concat_ws(' ', scan_id, document_hash, actor, coalesce(latest_actor, ''))), 'urgent') AND state = 'pending') AS total FROM states
 WHERE contains(lower(concat_ws(' ', scan_id, document_hash, actor, coalesce(latest_actor, ''))), 'urgent') AND state = 'pending' ORDER BY timestamp DESC, chain_id, seq DESC, scan_id LIMIT 50 OFFSET 5"""))
 def k1(spark, sf):
-    page, total = audit.history(full_log(spark, sf), "URGENT", "pending", 50, 5)
+    page, total = audit.history_page(states(spark, sf), "URGENT", "pending", 50, 5)
     # Both sides are bounded: one page and one row.
     return page.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").select(
         "scan_id", "seq", "state", "total"

@@ -92,6 +92,31 @@ def test_verification_goes_on_from_a_trusted_row(spark):
     assert result(early, heads=audit.new_head(log.empty_head(spark), early)) == {c: (None, None, 0) for c in (1, 2, 3)}
 
 
+def test_states_are_kept_batch_by_batch(spark, sf_dir, tmp_path):
+    events = log.full_log(spark, sf_dir)
+    whole = sorted(map(str, audit.latest(events).collect()))
+    part = F.crc32("scan_id") % 3
+    batches = [
+        events.filter((part == 0) & (F.col("kind") == "scan")), events.filter(part == 1),
+        events.filter((part == 0) & (F.col("kind") != "scan")), events.filter(part == 2), events.limit(0),
+    ]
+    names = audit.latest(events).columns
+    for number, batch in enumerate([*batches[:3], batches[2], *batches[3:]]):
+        # The third batch comes twice, under its own number.
+        states = audit.keep_states(spark, str(tmp_path), batch, number - (number > 2))
+    assert sorted(map(str, states.select(names).collect())) == whole
+    pages, after = [], None
+    while not pages or len(pages[-1]) == 90:
+        pages.append(audit.history_page(states, "", None, 90, after=after)[0].collect())
+        after = tuple(pages[-1][-1][c] for c in ("timestamp", "chain_id", "seq", "scan_id")) if pages[-1] else None
+        if len(pages) == 4:
+            break
+    for number, page in enumerate(pages):
+        want = audit.history(events, "", None, 90, 90 * number)[0].collect()
+        assert [r["scan_id"] for r in page] == [r["scan_id"] for r in want]
+    assert len(pages) > 2
+
+
 def test_a_log_has_one_writer(spark, tmp_path):
     rows = spark.createDataFrame(
         [(1, 1, "e", "r", "f", "s", "scan", "t", "a", "d", "{}")],
