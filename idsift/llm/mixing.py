@@ -68,14 +68,15 @@ def shares(totals: DataFrame, weights=cyclic_weights, max_repeats: int = 3) -> D
     )
 
 
-def queued(docs: DataFrame, weights=cyclic_weights, max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, rank, weight, target and served_before, see `mix`."""
+def queued(docs: DataFrame, carry: list[str], weights, max_repeats: int, seed: str) -> DataFrame:
+    """row (the columns to carry), source, size, source_size, rank, weight, target and
+    served_before, see `mix`."""
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select(
-        F.struct(*common.without(docs, set(OWN) | {"text", "source"})).alias("row"),
-        "text",
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
         "source",
         words(F.col("text")).alias("size"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("print"),
         order.alias("order"),
         F.substring(order, 1, BUCKET_DIGITS).alias("bucket"),
     )
@@ -87,14 +88,14 @@ def queued(docs: DataFrame, weights=cyclic_weights, max_repeats: int = 3, seed:
     ).select("p.source", "p.bucket", "offset", "source_size", "rank", "weight", "target")
     # Documents of one id come by their texts, so that reruns agree.
     inside = (
-        Window.partitionBy("source", "bucket").orderBy("order", "size", F.xxhash64("text"), "text")
+        Window.partitionBy("source", "bucket").orderBy("order", "size", "print")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     waiting = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(
         offsets.alias("o"), F.expr("d.source <=> o.source and d.bucket = o.bucket")
     )
     return waiting.select(
-        "row", "text", "d.source", "size", "source_size", "rank", "weight", "target",
+        "row", "d.source", "size", "source_size", "rank", "weight", "target",
         (F.col("offset") + F.col("inside")).alias("served_before"),
     )
 
@@ -134,8 +135,11 @@ def cut_of(waiting: DataFrame, max_repeats: int) -> tuple[float, int, int] | Non
     return last["finish"], last["rank"], budget - last["before"]
 
 
-def mix(docs: DataFrame, weights=cyclic_weights, max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """All rows and columns of docs (doc_id, text, source, ...), and with them
+def mix(
+    docs: DataFrame, weights=cyclic_weights, max_repeats: int = 3, seed: str = "mix", carry: list[str] | None = None
+) -> DataFrame:
+    """All rows of docs (doc_id, text, source, ...) with the columns to carry (None: all),
+    and with them
 
     size           words of the text (null or empty text: 0)
     source_size    words of the source
@@ -150,7 +154,8 @@ def mix(docs: DataFrame, weights=cyclic_weights, max_repeats: int = 3, seed: str
     Empty documents take nothing. An empty table gives an empty mix. Input columns with
     the names above are replaced.
     """
-    waiting = common.stored(queued(docs, weights, max_repeats, seed), "queues")
+    carry = [c for c in carry or docs.columns if c.lower() not in OWN]
+    waiting = common.stored(queued(docs, carry, weights, max_repeats, seed), "queues")
     cut = cut_of(waiting, max_repeats)
     taken = F.lit(0)
     for repeat in range(max_repeats if cut else 0):
@@ -160,10 +165,7 @@ def mix(docs: DataFrame, weights=cyclic_weights, max_repeats: int = 3, seed: str
             (finish == end) & (F.col("rank") == source), F.lit(rest)
         ).otherwise(0)
     return waiting.select(
-        *[
-            F.col(c) if c.lower() in ("text", "source") else F.col("row")[c].alias(c)
-            for c in docs.columns if c.lower() not in OWN
-        ],
+        *[F.col("row")[c].alias(c) for c in carry],
         "size", "source_size", "weight", "target", taken.cast("bigint").alias("taken"), "served_before",
         _finish(0).alias("virtual_finish"),
     )
@@ -184,7 +186,7 @@ def schedule(mixed: DataFrame, max_repeats: int = 3) -> DataFrame:
 
 def op3_mix(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL_MIX = """
