@@ -11,11 +11,15 @@ move, and five bits of each minimum. Candidates that agree in less than LEAST_EQ
 24 minima go before their texts are looked at: of pairs at the threshold 1 in 1 000. Texts
 move once, for lines that share a bucket. Lines are known by a 64-bit hash of their
 normalised text.
+
+Where a bucket holds a crowd of unlike lines (one template, many fillings), its lines meet
+only if they also share one of their n - ceil(0.8 n) + 1 rarest shingles, which every two
+lines at the threshold do: see finer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +41,8 @@ LEAST_CHARS = 1
 REMEMBERED = 500_000
 #: Characters that are hashed at a time.
 CHUNK = 1 << 17
+#: Counters of shingles, by their leading bits, that put shingles in order of rarity.
+CELL_BITS = 18
 OUT = "line_no int, key long, bands array<long>"  # the last two of bands: the minima's bits
 
 _random = np.random.default_rng(5)
@@ -196,6 +202,81 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(read, "key long, line string")
 
 
+def _in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with a line, a few at a time: about CHUNK characters, at least one row."""
+    for batch in batches:
+        yield from (part for _, part in batch.groupby(batch["line"].str.len().cumsum() // CHUNK))
+
+
+def _shingle_counts(lines: DataFrame) -> np.ndarray:
+    """How often lines (line) have shingles of each cell; 2 ** CELL_BITS numbers."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        for part in _in_chunks(batches):
+            counts += np.bincount(_cells(shingle_hashes(list(part["line"]))[0]), minlength=len(counts))
+        cell = np.flatnonzero(counts)
+        yield pd.DataFrame({"cell": cell, "n": counts[cell]})
+
+    counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
+    rows = lines.select("line").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts[rows["cell"].to_numpy(dtype=np.int64)] = rows["n"]
+    return counts
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def finer(active: DataFrame, lines: DataFrame, minima: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """active (bucket, node, own), lines (key, line), minima (key, m0, m1) -> members of
+    smaller buckets, one per bucket and shingle of a line's prefix, and their test.
+
+    Shingles have one order, rarest cell first, then by hash. With sizes a and b, two lines
+    of a Jaccard similarity of 0.8 share 4 (a + b) / 9 shingles. So they share one of
+    the first n - ceil(4 n / 5) + 1 of each, and from the first one on, at places i and j, at
+    most min(a - i, b - j). The order decides how many meet, never whether links are found.
+    """
+    asked = active.select(F.col("node").alias("key")).distinct()
+    texts = common.stored(lines.join(asked, "key", "left_semi").join(minima, "key"), "crowded")
+    counts = active.sparkSession.sparkContext.broadcast(_shingle_counts(texts))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _in_chunks(batches):
+            hashes, starts = shingle_hashes(list(part["line"]))
+            found, at, sizes = [], [], []
+            for own in np.split(hashes, starts[1:]):
+                own = np.unique(own)
+                n = len(own)
+                first = own[np.argsort(counts.value[_cells(own)], kind="stable")][: n - -(-4 * n // 5) + 1]
+                found.append(first.view(np.int64))
+                at.append(np.arange(len(first)))
+                sizes.append(n)
+            repeats = [len(f) for f in found]
+            yield pd.DataFrame(
+                {
+                    "node": np.repeat(part["key"].to_numpy(), repeats), "shingle": np.concatenate(found),
+                    "at": np.concatenate(at), "size": np.repeat(sizes, repeats),
+                    "m0": np.repeat(part["m0"].to_numpy(), repeats), "m1": np.repeat(part["m1"].to_numpy(), repeats),
+                }
+            )
+
+    def close(a: Column, b: Column) -> Column:
+        both = F.least(a["size"] - a["at"], b["size"] - b["at"])
+        return (9 * both >= 4 * (a["size"] + b["size"])) & (
+            sum(equal_minima(a[m], b[m]) for m in ("m0", "m1")) >= LEAST_EQUAL
+        )
+
+    spelt = texts.mapInPandas(prefixes, "node long, shingle long, at long, size long, m0 long, m1 long")
+    members = active.select("bucket", "node", "own").join(spelt, "node").select(
+        F.xxhash64("bucket", "shingle").alias("bucket"), "node", "own",
+        F.struct("size", "at", "m0", "m1").alias("sig"), F.lit(True).alias("indexed"),
+    )
+    members = common.stored(members, "finer")
+    common.discard(texts)
+    return members, close
+
+
 def line_classes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, _doc, line_no, class_id, keep: a row per line.
 
@@ -233,7 +314,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
         both = with_a.join(lines.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
         return both.filter(_similar(F.col("line_a"), F.col("line_b")))
 
-    links = linking.linked(members, verify)
+    links = linking.linked(members, verify, finer=lambda active: finer(active, lines, minima))
     found = linking.components(links)
     common.discard(members, once, lines, links)
     blank = rows.filter("key is null").select(

@@ -1,8 +1,9 @@
 """Connected components, and verified links inside candidate buckets.
 
 Every member first meets its bucket's pivot, which is linear; links join members into
-components, and only members of different components meet again, each with each. So a
-bucket of copies lists no pairs, but one of many unlike members does.
+components, and only members of different components meet again: each with each in a
+bucket of at most CROWD of them, else in the finer buckets that the caller makes. So a
+bucket of copies lists no pairs; without finer buckets one of many unlike members does.
 
 Tables of a round are removed from the shared folder when the next one is written.
 """
@@ -19,6 +20,8 @@ from idsift.llm.common import discard, stored
 
 #: Rounds in which members meet a pivot before those still apart meet each other.
 PIVOT_ROUNDS = 2
+#: Members still apart, in a bucket, that meet each with each where finer buckets can be made.
+CROWD = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -70,6 +73,7 @@ def linked(
     verify: Callable[[DataFrame], DataFrame],
     close: Callable[[Column, Column], Column] | None = None,
     pairs: DataFrame | None = None,
+    finer: Callable[[DataFrame], tuple[DataFrame, Callable[[Column, Column], Column]]] | None = None,
 ) -> DataFrame:
     """members (bucket, node, sig, indexed), pairs (node, pivot), both stored -> verified
     links (a, b), stored, that connect every two nodes which a chain of links between
@@ -79,6 +83,10 @@ def linked(
     an indexed member of its bucket for which close(sig, sig) holds; verify keeps the
     true ones of (a, b). Each candidate is verified, or its two nodes are in one
     component already.
+
+    finer takes the members (with their component as `own`) that are still apart in crowded
+    buckets and returns them in smaller buckets, stored, and what their sigs must fulfil; it
+    may part two nodes that are no link and no others.
     """
     close = close or (lambda a, b: F.lit(True))
     tested, links, labels = [], [], None
@@ -103,20 +111,32 @@ def linked(
         mixed = named.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi")
         earlier, active = active, stored(named.join(mixed.select("bucket"), "bucket", "left_semi"), "active")
         discard(*([before, earlier] if turn else []))
-    other = active.filter("indexed").select(
+    made = []
+    if finer is None:
+        cross = _each(active, close)
+    else:
+        crowded = active.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("bucket")
+        parted, like = finer(active.join(crowded, "bucket", "left_semi"))
+        made.append(parted)
+        cross = _each(active.join(crowded, "bucket", "left_anti"), close).union(_each(parted, like))
+    if pairs is not None:
+        cross = cross.union(_apart(pairs.select("node", "pivot"), labels, "node", "pivot"))
+    _try(cross, tested, links, verify)
+    found = stored(_all(links), "links")
+    discard(active, labels, *made, *tested, *links)
+    return found
+
+
+def _each(members: DataFrame, close: Callable[[Column, Column], Column]) -> DataFrame:
+    """Members of different components with the indexed ones of their buckets."""
+    other = members.filter("indexed").select(
         F.col("bucket").alias("pivot_bucket"), F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig"),
         F.col("own").alias("pivot_own"),
     )
-    cross = active.join(
+    return members.join(
         other, (F.col("bucket") == F.col("pivot_bucket")) & (F.col("own") != F.col("pivot_own"))
         & close(F.col("sig"), F.col("pivot_sig"))
     ).select("node", "pivot")
-    if pairs is not None:
-        cross = cross.union(_apart(pairs.select("node", "pivot"), labels, "node", "pivot"))
-    _try(cross, tested, links, verify)
-    found = stored(_all(links), "links")
-    discard(active, labels, *tested, *links)
-    return found
 
 
 def _apart(pairs: DataFrame, labels: DataFrame, *sides: str) -> DataFrame:

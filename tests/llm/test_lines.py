@@ -3,7 +3,7 @@
 import random
 
 import edge
-from idsift.llm import lines
+from idsift.llm import lines, linking
 from test_simhash import groups
 
 
@@ -43,6 +43,62 @@ def test_classes_against_all_pairs(spark):
     assert all(r["keep"] and r["class_id"] is None for p, r in found.items() if p not in {f[:2] for f in long})
 
 
+def test_crowd_of_one_template_lists_no_pairs(spark, monkeypatch):
+    rnd = random.Random(3)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).strip()
+    head = "this page was printed from the archive of the society of friends of old railways, see "
+    texts = [head * 2 + letters(45) for _ in range(300)]
+    texts += [t[:-1] + "#" for t in texts[:40]]
+    tried = []
+    plain = linking._try
+
+    def counted(pairs, tested, links, verify):
+        plain(pairs, tested, links, verify)
+        tried.append(tested[-1].count())
+
+    monkeypatch.setattr(linking, "_try", counted)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in lines.line_classes(docs).collect()}
+    flat = [lines.normal(t) for t in texts]
+    links = [(i, j) for i in range(len(flat)) for j in range(i) if lines.jaccard(flat[i], flat[j]) >= 0.8]
+    want = groups(len(flat), links)
+    assert len(links) >= 40
+    assert sum(found[i] != found[j] for i, j in links) <= 0.02 * len(links)
+    for c in set(found.values()):
+        assert len({want[i] for i in found if found[i] == c}) == 1
+    # Pivots meet every line in each bucket; what is left meets by rare shingles.
+    assert tried[-1] <= 3 * len(texts) < len(texts) ** 2 / 20
+
+
+def test_finer_buckets_lose_no_link(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(2, 6)))
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(rnd.randint(6, 40))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                w[rnd.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    texts = sorted({t for t in texts if len(t) >= lines.SHINGLE})
+    minima = lines.signatures(texts)[:, lines.BANDS :].tolist()
+    one = [(i, t, *m) for i, (t, m) in enumerate(zip(texts, minima, strict=True))]
+    table = spark.createDataFrame(one, "key long, line string, m0 long, m1 long")
+    active = spark.createDataFrame([(7, i, i) for i in range(len(texts))], "bucket long, node long, own long")
+    members, close = lines.finer(active, table.select("key", "line"), table.select("key", "m0", "m1"))
+    met = {(r["node"], r["pivot"]) for r in linking._each(members, close).collect()}
+    linked = {(i, j) for i in range(len(texts)) for j in range(i) if lines.jaccard(texts[i], texts[j]) >= 0.8}
+    few = {(i, j) for i, j in linked if agreeing(minima[i], minima[j]) < lines.LEAST_EQUAL}
+    assert linked and len(few) <= 0.02 * len(linked)
+    assert linked - few <= met
+    assert len(met) < len(texts) ** 2 / 4
+
+
+def agreeing(a, b):
+    return sum((x >> 5 * i) & 31 == (y >> 5 * i) & 31 for x, y in zip(a, b, strict=True) for i in range(12))
+
+
 def test_texts_keep_first_lines(spark):
     line = "a passage that many documents of this corpus share with each other"
     docs = [(2, f"{line}\nown line of the second document, long enough\n\nend"), (1, f"top of the first document here\n{line}"), (3, line)]
